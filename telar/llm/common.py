@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +54,7 @@ class Scratch:
 
 def sliced(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into parts whose texts hold about `most` bytes (one row at least)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
@@ -78,8 +79,6 @@ def map_texts(
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         f, types = make(), None
         for batch in batches:
             if types is None:
