@@ -1,6 +1,63 @@
-STAGES = []
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from telar.llm.common import Scratch, read
+from telar.llm.op3_secret_scan import redact_secrets
+from telar.llm.op4_near_dedup import keep_one
+from telar.llm.op6_bpe_codec import encode_decode
+from telar.llm.op7_decontaminate import decontaminate
+from telar.llm.op8_language_id import identify
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go; the predicted language is looked at, not written over `lang`."""
+    out = identify(docs, keep=docs.columns)
+    return out.filter("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the least id."""
+    return keep_one(docs, Scratch(spark))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    out = decontaminate(docs, read(spark, sf_dir, "benchmark"), scratch=Scratch(spark))
+    return out.filter(F.size("hits") == 0).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; n_chars follows."""
+    out = redact_secrets(docs, Scratch(spark))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to as a digest."""
+    out = encode_decode(docs, Scratch(spark))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("bpe", bpe),
+]
+
+#: Near-duplicate components, language models and token ids are beyond SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark), read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
