@@ -8,11 +8,14 @@ each symbol of a chunk in turn, so such a pair has a key in common with certaint
 0.8 a chunk agrees this way with probability 0.655, so a pair with more differences is missed with
 probability 0.345 ** CHUNKS, 3e-6.)
 
-Groups that share a key are not expanded into pairs. Each node is first compared with the least node
-it shares a key with; the components of the links found label the nodes, and only nodes of one
-key with different labels are compared further, in blocks of bounded size, if their signatures are
-within LOOSE symbols (a pair at similarity 0.8 exceeds it with probability about 1e-6). Pairs are
-confirmed on the full sets, computed from both whole texts. Last, components are taken over all links.
+Groups that share a key are not expanded into pairs. In each key, nodes are compared with a pivot, the
+least node. By the triangle inequality for signature distances, a node within RADIUS of the pivot can
+leave (whatever is within RADIUS of it is within 2 * RADIUS of the pivot and is tied to it); the rest
+gets a new pivot. The ties join into clusters that hold every pair within RADIUS that shares a key.
+Each node's least pivot is confirmed first, on the full sets; the components of these links label the
+nodes. Clusters whose nodes have several labels are then compared in full, but for nodes of one label:
+in blocks of bounded size, by products of presence matrices, which give exact intersections; of the
+links found only those are reported that join two labels. Components over all links are the result.
 
 Null, empty or wordless text: empty set, linked with nothing. Rows that share an id are one
 document, which links where any of its rows does; every row gives a row. Columns other than id and
@@ -22,15 +25,16 @@ text are left out, so they cannot clash.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.llm.common import IdFilter, Scratch, drop_ids, field, map_texts, read
 from telar.llm.components import components
 
 CHUNKS, WIDTH, ERRORS = 12, 6, 1
-LOOSE = 32
-BLOCK = 512
+RADIUS = CHUNKS * (ERRORS + 1)
+ROUNDS = 3
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 
@@ -127,55 +131,118 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes that share a key and differ in label, with near signatures and sizes that allow a link.
-
-    A key's members are dealt into blocks of BLOCK at most; each pair of blocks is a group of its own.
+def distance(a: str, b: str) -> Column:
+    """Symbols in which two signatures differ."""
+    cut = lambda c, k: F.substring(c, 2 * k + 1, 2)
+    return sum(((cut(a, k) != cut(b, k)).cast("int") for k in range(1, CHUNKS * WIDTH)), (cut(a, 0) != cut(b, 0)).cast("int"))
+
+
+def ties(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): nodes b tied to a pivot a with which they share a key; members: (key, node) of keys of two nodes or more."""
+    out, left = None, members
+    for r in range(ROUNDS + 1):
+        pivots = left.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a != most").select("key", "a")
+        pairs = scratch.write(left.join(pivots, "key").filter("a != node").select("key", "a", F.col("node").alias("b")), "pairs")
+        two = pairs.select("a", "b").distinct()
+        if r < ROUNDS:
+            sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
+            two = two.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", distance("sig_a", "sig_b").alias("d"))
+            two = scratch.write(two.filter(F.col("d") <= 2 * RADIUS), "ties")
+        found = two.select("a", "b")
+        out = found if out is None else out.unionByName(found)
+        if r == ROUNDS:
+            break
+        left = scratch.write(pairs.join(two.filter(F.col("d") <= RADIUS).select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("node")), "left")
+        if not left.limit(1).count():
+            break
+    return out.distinct()
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every set on the right."""
+    every = np.concatenate(left + right)
+    own = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    order = np.argsort(every, kind="stable")
+    h, own = every[order], own[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    word = np.cumsum(new) - 1
+    often = np.bincount(word) > 1
+    keep = often[word]
+    word, own = (np.cumsum(often) - 1)[word[keep]], own[keep]
+    out, wide = np.zeros((len(left), len(right)), np.float32), 8192
+    for a in range(0, int(often.sum()), wide):  # word is ascending
+        i, j = np.searchsorted(word, [a, a + wide])
+        x = np.zeros((len(left) + len(right), min(wide, int(often.sum()) - a)), np.float32)
+        x[own[i:j], word[i:j] - a] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out.astype(np.int64)
+
+
+def joining_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links within clusters between nodes of different labels; nodes: cluster, node, label, n.
+
+    A label with BLOCK nodes or more in a cluster has blocks of its own, the others share blocks; pairs of
+    blocks are compared unless both are of one label.
     """
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label", "n", "sig", "mine")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    placed = nodes.join(sizes, ["cluster", "label"]).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("label").cast("string")).otherwise("*"))
+    counts = placed.groupBy("cluster", "own").agg(blocks().alias("blocks"))
+    ids = counts.select("cluster", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    ids = ids.withColumn("block", F.xxhash64("own", "k"))
+    one, two = ids.select("cluster", F.col("own").alias("o1"), F.col("block").alias("i")), ids.select("cluster", F.col("own").alias("o2"), F.col("block").alias("j"))
+    pairs = one.join(two, "cluster").filter("i <= j AND (o1 = '*' OR o2 = '*' OR o1 <> o2)").select("cluster", "i", "j")
+    pairs = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    block = F.xxhash64("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = placed.join(counts, ["cluster", "own"]).select("cluster", "node", "label", block.alias("block"))
+    dealt = dealt.join(pairs, ["cluster", "block"]).join(texts, "node")
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "label", "node").select("cluster", "i", "j", "node", "label", F.col("block") == F.col("i"), "text")
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(t):
-            label, node, n, mine = (t.column(c).to_numpy() for c in ("label", "node", "n", "mine"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
-            one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-            rows = np.arange(len(node))
-            left = rows if one else rows[mine == t.column("i")[0].as_py()]
-            right = rows if one else rows[mine == t.column("j")[0].as_py()]
-            out = []
-            for r in left.tolist():
-                other = right[right > r] if one else right
-                other = other[(label[other] != label[r]) & (100 * np.minimum(n[other], n[r]) >= percent * np.maximum(n[other], n[r]))]
-                if len(other):
-                    other = other[(sig[other] != sig[r]).sum(axis=1) <= LOOSE]
-                    out += [(min(node[r], x), max(node[r], x)) for x in node[other].tolist()]
+        shingles = Shingles(size)
+
+        def links(rows):
+            sets = [shingles(r[6]) for r in rows]
+            same = rows[0][1] == rows[0][2]
+            left = [k for k, r in enumerate(rows) if same or r[5]]
+            right = left if same else [k for k, r in enumerate(rows) if not r[5]]
+            if not left or not right or len({r[4] for r in rows}) < 2:
+                return []
+            n = np.array([len(x) for x in sets])
+            label = np.array([r[4] for r in rows])
+            both = intersections([sets[k] for k in left], [sets[k] for k in right])
+            union = n[left][:, None] + n[right][None, :] - both
+            near = (100 * both >= percent * union) & (both > 0) & (label[left][:, None] != label[right][None, :])
+            top, out = {x: x for x in label.tolist()}, []
+
+            def root(x):
+                while top[x] != x:
+                    x = top[x]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                p, q = root(rows[left[i]][4]), root(rows[right[j]][4])
+                if p != q:
+                    top[max(p, q)] = min(p, q)
+                    out.append((rows[left[i]][3], rows[right[j]][3]))
             return out
 
         def emit(out):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        kept = None
+        held = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([kept, t]).combine_chunks() if kept is not None else t
-            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            ends = (np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
-            out, a = [], 0
-            for z in ends:
-                out += pairs(t.slice(a, z - a)) if z - a > 1 else []
-                a = z
-            kept = t.slice(a)
-            yield emit(out)
-        if kept is not None and len(kept) > 1:
-            yield emit(pairs(kept))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[-1][:3]:
+                    yield emit(links(held))
+                    held = []
+                held.append(row)
+        if held:
+            yield emit(links(held))
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
@@ -184,25 +251,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     nodes = every.filter("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("x"))
     nodes = scratch.write(nodes.select("set_hash", F.col("x.id").alias("node"), F.col("x.n_shingles").alias("n"), "x.sig"), "nodes")
 
-    shared = keyed(nodes).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot != most").select("key", "pivot")
+    shared = keyed(nodes).groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key")
     shared = scratch.write(shared, "shared")
     some = IdFilter(shared, "key", buckets=1024).flag(keyed(nodes), F.col("key"), "maybe").filter("maybe").drop("maybe")
-    members = scratch.write(some.join(shared, "key"), "members")  # key, node, pivot
-    star = members.groupBy("node").agg(F.min("pivot").alias("a")).filter("a != node").select("a", F.col("node").alias("b"))
-    star = scratch.write(star, "star")
+    tied = scratch.write(ties(scratch.write(some.join(shared, "key"), "members"), nodes, scratch), "tied")
+    star = tied.groupBy("b").agg(F.min("a").alias("a"))
 
-    ids = members.select("node").distinct()
+    ids = tied.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = IdFilter(ids, "node").flag(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), F.col("node"), "maybe")
     texts = scratch.write(held.filter("maybe").drop("maybe").join(ids, "node", "left_semi"), "texts")
 
     links = scratch.write(confirmed(star, texts, size, percent), "links")
     labels = components(links, "a", "b", scratch)
-    about = scratch.write(ids.join(labels, "node", "left").join(nodes.drop("set_hash"), "node").withColumn("label", F.coalesce("label", "node")), "labels")
-    marked = members.select("key", "node").join(about.select("node", "label"), "node")
-    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
-    rest = scratch.write(members.select("key", "node").join(mixed, "key", "left_semi").join(about, "node"), "mixed")
-    cross = cross_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(scratch.write(confirmed(scratch.write(cross, "cross"), texts, size, percent), "links"))
+    clusters = components(tied, "a", "b", scratch).withColumnRenamed("label", "cluster")
+    about = clusters.join(labels, "node", "left").join(nodes.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node"))
+    about = scratch.write(about, "about")
+    mixed = about.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("cluster")
+    rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed")
+    links = links.unionByName(scratch.write(joining_links(rest, texts, size, percent), "links"))
 
     labels = components(links, "a", "b", scratch)
     named = nodes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("label", "node").alias("component"))
