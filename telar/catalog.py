@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of telar.plans that register queries: QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES = ["viability", "prices", "corpus", "stack", "schedule"]
+MODULES = ["viability", "prices", "corpus", "stack", "schedule", "questions", "graphs"]
 
 
 def _gather(attr: str) -> dict:
