@@ -17,9 +17,10 @@ nodes. Clusters whose nodes have several labels are then compared in full, but f
 in blocks of bounded size, by products of presence matrices, which give exact intersections; of the
 links found only those are reported that join two labels. Components over all links are the result.
 
-Null, empty or wordless text: empty set, linked with nothing. Rows that share an id are one
-document, which links where any of its rows does; every row gives a row. Columns other than id and
-text are left out, so they cannot clash.
+Null, empty or wordless text: empty set, linked with nothing. Every row gives a row, and its component
+follows from its own text: rows that share an id and differ in text may differ in component. keep_one()
+decides by id: all rows of an id stay or go. Columns other than id and text are left out, so they
+cannot clash.
 """
 
 from __future__ import annotations
