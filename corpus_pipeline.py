@@ -16,7 +16,7 @@ from telar.llm.op8_language_id import identify
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; the predicted language is looked at, not written over `lang`."""
     out = identify(docs, keep=docs.columns)
-    return out.filter("lang_pred <> 'und'").select(*docs.columns)
+    return out.filter("und_reason IS NULL OR und_reason <> 'no letter'").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ landmarks is fitted on the driver from a bounded sample of the labelled rows (`p
 of which `landmarks` serve as landmarks); only presence bits reach the driver. All texts are scored
 in batches by two matrix products.
 
-A text that is null or has no letter gets `und`, score 0, as do all where no labelled row exists.
+A text that is null or has no letter gets `und`, score 0, as do all where no labelled row exists (`und_reason` tells the two apart).
 `claimed` is false for `und` and where every one-versus-rest score is negative: no language takes
 the text. Null labels teach nothing. Ties go to the language that sorts first. Every row gives a row.
 """
@@ -69,19 +69,20 @@ class Model:
         landmarks = np.unpackbits(self.bits, axis=1).astype(np.float32) if self.langs else None
 
         def f(texts: list) -> list[list]:
-            lang, score, claimed = [], [], []
+            lang, score, claimed, reason = [], [], [], []
             for a in range(0, len(texts), BATCH):
                 part = texts[a : a + BATCH]
                 s = kernel(presence(part), landmarks) @ self.alpha if self.langs else None
                 for i, t in enumerate(part):
                     if not self.langs or not t or not LETTER.search(t):
                         lang.append("und"), score.append(0.0), claimed.append(False)
+                        reason.append("no letter" if not t or not LETTER.search(t) else "no model")
                         continue
                     k = int(np.argmax(s[i]))
                     others = np.delete(s[i], k)
                     lead = float(s[i][k] - others.max()) if len(others) else 2.0
-                    lang.append(self.langs[k]), score.append(min(1.0, max(0.0, 0.5 + lead / 4))), claimed.append(bool(s[i][k] > 0))
-            return [lang, score, claimed]
+                    lang.append(self.langs[k]), score.append(min(1.0, max(0.0, 0.5 + lead / 4))), claimed.append(bool(s[i][k] > 0)), reason.append(None)
+            return [lang, score, claimed, reason]
         return f
 
 
@@ -118,10 +119,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: in
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, per_lang: int = 300, landmarks: int = 32,
 ) -> DataFrame:
-    """`keep` (all) columns of docs and lang_pred, score, claimed; columns of these names are replaced."""
+    """`keep` (all) columns of docs and lang_pred, score, claimed, und_reason; columns of these names are replaced."""
     model = fit(docs, id_col, text_col, lang_col, per_lang, landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of landmarks
-    fields = [field("lang_pred", "string"), field("score", "double"), field("claimed", "boolean")]
+    fields = [field("lang_pred", "string"), field("score", "double"), field("claimed", "boolean"), field("und_reason", "string")]
     return map_texts(docs, text_col, docs.columns if keep is None else keep, fields, lambda: shared.value.scorer())
 
 
