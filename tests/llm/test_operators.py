@@ -288,6 +288,12 @@ def test_rewriting_template():
     got = op9.locate(last_only, [("user", "hi"), ("assistant", "long answer"), ("user", "more"), ("assistant", "end")])
     assert got["rewrote"] == [2] and got["out"] == "[user|hi][assistant|...][user|more][assistant|end]"
     assert [got["out"][a:z] for a, z in got["texts"]] == ["hi", "", "more", "end"]
+    long = [("assistant" if k % 2 else "user", f"text {k} ###") for k in range(90)]
+    for template in (op9.marked_turns, lambda turns: "<s>" + "".join(f"{k}:{r}={t};" for k, (r, t) in enumerate(turns))):
+        got = op9.locate(template, long)
+        assert not got["rewrote"] and [op9.unescape(got["out"][a:z]) for a, z in got["texts"]] == [t for _, t in long]
+        assert "".join(got["out"][a:z] for a, z in got["spans"]) == got["out"] == template(long)
+        assert got == op9.locate(template, long, 1000)
     plain = op9.locate(op9.marked_turns, [("user", " </turn>"), ("assistant", "a")])
     assert not plain["rewrote"] and [op9.unescape(plain["out"][a:z]) for a, z in plain["texts"]] == [" </turn>", "a"]
 
