@@ -46,10 +46,11 @@ def tokens(c: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def own_licences(files: DataFrame, least: float) -> DataFrame:
-    """(id, licence, cosine) of files with a licence of their own; files: id, text."""
+def own_licences(files: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(id, licence, cosine) of files with a licence of their own; files: id, text. Texts are read once: sentences with a licence word are written."""
     spark = files.sparkSession
     hinted = files.filter(F.col("text").rlike(HINT)).select("id", F.posexplode(F.split("text", SENTENCE)).alias("line", "sentence")).filter(F.col("sentence").rlike(HINT))
+    hinted = scratch.write(hinted, "sentences")
     counts = hinted.select("id", "line", F.explode(tokens(F.col("sentence"))).alias("w")).groupBy("id", "line", "w").agg(F.count(F.lit(1)).alias("tf"))
     n = hinted.count()
     df = counts.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
@@ -70,7 +71,7 @@ def own_licences(files: DataFrame, least: float) -> DataFrame:
 def scan_licences(files: DataFrame, scratch: Scratch, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", least: float = 0.6) -> DataFrame:
     """A row per input row: id, path, own_licence, cosine, licence, origin (own, inherited or none)."""
     src = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    own = scratch.write(own_licences(src.select("id", "text"), least), "own")
+    own = scratch.write(own_licences(src.select("id", "text"), scratch, least), "own")
     paths = src.select("id", "path", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("dir"))
     known = scratch.write(paths.join(own, "id", "left"), "paths")
 
