@@ -21,6 +21,10 @@ Null, empty or wordless text: empty set, linked with nothing. Every row gives a
 follows from its own text: rows that share an id and differ in text may differ in component. keep_one()
 decides by id: all rows of an id stay or go. Columns other than id and text are left out, so they
 cannot clash.
+
+A set's node is its least id; a set that only rows without an id have gets a number hashed from the set.
+Such rows link as all others do. Their component is the least id of their group, null where no row of
+the group has an id; they are always kept, as without an id they cannot be told from one another.
 """
 
 from __future__ import annotations
@@ -77,8 +81,13 @@ def signature(hashes: np.ndarray, mul: np.ndarray) -> bytes:
     return ((least >> U(24)) & U(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n_shingles, set_hash, sig); the last two are null for an empty set."""
+def own_node() -> Column:
+    """The node of a set that no row with an id has."""
+    return F.xxhash64("set_hash", F.lit("node"))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, keep: list[str] = ["id"]) -> DataFrame:
+    """(id, n_shingles, set_hash, sig), or `keep` (of id and text) in the place of id; the last two are null for an empty set."""
 
     def make():
         import xxhash
@@ -96,7 +105,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         return f
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_texts(src, "text", ["id"], [field("n_shingles", "long"), field("set_hash", "binary"), field("sig", "binary")], make)
+    return map_texts(src, "text", keep, [field("n_shingles", "long"), field("set_hash", "binary"), field("sig", "binary")], make)
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -246,11 +255,19 @@ def joining_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def with_ids(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, least, linked) of (node, label): labels, but the least id of the component for a label that is no id; linked is true."""
+    odd = nodes.filter("id IS NULL").select(F.col("node").alias("label"))
+    odd = labels.join(odd, "label", "left_semi").join(nodes.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("id"), F.lit(True).alias("odd"))
+    least = F.when(F.col("odd"), F.col("id")).otherwise(F.col("label"))
+    return labels.join(odd, "label", "left").select("node", least.alias("least"), F.lit(True).alias("linked"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """A row per input row: id, n_shingles, component_id (least id reachable by links), kept."""
     every = scratch.write(sketches(docs, id_col, text_col, size), "sketches")
-    nodes = every.filter("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("x"))
-    nodes = scratch.write(nodes.select("set_hash", F.col("x.id").alias("node"), F.col("x.n_shingles").alias("n"), "x.sig"), "nodes")
+    nodes = every.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.min(F.struct("n_shingles", "sig")).alias("x"))
+    nodes = scratch.write(nodes.select("set_hash", "id", F.coalesce("id", own_node()).alias("node"), F.col("x.n_shingles").alias("n"), "x.sig"), "nodes")
 
     shared = keyed(nodes).groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key")
     shared = scratch.write(shared, "shared")
@@ -260,7 +277,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     ids = tied.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = IdFilter(ids, "node").flag(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), F.col("node"), "maybe")
-    texts = scratch.write(held.filter("maybe").drop("maybe").join(ids, "node", "left_semi"), "texts")
+    texts = held.filter("maybe").drop("maybe").join(ids, "node", "left_semi")
+    bare = sketches(docs.filter(F.col(id_col).cast("long").isNull()), id_col, text_col, size, ["text"]).filter("n_shingles > 0")
+    bare = bare.select(own_node().alias("node"), "text").join(ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    texts = scratch.write(texts.unionByName(bare), "texts")
 
     links = scratch.write(confirmed(star, texts, size, percent), "links")
     labels = components(links, "a", "b", scratch)
@@ -271,11 +291,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed")
     links = links.unionByName(scratch.write(joining_links(rest, texts, size, percent), "links"))
 
-    labels = components(links, "a", "b", scratch)
-    named = nodes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("label", "node").alias("component"))
+    labels = with_ids(components(links, "a", "b", scratch), nodes)
+    named = nodes.select("set_hash", "node", F.col("id").alias("own")).join(labels, "node", "left")
+    named = named.select("set_hash", F.when(F.col("linked"), F.col("least")).otherwise(F.col("own")).alias("component"))
     out = every.join(named, "set_hash", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", **options) -> DataFrame:

@@ -176,6 +176,27 @@ def test_near_duplicate_chains(spark, scratch, monkeypatch):
     assert bag(op4.near_duplicates(df, scratch), "doc_id", "n_shingles", "component_id", "kept") == groups(table)
 
 
+def test_near_duplicates_without_ids(spark, scratch):
+    text = " ".join(f"w{k}" for k in range(60))
+    near, near2, lone = text.replace("w9 ", "x "), text + " y", " ".join(f"v{k}" for k in range(50))
+    table = [(5, text), (9, text), (None, text), (7, near), (None, lone), (None, lone + " z"), (None, "odd one"), (None, None), (3, None)]
+    table += [(30, "a " + lone.replace("v", "q")), (None, lone.replace("v", "q")), (20, lone.replace("v", "q") + " a"), (None, near2)]
+    n = {t: len(s) for (_, t), (_, s) in zip(table, sets_of(table))}
+    want = {5: 5, 9: 5, 7: 5, 3: 3, 30: 20, 20: 20, text: 5, near2: 5, lone.replace("v", "q"): 20}
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    rows = collections.Counter((i, n[t], want.get(t if i is None else i), i is None or want[i] == i) for i, t in table)
+    assert bag(op4.near_duplicates(df, scratch), "doc_id", "n_shingles", "component_id", "kept") == rows
+    assert sorted((r[0] or 0, r[1] or "") for r in op4.keep_one(df, scratch).collect()) == sorted((i or 0, t or "") for i, t in table if i not in (9, 7, 30))
+    # only the row without an id ties the other two: each differs from it by less than from the other
+    words = [f"u{k}" for k in range(60)]
+    left, right = list(words), list(words)
+    left[10] = left[20] = "l"
+    right[40] = right[50] = "r"
+    table = [(2, " ".join(left)), (1, " ".join(right)), (None, " ".join(words))]
+    got = op4.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), scratch)
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in got.collect()} == {2: (1, False), 1: (1, True), None: (1, True)}
+
+
 def test_intersections():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(12)]
