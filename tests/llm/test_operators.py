@@ -319,6 +319,30 @@ def test_rewriting_template():
     assert not plain["rewrote"] and [op9.unescape(plain["out"][a:z]) for a, z in plain["texts"]] == [" </turn>", "a"]
 
 
+def test_templates_get_true_prefixes():
+    long = [("assistant" if k % 2 else "user", f"text {k}") for k in range(40)]
+    plain = lambda turns: "".join(f"[{r}|{t}]" for r, t in turns)
+
+    def strict(turns):
+        if not turns or [r for r, _ in turns] != [r for r, _ in long[: len(turns)]]:
+            raise ValueError("roles must alternate from user on")
+        return plain(turns)
+
+    def folded(turns):  # shows a heading at 30 turns, and never again
+        return ("# half\n" if len(turns) == 30 else "") + plain(turns)
+
+    def early_and_late(turns):  # the turns at 3 and 25 rewrite the first text
+        return plain([("user", "*" * ((len(turns) > 3) + (len(turns) > 25))), *turns[1:]])
+
+    folded.each = lambda turn: plain([turn])  # declared wrongly for the prefix of 30 turns
+    got = op9.locate(strict, long)
+    assert not got["rewrote"] and [got["out"][a:z] for a, z in got["texts"]] == [t for _, t in long]
+    assert op9.locate(folded, long, 30)["rewrote"] == [29, 30]
+    del folded.each
+    assert op9.locate(folded, long)["rewrote"] == [29, 30]
+    assert op9.locate(early_and_late, long)["rewrote"] == [3, 25]
+
+
 def removed(table, length):
     data = [(i, (t or "").encode()) for i, t, *_ in table]
     n = collections.Counter(x[k : k + length] for _, x in data for k in range(len(x) - length + 1))
