@@ -138,6 +138,26 @@ def test_cycles(spark):
     assert got == want
 
 
+def test_cycles_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    ring = [(0, f"n{a}", f"n{(a + 1) % 9}") for a in range(9)]
+    have = {*ring, (1, "a", "b"), (2, "a", "a"), *((3, f"n{a}", f"n{b}") for a in range(8) for b in range(8) if rng.random() < 0.4)}
+    want = set()
+
+    def walk(g, path):
+        for _, a, b in have:
+            if (_, a) == (g, path[-1]) and b == path[0]:
+                want.add((g, tuple(path), "high" if len(path) <= 3 else "medium"))
+            elif (_, a) == (g, path[-1]) and b > path[0] and b not in path:
+                walk(g, [*path, b])
+
+    for g, a in {(g, a) for g, a, _ in have}:
+        walk(g, [a])
+    assert max(len(p) for g, p, _ in want if g == 3) > 6 and (0, tuple(f"n{k}" for k in range(9)), "medium") in want
+    got = [(r["graph_id"], tuple(r["path"]), r["severity"]) for r in graph.cycles(spark.createDataFrame(sorted(have), "graph_id int, source string, target string")).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_mmr_and_filters(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
