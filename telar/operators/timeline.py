@@ -31,23 +31,29 @@ LABELS = [
     (["entrega", "presentación", "submission"], "Fecha de entrega: "), (["inicio", "start", "comienza"], "Inicio: "), (["fin", "término", "end"], "Finalización: "),
     (["reunión", "meeting", "visita"], "Reunión/Visita: "),
 ]
-AFTER_ES, OF_ES = "(?:después|despues|post|tras|luego)", r"(?:(?:de|del)\b)?"
-RELATIVE = [  # pattern, days for one of its units
-    (rf"(\d+)\s*días?\s*{AFTER_ES}\s*{OF_ES}\s*(.+)", 1), (rf"(\d+)\s*días?\s*antes\s*{OF_ES}\s*(.+)", -1), (rf"(\d+)\s*semanas?\s*{AFTER_ES}\s*{OF_ES}\s*(.+)", 7),
-    (rf"(\d+)\s*semanas?\s*antes\s*{OF_ES}\s*(.+)", -7), (rf"(\d+)\s*meses?\s*{AFTER_ES}\s*{OF_ES}\s*(.+)", 30), (r"al?\s*(?:los)?\s*(\d+)\s*días?\s*(?:de|del)\b\s*(.+)", 1),
-    (r"(\d+)\s*days?\s*(?:after|from|post)\s*(.+)", 1), (r"(\d+)\s*days?\s*(?:before|prior to)\s*(.+)", -1),
-    (r"(\d+)\s*weeks?\s*(?:after|from|post)\s*(.+)", 7), (r"(\d+)\s*weeks?\s*(?:before|prior to)\s*(.+)", -7),
+RELATIVE = [  # pattern, days for one of its units, words of which every text it matches holds one of each list
+    (r"(\d+)\s*días?\s*(?:después|despues|post|tras|luego)\s*(?:(?:de|del)\b)?\s*(.+)", 1, [["día"], ["después", "despues", "post", "tras", "luego"]]),
+    (r"(\d+)\s*días?\s*antes\s*(?:(?:de|del)\b)?\s*(.+)", -1, [["día"], ["antes"]]),
+    (r"(\d+)\s*semanas?\s*(?:después|despues|post|tras|luego)\s*(?:(?:de|del)\b)?\s*(.+)", 7, [["semana"], ["después", "despues", "post", "tras", "luego"]]),
+    (r"(\d+)\s*semanas?\s*antes\s*(?:(?:de|del)\b)?\s*(.+)", -7, [["semana"], ["antes"]]),
+    (r"(\d+)\s*meses?\s*(?:después|despues|post|tras|luego)\s*(?:(?:de|del)\b)?\s*(.+)", 30, [["mese"], ["después", "despues", "post", "tras", "luego"]]),
+    (r"al?\s*(?:los)?\s*(\d+)\s*días?\s*(?:de|del)\b\s*(.+)", 1, [["día"], ["de"]]),
+    (r"(\d+)\s*days?\s*(?:after|from|post)\s*(.+)", 1, [["day"], ["after", "from", "post"]]),
+    (r"(\d+)\s*days?\s*(?:before|prior to)\s*(.+)", -1, [["day"], ["before", "prior to"]]),
+    (r"(\d+)\s*weeks?\s*(?:after|from|post)\s*(.+)", 7, [["week"], ["after", "from", "post"]]),
+    (r"(\d+)\s*weeks?\s*(?:before|prior to)\s*(.+)", -7, [["week"], ["before", "prior to"]]),
 ]
-UNITS_ES, UNITS_EN = "(días|dias|semanas|meses|años|anos)", "(days|weeks|months|years)"
 DURATIONS = [
-    rf"duraci[oó]n\s*(?:de|del|:)?\s*(\d+)\s*{UNITS_ES}", rf"(?:durar[aá]|vigencia\s*(?:de)?)\s*(\d+)\s*{UNITS_ES}", rf"(\d+)\s*{UNITS_ES}\s*de\s*(?:duración|vigencia)",
-    rf"duration\s*(?:of|:)?\s*(\d+)\s*{UNITS_EN}", rf"(\d+)\s*{UNITS_EN}\s*(?:duration|term)",
+    r"duraci[oó]n\s*(?:de|del|:)?\s*(\d+)\s*(días|dias|semanas|meses|años|anos)", r"(?:durar[aá]|vigencia\s*(?:de)?)\s*(\d+)\s*(días|dias|semanas|meses|años|anos)",
+    r"(\d+)\s*(días|dias|semanas|meses|años|anos)\s*de\s*(?:duración|vigencia)", r"duration\s*(?:of|:)?\s*(\d+)\s*(days|weeks|months|years)",
+    r"(\d+)\s*(days|weeks|months|years)\s*(?:duration|term)",
 ]
 UNIT_DAYS = {"días": 1, "dias": 1, "days": 1, "semanas": 7, "weeks": 7, "meses": 30, "months": 30, "años": 365, "anos": 365, "years": 365}
 
 NAMES = "|".join(MONTHS)
+INITIALS = "".join(sorted({m[0] for m in MONTHS}))  # a cheap look at one character comes before the boundary
 DATE = (
-    rf"(?iU)\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{4}}|\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}\s+(?:de\s+)?(?:{NAMES})(?:,?\s+(?:(?:de|del)\s+)?\d{{4}})?"
+    rf"(?iU)(?=[{INITIALS}\d])\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{4}}|\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}\s+(?:de\s+)?(?:{NAMES})(?:,?\s+(?:(?:de|del)\s+)?\d{{4}})?"
     rf"|(?:{NAMES})\s+\d{{1,2}},?\s+\d{{4}}|(?:{NAMES})\s+(?:(?:de|del)\s+)?\d{{4}})\b")
 
 
@@ -85,49 +91,63 @@ def context_window(text: Column, target: Column, window: int = 50) -> Column:
 
 
 def describe(original: Column, context: Column) -> Column:
-    def choose(low: Column) -> Column:
-        out = F.lit("Evento: ")
-        for words, label in reversed(LABELS):
-            out = F.when(any_of(low, words), label).otherwise(out)
-        return out
-
-    return F.concat(let(F.lower(context), choose), original)
+    low, out = F.lower(context), F.lit("Evento: ")
+    for words, label in reversed(LABELS):
+        out = F.when(any_of(low, words), label).otherwise(out)
+    return F.concat(out, original)
 
 
 def classify(original: Column, description: Column) -> Column:
     """The type with most of its words in the text; ties go to the earlier type, none to other."""
-    def best(low: Column) -> Column:
-        count = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)))
-        return F.array_max(F.array(*[F.struct(count(words).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, words) in enumerate(EVENT_WORDS.items())]))
-
-    top = let(F.lower(F.concat_ws(" ", original, description)), best)
-    return let(top, lambda x: F.when(x["n"] > 0, x["t"]).otherwise("other"))
+    low = F.lower(F.concat_ws(" ", original, description))
+    count = lambda words: reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in words])
+    other = F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit("other").alias("t"))
+    return F.array_max(F.array(other, *[F.struct(count(words).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, words) in enumerate(EVENT_WORDS.items())]))["t"]
 
 
 def valid_anchor(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def absolute_dates(docs: DataFrame, anchor: Column) -> DataFrame:
-    """doc_id, seq, original, event_date, confidence of every date expression; docs: doc_id, text."""
-    found = docs.select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(DATE), F.lit(0))).alias("seq", "original"))
-    found = found.filter(F.length("original") >= 4).withColumn("p", parse_date(F.col("original"), anchor)).filter("p.date IS NOT NULL")
-    return found.select("doc_id", "text", "seq", "original", F.col("p.date").alias("event_date"), F.when(F.col("p.inferred"), 0.7).otherwise(0.9).alias("confidence"))
+EVENT = "array<struct<seq:int,original:string,event_date:date,confidence:double,offset_days:int,dependency:string,is_relative:boolean>>"
 
 
-def relative_dates(docs: DataFrame) -> DataFrame:
-    """doc_id, seq, original, offset_days, dependency of every relative expression, pattern by pattern."""
-    low = F.lower("text")
+def dated(text: Column, anchor: Column) -> Column:
+    """Date expressions as EVENT structs; seq counts all matches."""
+    def event(m: Column, i: Column) -> Column:
+        p = parse_date(m, anchor)
+        return F.struct(
+            i.alias("seq"), m.alias("original"), p["date"].alias("event_date"), F.when(p["inferred"], 0.7).otherwise(0.9).alias("confidence"), F.lit(None).cast("int").alias("offset_days"),
+            F.lit(None).cast("string").alias("dependency"), F.lit(False).alias("is_relative"))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), event)
+    return F.filter(found, lambda x: (F.length(x["original"]) >= 4) & x["event_date"].isNotNull()).cast(EVENT)
+
+
+def relative(low: Column) -> Column:
+    """Relative expressions of a text in lower case as EVENT structs, pattern by pattern; seq begins at 100,000.
 
-    def event(days: int):
-        return lambda x: F.struct(x["g0"].alias("original"), (x["g1"].try_cast("int") * days).alias("offset_days"), F.trim(x["g2"]).alias("dependency"))
+    A pattern is tried where its words stand in the text, once; its groups are taken from the match.
+    """
+    def matches(p: str, days: int, words: list[list[str]]) -> Column:
+        part = lambda m, g: F.regexp_extract(m, "(?U)" + p, g)
+        event = lambda m: F.struct(m.alias("original"), (part(m, 1).try_cast("int") * days).alias("offset_days"), F.trim(part(m, 2)).alias("dependency"))
+        holds = reduce(lambda a, b: a & b, [any_of(low, w) for w in words])
+        return F.transform(F.when(holds, F.regexp_extract_all(low, F.lit("(?U)" + p), F.lit(0))).otherwise(F.array().cast("array<string>")), event)
 
-    every = [
-        F.transform(
-            F.arrays_zip(*[F.regexp_extract_all(low, F.lit("(?U)" + p), F.lit(g)).alias(f"g{g}") for g in range(3)]),
-            event(days))
-        for p, days in RELATIVE]
-    return docs.select("doc_id", "text", F.posexplode(F.concat(*every)).alias("seq", "r")).select("doc_id", "text", (F.col("seq") + 100_000).alias("seq"), "r.*")
+    return F.transform(F.concat(*[matches(*r) for r in RELATIVE]), lambda x, i: F.struct(
+        (i + 100_000).alias("seq"), x["original"].alias("original"), F.lit(None).cast("date").alias("event_date"), F.lit(0.8).alias("confidence"), x["offset_days"].alias("offset_days"),
+        x["dependency"].alias("dependency"), F.lit(True).alias("is_relative"))).cast(EVENT)
+
+
+def absolute_dates(docs: DataFrame, anchor: Column) -> DataFrame:
+    """doc_id, text, seq, original, event_date, confidence of every date expression; docs: doc_id, text."""
+    return docs.select("doc_id", "text", F.inline(dated(F.col("text"), anchor))).select("doc_id", "text", "seq", "original", "event_date", "confidence")
+
+
+def relative_dates(docs: DataFrame) -> DataFrame:
+    """doc_id, text, seq, original, offset_days, dependency of every relative expression, pattern by pattern."""
+    return docs.select("doc_id", "text", F.lower("text").alias("low")).select("doc_id", "text", F.inline(relative(F.col("low")))).select("doc_id", "text", "seq", "original", "offset_days", "dependency")
 
 
 def durations(docs: DataFrame) -> DataFrame:
@@ -142,41 +162,37 @@ def project_duration(found: DataFrame) -> DataFrame:
 
 
 def events(docs: DataFrame, anchor: Column) -> DataFrame:
-    """All events of the documents, described and classified; relative ones not yet resolved."""
-    a = absolute_dates(docs, anchor).withColumns({"offset_days": F.lit(None).cast("int"), "dependency": F.lit(None).cast("string"), "is_relative": F.lit(False)})
-    r = relative_dates(docs).withColumns({"event_date": F.lit(None).cast("date"), "confidence": F.lit(0.8), "is_relative": F.lit(True)})
-    out = a.unionByName(r).withColumn("description", describe(F.col("original"), context_window(F.col("text"), F.col("original"))))
+    """All events of the documents, described and classified; relative ones not yet resolved. One scan, no shuffle."""
+    text = F.col("text")
+    out = docs.select("doc_id", "text", F.lower("text").alias("low")).select("doc_id", "text", F.inline(F.concat(dated(text, anchor), relative(F.col("low")))))
+    out = out.withColumn("description", describe(F.col("original"), context_window(text, F.col("original"))))
     out = out.withColumn("event_type", classify(F.col("original"), F.col("description")))
     return out.withColumn("is_critical", F.col("event_type").isin(*CRITICAL)).drop("text")
 
 
 def resolve(found: DataFrame, anchor: str) -> DataFrame:
     """Dates of relative events: from the anchor if the dependency names the award, else from the first earlier dated event
-    of the document whose description holds the dependency; chains resolve in order. Others stay open."""
-    base = datetime.date.fromisoformat(anchor)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids, seqs, days = [], [], []
-            for doc, rows in zip(*(c.to_pylist() for c in batch.columns)):
-                dated = []
-                for r in rows:
-                    day = r["event_date"]
-                    if r["is_relative"] and r["dependency"] and r["offset_days"] is not None:
-                        dep = r["dependency"].lower()
-                        start = base if any(w in dep for w in ANCHOR_WORDS) else next((d for text, d in dated if dep in text), None)
-                        day = start + datetime.timedelta(days=r["offset_days"]) if start else None
-                    if day is not None:
-                        dated.append((r["description"].lower(), day))
-                    ids.append(doc), seqs.append(r["seq"]), days.append(day)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(days, pa.date32())], names=["doc_id", "seq", "solved"])
-
-    open_docs = found.filter("is_relative").select("doc_id").distinct()
-    rows = F.array_sort(F.collect_list(F.struct("seq", "event_date", "is_relative", "offset_days", "dependency", "description")))
-    solved = found.join(open_docs, "doc_id", "left_semi").groupBy("doc_id").agg(rows.alias("rows")).mapInArrow(run, "doc_id long, seq int, solved date")
-    return found.join(solved, ["doc_id", "seq"], "left").withColumn("event_date", F.coalesce("event_date", "solved")).drop("solved")
+    of the document whose description holds the dependency; chains resolve in order. Others stay open.
+
+    A document's events are gathered once, with one shuffle, folded in order and laid out again.
+    """
+    base = F.lit(datetime.date.fromisoformat(anchor))
+    names = [c for c in found.columns if c not in ("doc_id", "seq")]
+
+    def step(acc: Column, r: Column) -> Column:
+        dep = F.lower(r["dependency"])
+        first = F.get(F.filter(acc["dated"], lambda x: x["text"].contains(dep)), F.lit(0))["day"]
+        ahead = F.date_add(F.when(any_of(dep, ANCHOR_WORDS), base).otherwise(first), r["offset_days"])
+        return let(F.when(r["is_relative"] & (dep != "") & r["offset_days"].isNotNull(), ahead).otherwise(r["event_date"]), lambda day: F.struct(
+            F.when(day.isNull(), acc["dated"]).otherwise(F.concat(acc["dated"], F.array(F.struct(F.lower(r["description"]).alias("text"), day.alias("day"))))).alias("dated"),
+            F.concat(acc["days"], F.array(day)).alias("days")))
+
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", *names))).alias("rows"))
+    start = F.struct(F.array().cast("array<struct<text:string,day:date>>").alias("dated"), F.array().cast("array<date>").alias("days"))
+    days = F.aggregate("rows", start, step, lambda acc: acc["days"])
+    per = per.withColumn("days", F.when(F.exists("rows", lambda r: r["is_relative"]), days).otherwise(F.transform("rows", lambda r: r["event_date"])))
+    whole = F.transform("rows", lambda r, i: F.struct(*[(F.get("days", i) if c == "event_date" else r[c]).alias(c) for c in ("seq", *names)]))
+    return per.select("doc_id", F.inline(whole))
 
 
 def keep_confident(found: DataFrame, least: float = 0.5) -> DataFrame:

@@ -26,6 +26,13 @@ def oracle(sql: str) -> str:
     return sql
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer input splits than there are cores are dealt to all cores, so that costly column functions don't share
+    one task; larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 RISKS = """
 SELECT o_custkey AS tender_id, o_orderkey AS seq, concat('risk ', CAST(o_orderkey AS STRING)) AS description,
   CASE o_orderkey % 4 WHEN 0 THEN 'financial' WHEN 1 THEN 'legal' WHEN 2 THEN 'technical' ELSE 'reputational' END AS category,

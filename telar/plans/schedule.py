@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telar.operators import timeline as t
-from telar.plans.inputs import derive, oracle
+from telar.plans.inputs import derive, oracle, spread
 
 ES = "CASE month(o_orderdate) " + " ".join(f"WHEN {n} THEN '{m}'" for m, n in list(t.MONTHS.items()) if m != "setiembre" and m in list(t.MONTHS)[:13]) + " END"
 EN = "CASE month(o_orderdate) " + " ".join(f"WHEN {n} THEN '{m.capitalize()}'" for m, n in list(t.MONTHS.items())[13:]) + " END"
@@ -25,7 +25,7 @@ def anchor():
 
 
 def texts(spark, d):
-    return derive(spark, d, TEXTS)
+    return spread(derive(spark, d, TEXTS))
 
 
 def found(spark, d):

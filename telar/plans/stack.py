@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telar.operators import tech
-from telar.plans.inputs import derive, oracle
+from telar.plans.inputs import derive, oracle, spread
 
 # phrase number: surface, name, category, level, version, sentence
 PHRASES = [
@@ -32,7 +32,7 @@ COMPANIES = [("acme", ["Java", "Kubernetes", "MySQL", "Cobol"]), ("beta", ["pyth
 
 
 def texts(spark, d):
-    return derive(spark, d, TEXTS)
+    return spread(derive(spark, d, TEXTS))
 
 
 def found(spark, d):
