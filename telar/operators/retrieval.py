@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ ROUTES = [  # first match wins
     ("quantitative", ["gráfico", "grafico", "comparar", "tendencia", "estadística", "visualiza"]),
 ]
 SEPARATOR = "\n\n---\n\n"
-MOST_QUERIES = 1000
+QUERY_BLOCK = 1024
 
 
 def valid_query(question: Column, top_k: Column, threshold: Column, lam: Column) -> Column:
@@ -48,53 +48,79 @@ def metadata_filter(conditions: dict) -> Column:
     return out
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, with_vectors: bool = False) -> DataFrame:
-    """The k most similar chunks (id, embedding) of each query (query_id, embedding) by cosine; ties go to the lesser id.
+def top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, with_vectors: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+    """The k most similar chunks (id, embedding) of each query (query_id, embedding) by cosine, to 12 decimals; ties go to the lesser id.
 
-    Queries are taken to the tasks in blocks of MOST_QUERIES; each task keeps k rows per query, so
-    k x tasks x queries rows are shuffled, never the product.
+    Queries are taken to the tasks in blocks of `block_bytes`, of which the driver holds one at a time, and chunks are
+    scanned once a block: with tens of thousands of queries in it, a scan costs little beside its products. A task keeps k
+    rows a query, so k x tasks x queries rows are shuffled, never the product. Rows without a vector are left out.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // MOST_QUERIES))
+    queries, chunks = queries.filter("embedding IS NOT NULL"), chunks.filter("embedding IS NOT NULL")
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    blocks = max(1, -(-n * width * 8 * (k if with_vectors else 1) // block_bytes))
     parts = []
     for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").collect()
-        parts.append(_local_top(chunks, [(r["query_id"], list(r["embedding"])) for r in own], k, with_vectors))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").toArrow()
+        ids, vectors = own.column(0).to_numpy(), own.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        parts.append(_local_top(chunks, ids, unit(vectors.reshape(len(ids), -1)) if len(ids) else vectors, k, with_vectors))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _local_top(chunks: DataFrame, queries: list, k: int, with_vectors: bool) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast(queries)
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class Best:
+    """The k best rows of each of `queries` queries so far, as flat arrays in the order of query, score and id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.edge = k, np.full(queries, -np.inf)  # the k-th best score; -inf before there are k
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.vector = None
+
+    def add(self, first: int, s: np.ndarray, ids: np.ndarray, vectors: np.ndarray | None) -> None:
+        """s: scores of the queries from `first` on (rows) and of chunks (columns)."""
+        last, k = first + len(s), min(self.k, s.shape[1])
+        edge = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k == self.k else -np.inf, self.edge[first:last])
+        q, c = np.nonzero(s >= edge[:, None])
+        query, id_, score = (np.concatenate(p) for p in ((self.query, q + first), (self.id, ids[c]), (self.score, s[q, c])))
+        order = np.lexsort((id_, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[place < self.k]
+        if vectors is not None:
+            self.vector = (vectors[c] if self.vector is None else np.concatenate([self.vector, vectors[c]]))[kept]
+        self.query, self.id, self.score = query[place < self.k], id_[kept], score[kept]
+        full = place[place < self.k] == self.k - 1
+        self.edge[self.query[full]] = self.score[full]
+
+
+def _local_top(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, with_vectors: bool) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, vectors))  # bounded by block_bytes
     schema = "query_id long, id long, score double" + (", embedding array<float>" if with_vectors else "")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = np.array([q for q, _ in shared.value], np.int64)
-        q = np.array([v for _, v in shared.value], np.float64).reshape(len(ids), -1)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        best = None
-        for df in frames:
-            if not len(df) or not len(ids):
+    def run(batches):
+        import pyarrow as pa
+
+        ids, q = shared.value
+        best = Best(len(ids), k)
+        for batch in batches:
+            if not len(batch) or not len(ids):
                 continue
-            x = np.stack(df["embedding"].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = q @ x.T
-            rows, own = s.shape[1], df["id"].to_numpy()
-            pick = np.argpartition(-s, min(k, rows) - 1, axis=1)[:, : min(k, rows)]
-            tied = np.take_along_axis(s, pick, 1).min(axis=1)  # all ties at the edge stay for the exact order
-            at = np.nonzero(s >= tied[:, None])
-            part = pd.DataFrame({"query_id": ids[at[0]], "id": own[at[1]], "score": s[at]})
-            if with_vectors:
-                part["embedding"] = df["embedding"].to_numpy()[at[1]]
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return chunks.select("id", "embedding").mapInPandas(run, schema)
+            own, raw = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for a in range(0, len(own), 4096):
+                x = unit(raw[a : a + 4096]).T
+                for first in range(0, len(ids), QUERY_BLOCK):
+                    best.add(first, np.round(q[first : first + QUERY_BLOCK] @ x, 12), own[a : a + 4096], raw[a : a + 4096] if with_vectors else None)
+        out = [pa.array(ids[best.query] if len(ids) else best.query), pa.array(best.id), pa.array(best.score)]
+        if with_vectors:
+            rows = best.vector.astype(np.float32) if best.vector is not None else np.zeros((0, 1), np.float32)
+            out.append(pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel()))
+        yield pa.RecordBatch.from_arrays(out, names=["query_id", "id", "score", "embedding"][: len(out)])
+
+    return chunks.select(F.col("id").cast("long"), "embedding").mapInArrow(run, schema)
 
 
 def mmr(chunks: DataFrame, queries: DataFrame, k: int = 4, lam: float = 0.5, fetch: int = 3) -> DataFrame:
@@ -216,9 +242,14 @@ def question_key(question: Column) -> Column:
 def ttl_replay(log: DataFrame, seconds: int = 300) -> DataFrame:
     """hit or miss of each question (question_key, ts, seq): a hit lies within the time to live of the last miss, the limit included.
 
-    Rows arrive sorted by key; only the last miss is kept, so a key may have any number of rows.
+    After a pause longer than the time to live the next question is a miss whatever came before, so a key's rows are cut
+    there and the parts replayed in different tasks. Rows of a part arrive sorted; only the last miss is kept.
     """
-    rows = log.select("question_key", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).repartition("question_key").sortWithinPartitions("question_key", "us", "seq")
+    rows = log.select("question_key", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    w = Window.partitionBy("question_key").orderBy("us", "seq")
+    pause = F.col("us") - F.lag("us").over(w) > seconds * 1_000_000
+    rows = rows.withColumn("part", F.sum(F.coalesce(pause, F.lit(False)).cast("long")).over(w))
+    rows = rows.repartition("question_key", "part").sortWithinPartitions("question_key", "part", "us", "seq")
 
     def run(batches):
         import pyarrow as pa
@@ -226,11 +257,11 @@ def ttl_replay(log: DataFrame, seconds: int = 300) -> DataFrame:
         last = (None, 0)
         for b in batches:
             hit = []
-            for key, us in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                fresh = key == last[0] and us - last[1] <= seconds * 1_000_000
+            for key, us, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                fresh = (key, part) == last[0] and us - last[1] <= seconds * 1_000_000
                 hit.append(fresh)
                 if not fresh:
-                    last = (key, us)
+                    last = ((key, part), us)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.bool_())], names=["question_key", "seq", "hit"])
 
     return rows.mapInArrow(run, "question_key string, seq long, hit boolean")

@@ -13,7 +13,8 @@ def vectors(spark, d):
 
 
 def asked(spark, d):
-    return vectors(spark, d).filter("id < 10").select(F.col("id").alias("query_id"), "embedding")
+    """The stated set of queries: every row whose id is divisible by 20."""
+    return vectors(spark, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 def best(spark, d, k=10):
@@ -136,16 +137,27 @@ QUERIES = {f.__name__: f for f in (
 
 
 def ranked(k, where="true"):
-    return f"""h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 10 AND {where}),
+    return f"""h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND {where}),
 t AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS INT) AS rank FROM h) WHERE rank <= {k})"""
 
 
+def chosen(n):
+    """The n-th choice of each query: the best mean of score and distance to what was chosen before; ties go to the better rank."""
+    before = " UNION ALL ".join(f"SELECT query_id, id, v FROM m{i}" for i in range(1, n))
+    near = f"LEFT JOIN (SELECT c.query_id, c.id, max(list_cosine_similarity(c.v, b.v)) AS near, bool_or(c.id = b.id) AS taken FROM c JOIN ({before}) b USING (query_id) GROUP BY 1, 2) x USING (query_id, id)" if n > 1 else ""
+    value = "round(0.5 * score - 0.5 * near, 12)" if n > 1 else "score"
+    return f"""m{n} AS (SELECT query_id, id, score, v, {n} AS place FROM (SELECT c.query_id, c.id, score, c.v, row_number() OVER (PARTITION BY c.query_id ORDER BY {value} DESC, rank) AS o
+      FROM c {near} {'WHERE NOT taken' if n > 1 else ''}) WHERE o = 1)"""
+
+
 HEAVY = "regexp_matches(lower(question), 'fecha|cronograma|plazo|calendario|hito|presupuesto|monto|garantia|pago|financier|tabla|porcentaje|%|usd|ars|cantidad|cuanto|cuando|timeline|schedule')"
 G = f"""g AS (SELECT conv_id AS query_id, CAST(turn AS INT) AS line, CAST(turn + 1 AS INT) AS idx, (conv_id + turn) % 4 = 0 AS relevant FROM conversations WHERE (conv_id + turn) % 4 < 3)"""
 ORACLES = {
     "validate_query": "SELECT o_orderkey AS seq, o_orderkey % 5 <> 0 AND o_orderkey % 25 BETWEEN 1 AND 20 AND o_orderkey % 12 <= 10 AS valid FROM orders",
     "similarity_topk": f"WITH {ranked(10)} SELECT query_id, rank, id, round(score, 4) AS score FROM t",
     "metadata_filter": f"WITH {ranked(3, 'e.label >= 2 AND e.label < 7 AND e.vec_id > 20')} SELECT query_id, rank, id, round(score, 4) AS score FROM t",
+    "mmr_topk": f"""WITH {ranked(12)}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT query_id, t.id, round(score, 12) AS score, rank, v FROM t JOIN v USING (id)),
+      {chosen(1)}, {chosen(2)}, {chosen(3)}, {chosen(4)} SELECT query_id, id, round(score, 4) AS score, CAST(place AS INT) AS rank FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3 UNION ALL SELECT * FROM m4)""",
     "score_normalize": "SELECT event_id, round(CASE WHEN s < 0 THEN 0.0 WHEN s > 1 THEN greatest(0.0, 1 - s) ELSE s END, 6) AS score FROM (SELECT event_id, value / 50 - 0.5 AS s FROM events)",
     "score_threshold": f"""WITH {ranked(10)}, p AS (SELECT query_id, count(*) AS f, count(*) FILTER (WHERE score >= 0.45) AS k FROM t GROUP BY 1) SELECT query_id, f AS total_found, k AS kept,
       CASE WHEN k = 0 THEN 'Se encontraron ' || f || ' resultados pero ninguno superó el umbral de confianza (0.45). Considere reducir el threshold o reformular la consulta.' WHEN k < 10 THEN 'Solo ' || k || ' de ' || f || ' resultados superaron el umbral de confianza (0.45).' END AS warning FROM p""",
