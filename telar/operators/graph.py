@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telar.sources.files import settled
+
 # Node and relation types, and the sentence patterns with the types they give.
 NODE_TYPES = ["requirement", "stakeholder", "milestone", "resource", "risk", "document", "clause"]
 RELATIONS = ["depends_on", "blocks", "requires", "related_to", "triggered_by", "conflicts_with", "mentions"]
@@ -74,26 +76,20 @@ def extend(old: DataFrame, new: DataFrame) -> DataFrame:
     return order(old, 0).unionByName(order(new, 1))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: in the shared folder where one is set, on the executors otherwise."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def cycles(graph: DataFrame, longest: int | None = None, key: str = "graph_id") -> DataFrame:
     """Simple directed cycles (of `longest` nodes at most, if given), from their least node; self-loops count. graph: edges.
 
     Paths grow by an equi-join with the edges and never go below their first node, so each cycle is found once.
-    Without a length this goes on until no path is open, after as many steps as a graph has nodes at most.
+    This goes on until no path is open, after as many steps as a graph has nodes at most; each step's paths are
+    written to the shared folder.
     """
-    e, n = graph.select(key, "source", "target").distinct(), 1
-    e = settled(e) if longest is None else e
+    e, n = settled(graph.select(key, "source", "target").distinct(), "edges"), 1
     paths = e.filter("target >= source").select(key, F.col("source").alias("first"), F.col("target").alias("last"), F.array("source").alias("path"))
     found = paths.filter("last = first").select(key, "path")
-    while n < longest if longest is not None else not paths.filter("last <> first").isEmpty():
+    while n != longest and not paths.filter("last <> first").isEmpty():
         paths = paths.filter("last <> first").join(e.withColumnRenamed("source", "last"), [key, "last"]).filter(
             "target >= first AND (target = first OR target <> last AND NOT array_contains(path, target))").select(key, "first", F.col("target").alias("to"), F.concat("path", F.array("last")).alias("path"))
-        paths, n = paths.withColumnRenamed("to", "last"), n + 1
-        paths = settled(paths) if longest is None else paths
+        paths, n = settled(paths.withColumnRenamed("to", "last"), "paths"), n + 1
         found = found.unionByName(paths.filter("last = first").select(key, "path"))
     return found.withColumn("severity", F.when(F.size("path") <= 3, "high").otherwise("medium"))
 

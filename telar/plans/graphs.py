@@ -38,7 +38,7 @@ def linked(spark, d):
 
 
 def found(spark, d):
-    return g.cycles(linked(spark, d), 3)
+    return g.cycles(linked(spark, d))
 
 
 def pattern_triples(spark, d):
@@ -105,9 +105,10 @@ N = f"""t AS ({T}), m AS (SELECT graph_id, {ID.format('subject')} AS node_id, se
 n AS (SELECT graph_id, node_id, min(row(seq, side, label, type)) AS r FROM m GROUP BY 1, 2), nn AS (SELECT graph_id, node_id, r[3] AS label, r[4] AS type FROM n),
 e AS (SELECT graph_id, {ID.format('subject')} AS source, {ID.format('object')} AS target, max(row({{0}}, relation, confidence)) AS r FROM t GROUP BY 1, 2, 3), ee AS (SELECT graph_id, source, target, r[2] AS relation, r[3] AS weight FROM e)"""
 N0 = N.format("seq")
-C = """c AS (SELECT graph_id, [source] AS p FROM ee WHERE source = target UNION ALL SELECT a.graph_id, [a.source, a.target] FROM ee a JOIN ee b ON a.graph_id = b.graph_id AND a.target = b.source AND b.target = a.source WHERE a.source < a.target
-  UNION ALL SELECT a.graph_id, [a.source, a.target, b.target] FROM ee a JOIN ee b ON a.graph_id = b.graph_id AND a.target = b.source JOIN ee d ON d.graph_id = a.graph_id AND d.source = b.target AND d.target = a.source
-  WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target)"""
+C = """walk AS (SELECT graph_id, source AS a, target AS z, [source] AS p FROM ee WHERE target >= source
+  UNION ALL SELECT w.graph_id, w.a, ee.target, list_append(w.p, w.z) FROM walk w JOIN ee ON ee.graph_id = w.graph_id AND ee.source = w.z
+  WHERE w.z <> w.a AND ee.target >= w.a AND (ee.target = w.a OR ee.target <> w.z AND NOT list_contains(w.p, ee.target))),
+c AS (SELECT graph_id, p FROM walk WHERE a = z)"""
 ORACLES = {
     "pattern_triples": """SELECT o_orderkey AS doc_id, CAST(0 AS INT) AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'Pago Final' WHEN 1 THEN 'Módulo' || o_orderkey ELSE 'Respaldo' END AS subject, CASE o_orderkey % 4 WHEN 0 THEN 'milestone' WHEN 1 THEN 'requirement' ELSE 'resource' END AS subject_type,
       CASE o_orderkey % 4 WHEN 0 THEN 'triggered_by' WHEN 1 THEN 'requires' ELSE 'blocks' END AS relation, CASE o_orderkey % 4 WHEN 0 THEN 'Entrega Provisoria' WHEN 1 THEN 'Servidor Central' ELSE 'Multa Diaria' END AS object,
@@ -120,11 +121,11 @@ ORACLES = {
     "graph_nodes": f"WITH {N0} SELECT graph_id, node_id, label, type FROM nn",
     "graph_edges": f"WITH {N0} SELECT graph_id, source, target, relation, weight FROM ee",
     "merge_graph": f"WITH {N.format('CASE WHEN seq % 2 = 1 THEN 0 ELSE 1 END, seq')} SELECT graph_id, source, target, r[3] AS relation, r[4] AS weight FROM e",
-    "find_cycles": f"""WITH {N0}, {C}, l AS (SELECT graph_id, map_from_entries(list((node_id, label))) AS names FROM nn GROUP BY 1) SELECT c.graph_id, array_to_string(p, ',') AS path, 'high' AS severity,
+    "find_cycles": f"""WITH RECURSIVE {N0}, {C}, l AS (SELECT graph_id, map_from_entries(list((node_id, label))) AS names FROM nn GROUP BY 1) SELECT c.graph_id, array_to_string(p, ',') AS path, CASE WHEN len(p) <= 3 THEN 'high' ELSE 'medium' END AS severity,
       'Dependencia circular: ' || array_to_string(list_transform(list_append(p, p[1]), lambda x: element_at(names, x)[1]), ' → ') AS description FROM c JOIN l USING (graph_id)""",
     "graph_limits": """SELECT graph_id, n AS n_nodes, n <= 50 AS accepted, CASE WHEN n > 30 THEN 'Grafo grande: ' || n || ' nodos' END AS warning FROM (SELECT l_orderkey % 50 AS graph_id, count(DISTINCT l_partkey % (l_orderkey % 50 + 5)) + 1 AS n FROM lineitem GROUP BY 1)""",
     "graph_lookup": f"WITH {N0} SELECT graph_id, node_id, CAST(sum(o) AS BIGINT) AS edges_from, CAST(sum(i) AS BIGINT) AS edges_to FROM (SELECT graph_id, source AS node_id, 1 AS o, 0 AS i FROM ee UNION ALL SELECT graph_id, target, 0, 1 FROM ee) GROUP BY 1, 2",
-    "graph_summary": f"""WITH {N0}, {C} SELECT a.graph_id, nodes, edges, coalesce(k, 0) AS deadlocks, coalesce(k, 0) > 0 AS has_deadlocks FROM (SELECT graph_id, count(*) AS nodes FROM nn GROUP BY 1) a JOIN (SELECT graph_id, count(*) AS edges FROM ee GROUP BY 1) b USING (graph_id) LEFT JOIN (SELECT graph_id, count(*) AS k FROM c GROUP BY 1) USING (graph_id)""",
+    "graph_summary": f"""WITH RECURSIVE {N0}, {C} SELECT a.graph_id, nodes, edges, coalesce(k, 0) AS deadlocks, coalesce(k, 0) > 0 AS has_deadlocks FROM (SELECT graph_id, count(*) AS nodes FROM nn GROUP BY 1) a JOIN (SELECT graph_id, count(*) AS edges FROM ee GROUP BY 1) b USING (graph_id) LEFT JOIN (SELECT graph_id, count(*) AS k FROM c GROUP BY 1) USING (graph_id)""",
     "export_graph": f"""WITH {N0}, x AS (SELECT graph_id, 0 AS o, node_id AS a, '' AS b, '    ' || node_id || CASE type WHEN 'milestone' THEN '(("' || label || '"))' WHEN 'risk' THEN '[/"' || label || '"\\]' WHEN 'stakeholder' THEN '[["' || label || '"]]' ELSE '["' || label || '"]' END AS line FROM nn
       UNION ALL SELECT graph_id, 1, source, target, '    ' || source || ' -->|' || relation || '| ' || target FROM ee) SELECT graph_id, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY o, a, b) AS mermaid FROM x GROUP BY 1""",
     "export_graphml": f"""WITH {N0} SELECT graph_id, CAST(0 AS INT) AS part, '<node id="' || node_id || '"><data key="label">' || label || '</data><data key="type">' || type || '</data></node>' AS line FROM nn

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES = "source_file string, page_number int, text string"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telar-")
+    return f"{base.rstrip('/')}/telar-{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the session may have ended already; the folder goes with it
+        pass
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, written to the shared folder and read again: computed once, and safe when executors are lost. Deleted when the driver ends."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(delete, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder as (path, content), for check_files()."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
