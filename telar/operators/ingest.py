@@ -65,11 +65,16 @@ def emit_chunks(pages: DataFrame, chunks: Column, tables: DataFrame | None = Non
     return out.withColumn("chunk_id", chunk_id(F.col("source_file"), F.col("page_number"), F.col("content")))
 
 
+def scan_warnings(pages: DataFrame) -> DataFrame:
+    """(source_file, page_number, warning): a row per page that looks scanned."""
+    return pages.filter(is_sparse(F.col("text"))).select("source_file", "page_number", F.format_string("page %d looks scanned", F.col("page_number")).alias("warning"))
+
+
 def load_summary(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per document: pages, chunks, tables, whether OCR was used, warnings."""
+    """Per document: pages, chunks, tables, whether OCR was used, how many pages scan_warnings() names."""
     p = pages.groupBy("source_file").agg(
         F.countDistinct("page_number").alias("total_pages"), F.coalesce(F.bool_or("ocr_used"), F.lit(False)).alias("ocr_used"),
-        F.array_sort(F.collect_list(F.when(is_sparse(F.col("text")), F.format_string("page %d looks scanned", F.col("page_number"))))).alias("warnings"))
+        F.sum(is_sparse(F.col("text")).cast("int")).cast("int").alias("warnings"))
     c = chunks.groupBy("source_file").agg(F.count(F.lit(1)).alias("chunks"), F.sum((F.col("chunk_type") == "table").cast("long")).alias("tables_extracted"))
     return p.join(c, "source_file", "left").select("source_file", "total_pages", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tables_extracted", F.lit(0)).alias("tables_extracted"), "ocr_used", "warnings")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from telar.functions import chunks as ch
@@ -82,8 +79,8 @@ def paragraphs():
 
 
 def semantic_chunk(spark, d):
-    c = pages(spark, d).select("doc_id", F.explode(ch.semantic_chunks(paragraphs(), 500)).alias("c"))
-    return c.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("c", r"\s+", ""))).alias("letters"))
+    c = pages(spark, d).select("doc_id", F.posexplode(ch.semantic_chunks(paragraphs(), 500)).alias("chunk_index", "content"))
+    return c.select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 def recursive_chunk(spark, d):
@@ -94,7 +91,7 @@ def recursive_chunk(spark, d):
 def chunked(spark, d):
     p = pages(spark, d)
     t = p.filter("doc_id % 4 = 0").select("source_file", "page_number", F.array(F.array(F.lit("a"), F.lit("b|c")), F.array(F.col("doc_id").cast("string"))).alias("rows"))
-    return ingest.emit_chunks(p, F.array(F.substring("text", 1, 300)), t)
+    return ingest.emit_chunks(p, ch.semantic_chunks(paragraphs(), 500), t)
 
 
 def emit_chunks(spark, d):
@@ -112,8 +109,7 @@ def table_to_markdown(spark, d):
 
 def load_summary(spark, d):
     p = pages(spark, d).withColumn("t", ingest.choose_text(F.col("strategy"), F.col("native"), F.col("ocr"))).select("source_file", "page_number", F.col("t.text").alias("text"), "t.ocr_used")
-    out = ingest.load_summary(p, chunked(spark, d))
-    return out.withColumn("warnings", F.size("warnings"))
+    return ingest.load_summary(p, chunked(spark, d))
 
 
 def source_counts(spark, d):
@@ -124,20 +120,15 @@ def index_stats(spark, d):
     return ingest.index_stats(derive(spark, d, "SELECT embedding FROM {embeddings}"))
 
 
-def place(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telar-")
-    return f"{base.rstrip('/')}/telar-{name}-{uuid.uuid4().hex}"
-
-
 def index_append(spark, d):
-    path, rows = place(spark, "index"), derive(spark, d, "SELECT doc_id, source, n_chars FROM {documents}")
+    path, rows = files.shared_path(spark, "index"), derive(spark, d, "SELECT doc_id, source, n_chars FROM {documents}")
     files.append_to_index(rows.filter("doc_id % 2 = 0"), path)
     files.append_to_index(rows.filter("doc_id % 2 = 1"), path)
     return files.read_index(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("chars"))
 
 
 def index_replace_clear(spark, d):
-    path, rows = place(spark, "index"), derive(spark, d, "SELECT doc_id, source, n_chars FROM {documents}")
+    path, rows = files.shared_path(spark, "index"), derive(spark, d, "SELECT doc_id, source, n_chars FROM {documents}")
     files.append_to_index(rows, path)
     files.clear_index(spark, path)
     files.append_to_index(rows, path)
@@ -152,21 +143,21 @@ def stream(spark, d, table):
 
 
 def stream_ingest(spark, d):
-    out, mark = place(spark, "chunks"), place(spark, "mark")
+    out, mark = files.shared_path(spark, "chunks"), files.shared_path(spark, "mark")
     rows = stream(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").cast("int").alias("page_number"), "text")
     jobs.run_once(jobs.ingest(rows), out, mark)
     return spark.read.parquet(out).select("source_file", "page_number", "chunk_index", F.length("content").alias("n_chars"), "chunk_id")
 
 
 def stream_ttl_dedup(spark, d):
-    out, mark = place(spark, "questions"), place(spark, "mark")
+    out, mark = files.shared_path(spark, "questions"), files.shared_path(spark, "mark")
     rows = stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.sha2(F.lower(F.concat("event_type", F.col("user_id").cast("string"))), 256).alias("question_key"))
-    jobs.run_once(jobs.drop_repeats(rows, 40 * 86400), out, mark)
+    jobs.run_once(jobs.drop_repeats(rows, 6 * 3600), out, mark)
     return spark.read.parquet(out).groupBy("question_key").agg(F.count(F.lit(1)).alias("asked"))
 
 
 def stream_source_counts(spark, d):
-    out, mark = place(spark, "counts"), place(spark, "mark")
+    out, mark = files.shared_path(spark, "counts"), files.shared_path(spark, "mark")
     jobs.run_once(jobs.live_counts(stream(spark, d, "documents").select("source")), out, mark, "complete")
     return spark.read.parquet(out)
 
@@ -182,7 +173,16 @@ NOISE = f"""n AS ({oracle(NOISY)}), l AS (SELECT source_file, string_split(text,
 z AS (SELECT source_file, 'h' AS zone, unnest(ls[1:3]) AS line FROM l UNION ALL SELECT source_file, 'f', unnest(ls[greatest(len(ls) - 2, 1):]) FROM l),
 c AS (SELECT source_file, zone, {NORM.format('line')} AS pattern, count(*) AS k FROM z GROUP BY 1, 2, 3),
 noise AS (SELECT DISTINCT c.source_file, pattern FROM c JOIN (SELECT source_file, count(*) AS np FROM n GROUP BY 1) t ON t.source_file = c.source_file WHERE length(pattern) > 5 AND np >= 3 AND k >= np * 0.6)"""
-CHUNKS = f"""p AS ({P}), chunks AS (SELECT source_file, page_number, 'text' AS chunk_type, 0 AS chunk_index, trim(text[1:300]) AS content, CAST(NULL AS INT) AS table_rows FROM p WHERE trim(text) <> ''
+# paragraphs (here: lines) packed up to 500 characters, longer ones by sentences, as two folds over lists of (chunks so far, chunk at hand)
+FOLD = """list_reduce(list_prepend({{'out': CAST([] AS VARCHAR[]), 'held': ''}}, list_transform({0}, lambda {1}: {{'out': CAST([] AS VARCHAR[]), 'held': {1}}})), lambda {2}, {3}: {4})"""
+SENTENCES = FOLD.format("string_split(regexp_replace(x.held, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))", "s", "b", "y", """CASE WHEN length(b.held) + length(y.held) + 1 <= 500 THEN {'out': b.out, 'held': trim(b.held || ' ' || y.held)}
+  ELSE {'out': b.out || CASE WHEN b.held = '' THEN [] ELSE [b.held] END, 'held': y.held} END""")
+PACKED = FOLD.format("list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(t)), lambda t: t <> '')", "t", "a", "x", f"""CASE WHEN length(a.held) + length(x.held) + 2 <= 500 THEN {{'out': a.out, 'held': trim(a.held || chr(10) || chr(10) || x.held, ' ' || chr(10))}}
+  WHEN length(x.held) <= 500 THEN {{'out': a.out || CASE WHEN a.held = '' THEN [] ELSE [a.held] END, 'held': x.held}}
+  ELSE list_transform([{SENTENCES}], lambda w: {{'out': a.out || CASE WHEN a.held = '' THEN [] ELSE [a.held] END || w.out, 'held': w.held}})[1] END""")
+PIECES = f"""p AS ({P}), q AS (SELECT *, {PACKED} AS f FROM p WHERE trim(text) <> ''), r AS (SELECT * EXCLUDE (f), list_filter(list_append(f.out, f.held), lambda c: c <> '') AS cs FROM q),
+pieces AS (SELECT * EXCLUDE (cs), CAST(generate_subscripts(cs, 1) - 1 AS INT) AS chunk_index, unnest(cs) AS content FROM r)"""
+CHUNKS = f"""{PIECES}, chunks AS (SELECT source_file, page_number, 'text' AS chunk_type, chunk_index, trim(content) AS content, CAST(NULL AS INT) AS table_rows FROM pieces
   UNION ALL SELECT source_file, page_number, 'table', 0, '| a | b\\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |', 2 FROM p WHERE doc_id % 4 = 0)"""
 ORACLES = {
     "src_manifest": """SELECT path, reason IS NULL AS is_valid, reason AS reject_reason FROM (SELECT *, CASE WHEN page_id % 7 = 0 THEN 'relative path' WHEN page_id % 3 = 2 THEN 'not a .pdf name' WHEN page_id % 5 = 0 THEN 'no PDF header' END AS reason,
@@ -198,7 +198,7 @@ ORACLES = {
     "remove_noise": f"""WITH {NOISE}, x AS (SELECT source_file, page_number, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT source_file, page_number, string_split(text, chr(10)) AS ls FROM n)),
       y AS (SELECT x.*, {NORM.format('line')} AS nl FROM x)
       SELECT n.source_file, n.page_number, coalesce(string_agg(y.line, chr(10) ORDER BY i) FILTER (WHERE noise.pattern IS NULL), '') AS text FROM n LEFT JOIN y USING (source_file, page_number) LEFT JOIN noise ON noise.source_file = y.source_file AND noise.pattern = y.nl GROUP BY 1, 2""",
-    "semantic_chunk": r"SELECT doc_id, CAST(length(regexp_replace(text, '\s+', '', 'g')) AS BIGINT) AS letters FROM documents WHERE trim(text) <> ''",
+    "semantic_chunk": f"WITH {PIECES} SELECT doc_id, chunk_index, CAST(length(content) AS INT) AS n_chars, md5(content) AS content_md5 FROM pieces",
     "emit_chunks": f"WITH {CHUNKS} SELECT source_file, page_number, chunk_type, chunk_index, md5(content) AS content_md5, table_rows FROM chunks",
     "chunk_id": f"WITH {CHUNKS} SELECT source_file, page_number, chunk_type, left(md5(source_file || ':' || page_number || ':' || content[1:100]), 12) AS chunk_id FROM chunks",
     "table_to_markdown": r"SELECT o_orderkey, '| Orden | Cliente \| pie |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | a ' || o_orderpriority || ' |' || chr(10) || '|  |  |' AS markdown FROM orders",
@@ -210,6 +210,8 @@ ORACLES = {
     "index_replace_clear": "SELECT source, count(*) AS chunks, CAST(sum(CASE WHEN source IN ('src1', 'src2') THEN 1 ELSE n_chars END) AS BIGINT) AS chars FROM documents GROUP BY 1",
     "stream_ingest": """WITH x AS (SELECT source AS source_file, CAST(doc_id AS INT) AS page_number, text, unnest(range(0, length(text), 1000)) AS a FROM documents)
       SELECT source_file, page_number, CAST(a / 1000 AS INT) AS chunk_index, CAST(length(text[a + 1:a + 1000]) AS INT) AS n_chars, left(md5(source_file || ':' || page_number || ':' || text[a + 1:least(a + 100, a + 1000)]), 12) AS chunk_id FROM x""",
-    "stream_ttl_dedup": "SELECT sha256(lower(event_type || user_id)) AS question_key, CAST(1 AS BIGINT) AS asked FROM events GROUP BY 1",
+    "stream_ttl_dedup": """WITH RECURSIVE o AS (SELECT ts, sha256(lower(event_type || user_id)) AS k, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS i FROM events),
+      f AS (SELECT k, i, ts AS kept, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, CASE WHEN o.ts - f.kept > INTERVAL 6 HOUR THEN o.ts ELSE f.kept END, CASE WHEN o.ts - f.kept > INTERVAL 6 HOUR THEN 1 ELSE 0 END FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
+      SELECT k AS question_key, CAST(sum(n) AS BIGINT) AS asked FROM f GROUP BY 1""",
     "stream_source_counts": "SELECT source, count(*) AS chunks FROM documents GROUP BY 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,27 @@ def ingest(pages: DataFrame, size: int = 1000) -> DataFrame:
 
 
 def drop_repeats(questions: DataFrame, seconds: int = 300) -> DataFrame:
-    """The first of equal questions within the time to live, by the watermark."""
-    return questions.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["question_key"])
+    """Questions (question_key, ts) but those asked again within the time to live of the last one that was kept, the limit included.
+
+    The state of a key is one time, dropped when the watermark has passed it by the time to live. Rows of a batch are
+    taken in the order of time; one that comes late is measured against the last one kept.
+    """
+    def fresh(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, kept = (state.get[0] if state.exists else None), []
+        for us in np.sort(np.concatenate([f["us"].to_numpy() for f in frames])).tolist():
+            if last is None or us - last > seconds * 1_000_000:
+                last = us
+                kept.append(us)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        if kept:
+            yield pd.DataFrame({"question_key": [key[0]] * len(kept), "ts": pd.to_datetime(kept, unit="us", utc=True)})
+
+    rows = questions.select("question_key", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", f"{seconds} seconds")
+    return rows.groupBy("question_key").applyInPandasWithState(fresh, "question_key string, ts timestamp", "last long", "append", "EventTimeTimeout")
 
 
 def live_counts(chunks: DataFrame) -> DataFrame:
