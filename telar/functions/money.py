@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from telar.functions.arrays import let
+
 # Texts that stand for no amount.
 NO_AMOUNT = ["", "n/a", "-", "n.a.", "na", "s/d", "---"]
 
@@ -40,11 +40,6 @@ def clean_currency(value: Column) -> Column:
     return let(F.trim(value.cast("string")), signed)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def normalize_header(header: Column) -> Column:
     """snake_case without special characters; `column` when nothing is left."""
     h = F.regexp_replace(F.lower(F.coalesce(header, F.lit(""))), r"(?U)[^\w\s]", "")

@@ -24,7 +24,7 @@ def table_to_markdown(rows: Column) -> Column:
     cell = lambda c: F.replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")), F.lit("|"), F.lit("\\|"))
     width = F.size(rows[0])
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    body = F.transform(F.slice(rows, 2, 1 << 20), lambda r: line(F.slice(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width)), F.lit(1), width)))
+    body = F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda r: line(F.slice(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width)), F.lit(1), width)))
     head = F.array(line(F.transform(rows[0], cell)), line(F.array_repeat(F.lit("---"), width)))
     return F.when(F.coalesce(F.size(rows), F.lit(0)) < 1, "").otherwise(F.array_join(F.concat(head, body), "\n"))
 

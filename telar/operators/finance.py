@@ -65,25 +65,35 @@ def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def explode_rows(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """Data rows with their 0-based index and the first cell filled down from the last one above that isn't blank."""
-    rows = map_columns(tables).select(*keys, "head", *[f"at_{f}" for f in FIELDS], F.posexplode(F.slice("rows", 2, 1 << 20)).alias("row_index", "cells"))
+def explode_rows(tables: DataFrame, keys: list[str], outer: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """Data rows with their 0-based index and the first cell filled down from the last one above that isn't blank.
+
+    outer: a table without data rows gives a row of nulls; also: further columns of the table to keep.
+    """
+    each = F.posexplode_outer if outer else F.posexplode
+    rows = map_columns(tables).select(*keys, *also, "head", *[f"at_{f}" for f in FIELDS], each(F.slice("rows", F.lit(2), F.size("rows"))).alias("row_index", "cells"))
     w = Window.partitionBy(*keys).orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
     first = F.get("cells", F.lit(0))
     filled = F.last(F.when(~blank(first), first), ignorenulls=True).over(w)
     return rows.withColumn("first", F.coalesce(filled, first))
 
 
-def parse_rows(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """Typed rows: description, unit_price, quantity, total_price, raw_data; rows that hold nothing usable go."""
-    rows = explode_rows(tables, keys)
+def typed_rows(tables: DataFrame, keys: list[str], outer: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """Typed rows: description, unit_price, quantity, total_price, raw_data, and whether they hold something usable."""
+    rows = explode_rows(tables, keys, outer, also)
     cell = lambda f: F.when(F.col(f"at_{f}") == 0, F.col("first")).otherwise(F.get("cells", F.col(f"at_{f}")))
     names = F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.coalesce(F.get("head", i), F.concat(F.lit("col_"), i.cast("string"))))
-    cells = F.concat(F.array("first"), F.slice("cells", 2, 1 << 20))
-    out = rows.filter(F.exists(F.concat(F.array("first"), "cells"), lambda c: F.coalesce(c, F.lit("")) != "")).select(
-        *keys, "row_index", F.trim(F.coalesce(cell("description"), F.lit(""))).alias("description"),
+    cells = F.concat(F.array("first"), F.slice("cells", F.lit(2), F.size("cells")))
+    some = F.exists(F.concat(F.array("first"), "cells"), lambda c: F.coalesce(c, F.lit("")) != "")
+    out = rows.select(
+        *keys, *also, "row_index", some.alias("some"), F.trim(F.coalesce(cell("description"), F.lit(""))).alias("description"),
         *[clean_currency(cell(f)).alias(f) for f in ("unit_price", "quantity", "total_price")], F.arrays_zip(names.alias("name"), cells.alias("cell")).alias("raw_data"))
-    return out.filter("description <> '' OR unit_price IS NOT NULL OR total_price IS NOT NULL")
+    return out.withColumn("usable", F.coalesce(F.expr("some AND (description <> '' OR unit_price IS NOT NULL OR total_price IS NOT NULL)"), F.lit(False))).drop("some")
+
+
+def parse_rows(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """Typed rows that hold something usable."""
+    return typed_rows(tables, keys).filter("usable").drop("usable")
 
 
 def line_total() -> Column:
@@ -95,14 +105,16 @@ def table_totals(tables: DataFrame, keys: list[str], least: float = 0.5, hint: s
 
     keys: the document's key first, then what orders its tables.
     """
-    about = tables.select(*keys, confidence(F.col("rows")).alias("confidence"), currency(F.col("rows"), hint).alias("currency")).filter(F.col("confidence") >= least)
-    sums = parse_rows(tables, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("total_price").cast("decimal(18,2)")).alias("total"), F.sum(line_total().cast("decimal(18,2)")).alias("lines"))
-    out = about.join(sums, keys, "left")
+    rated = tables.withColumns({"confidence": confidence(F.col("rows")), "currency": currency(F.col("rows"), hint)}).filter(F.col("confidence") >= least)
+    rows = typed_rows(rated, keys, True, ("confidence", "currency"))
+    amount = lambda c: F.sum(F.when(F.col("usable"), c.cast("decimal(18,2)")))
+    out = rows.groupBy(*keys).agg(
+        F.first("confidence").alias("confidence"), F.first("currency").alias("currency"), F.sum(F.col("usable").cast("long")).alias("n_rows"),
+        amount(F.col("total_price")).alias("total"), amount(line_total()).alias("lines"))
     zero = F.lit(0).cast("decimal(18,2)")
     by = Window.partitionBy(keys[0])
     return out.select(
-        *keys, F.row_number().over(by.orderBy(*keys[1:])).alias("table_number"), "confidence", "currency", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        *keys, F.row_number().over(by.orderBy(*keys[1:])).alias("table_number"), "confidence", "currency", "n_rows",
         F.coalesce("total", zero).cast("double").alias("total_detected"), F.coalesce("lines", zero).cast("double").alias("line_total"),
         F.coalesce(F.sum("total").over(by), zero).cast("double").alias("grand_total"), F.count(F.lit(1)).over(by).alias("tables_found"))
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telar.functions.money import let
+from telar.functions.arrays import let, running_sums
 
 # Names by category, each with the surfaces that stand for it.
 NAMES = {
@@ -71,14 +71,11 @@ def pattern(strict: bool = False) -> str:
 
 
 def hits(text: Column, regex: str) -> Column:
-    """Array of (raw, offset) of all matches; offsets follow from the gaps between them."""
+    """Array of (raw, offset) of all matches; an offset is the length of all gaps and matches up to and with its own, less its own."""
     found, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<raw:string,offset:int>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["pos"] + F.length(x["gap"]) + F.length(x["raw"])).alias("pos"),
-        F.concat(acc["out"], F.array(F.struct(x["raw"].alias("raw"), (acc["pos"] + F.length(x["gap"])).alias("offset")))).alias("out"))
-    fold = lambda f: F.aggregate(F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda m, g: F.struct(m.alias("raw"), g.alias("gap"))), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(regex), let(found, fold))
+    places = lambda f: F.zip_with(f, running_sums(F.zip_with(f, F.slice(gaps, F.lit(1), F.size(f)), lambda m, g: F.length(m) + F.length(g))), lambda m, end: F.struct(
+        m.alias("raw"), (end - F.length(m)).cast("int").alias("offset")))
+    return F.when(text.rlike(regex), let(found, places))
 
 
 def mentions(texts: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
@@ -144,20 +141,18 @@ def stacks(found: DataFrame, keys: list[str]) -> DataFrame:
 
 def stack_sentence() -> Column:
     part = lambda c, most, label, rest=None: F.when(F.size(c) > 0, F.concat(
-        F.lit(label), F.array_join(F.slice(c, 1, most), ", "), F.when(F.size(c) > most, F.concat(F.lit(" (+"), (F.size(c) - most).cast("string"), F.lit(" más)"))).otherwise("") if rest else F.lit("")))
-    text = F.concat_ws(". ", part("mandatory", 5, "Stack requerido: ", True), part("nice_to_have", 3, "Deseable: "), part("forbidden", 1 << 20, "Prohibido: "))
+        F.lit(label), F.array_join(F.slice(c, 1, most) if most else F.col(c), ", "), F.when(F.size(c) > most, F.concat(F.lit(" (+"), (F.size(c) - most).cast("string"), F.lit(" más)"))).otherwise("") if rest else F.lit("")))
+    text = F.concat_ws(". ", part("mandatory", 5, "Stack requerido: ", True), part("nice_to_have", 3, "Deseable: "), part("forbidden", None, "Prohibido: "))
     return F.when(text == "", "No se detectaron tecnologías.").otherwise(F.concat(text, F.lit(".")))
 
 
-def compatibility(tenders: DataFrame, companies: DataFrame, keys: list[str]) -> DataFrame:
-    """Every tender (stacks()) with every company (company, stack): matched, missing, extra, conflicts, score, blockers.
+def compatibility(tenders: DataFrame, companies: DataFrame, bids: DataFrame, keys: list[str]) -> DataFrame:
+    """Every bid (keys, company) of a company (company, stack) for a tender (stacks()): matched, missing, extra, conflicts, score, blockers.
 
-    Companies are few and broadcast; their number is checked.
+    Two joins on keys, so the work follows the number of bids.
     """
-    if (n := companies.limit(100_001).count()) > 100_000:
-        raise ValueError(f"{n} companies or more; join them by technology instead")
     low = lambda c: F.transform(c, lambda x: F.lower(x))
-    pairs = tenders.join(F.broadcast(companies.withColumn("have", low(F.col("stack")))), F.lit(True))
+    pairs = bids.select(*keys, "company").join(tenders, keys).join(companies.select("company", "stack", low(F.col("stack")).alias("have")), "company")
     has = lambda x: F.array_contains("have", F.lower(x))
     out = pairs.select(
         *keys, "company", F.array_sort(F.filter("mandatory", has)).alias("matched"), F.array_sort(F.filter("mandatory", lambda x: ~has(x))).alias("missing"),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telar.functions.money import let
+from telar.functions.arrays import let
 
 # Month names, the words of each event type in the order that breaks ties, anchor words, patterns of offsets and durations.
 MONTHS = {

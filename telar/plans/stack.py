@@ -27,7 +27,11 @@ PHRASES = [
     ("jira", "Jira", "tool", "nice_to_have", None, "Se valorará jira para gestión."),
 ]
 CASE = lambda i: "CASE doc_id % 16 " + " ".join(f"WHEN {k} THEN " + ("NULL" if p[i] is None else "'" + p[i] + "'") for k, p in enumerate(PHRASES)) + " END"
-TEXTS = f"SELECT doc_id, CAST(doc_id % 40 AS BIGINT) AS tender_id, concat('Pliego numero ', CAST(doc_id AS STRING), '. ', chr(10), {CASE(5)}, chr(10), 'Fin.') AS text FROM {{documents}}"
+TEXTS = f"SELECT doc_id, CAST((doc_id - doc_id % 25) / 25 AS BIGINT) AS tender_id, concat('Pliego numero ', CAST(doc_id AS STRING), '. ', chr(10), {CASE(5)}, chr(10), 'Fin.') AS text FROM {{documents}}"
+# two companies bid for each tender of 25 documents
+BIDDER = lambda n: f"CASE CAST(tender_id + {n} AS BIGINT) % 4 WHEN 0 THEN 'acme' WHEN 1 THEN 'beta' WHEN 2 THEN 'gama' ELSE 'delta' END"
+BIDS = f"""WITH t AS (SELECT DISTINCT CAST((doc_id - doc_id % 25) / 25 AS BIGINT) AS tender_id FROM {{documents}})
+SELECT tender_id, {BIDDER(0)} AS company FROM t UNION ALL SELECT tender_id, {BIDDER(3)} FROM t"""
 COMPANIES = [("acme", ["Java", "Kubernetes", "MySQL", "Cobol"]), ("beta", ["python", "AWS", "React", "AngularJS", "Go"]), ("gama", []), ("delta", ["Scrum", "ISO 27001", "C#", "Spring Boot"])]
 
 
@@ -87,7 +91,7 @@ def distinct_stacks(spark, d):
 
 def compatibility(spark, d):
     companies = spark.createDataFrame(COMPANIES, "company string, stack array<string>")
-    out = tech.compatibility(distinct_stacks(spark, d), companies, ["tender_id"])
+    out = tech.compatibility(distinct_stacks(spark, d), companies, derive(spark, d, BIDS), ["tender_id"])
     return out.select("tender_id", "company", *[F.array_join(c, ",").alias(c) for c in ("matched", "missing", "extra", "conflicts")], "score", "has_blockers")
 
 
@@ -115,7 +119,7 @@ ORACLES = {
     "tech_version": f"WITH {E} SELECT doc_id, name, version FROM e",
     "requirement_level": f"WITH {E} SELECT doc_id, name, level FROM e",
     "stacks_by_level": f"WITH {E}, {STACK} SELECT tender_id, array_to_string(mandatory, ',') AS mandatory, array_to_string(nice_to_have, ',') AS nice_to_have, array_to_string(forbidden, ',') AS forbidden, total FROM st",
-    "compatibility": f"""WITH {E}, {STACK}, {COMP}, x AS (SELECT tender_id, company, mandatory, stack, list_transform(stack, lambda s: lower(s)) AS have, forbidden FROM st CROSS JOIN comp),
+    "compatibility": f"""WITH {E}, {STACK}, {COMP}, b AS ({oracle(BIDS)}), x AS (SELECT tender_id, company, mandatory, stack, list_transform(stack, lambda s: lower(s)) AS have, forbidden FROM st JOIN b USING (tender_id) JOIN comp USING (company)),
       y AS (SELECT *, list_filter(mandatory, lambda m: list_contains(have, lower(m))) AS matched, list_filter(mandatory, lambda m: NOT list_contains(have, lower(m))) AS missing,
       list_filter(stack, lambda s: NOT list_contains(list_transform(mandatory, lambda m: lower(m)), lower(s))) AS extra, list_filter(forbidden, lambda f: list_contains(have, lower(f))) AS conflicts FROM x),
       z AS (SELECT *, CASE WHEN len(mandatory) = 0 THEN 1.0 ELSE len(matched)::DOUBLE / len(mandatory) END AS raw FROM y)

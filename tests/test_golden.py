@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from telar.functions.arrays import running_sums
 from telar.functions.chunks import pack_paragraphs, split_recursively
 from telar.functions.money import clean_currency, normalize_header
 from telar.functions.text import chunk_id, normalize_line, page_numbers, table_to_markdown
@@ -190,3 +191,57 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"%PDF-")
     got = {r["path"].rsplit("/", 1)[1]: r["reject_reason"] for r in ingest.check_files(files.read_manifest(spark, str(tmp_path))).collect()}
     assert got == {"a.pdf": None, "b.pdf": "no PDF header", "c.txt": "not a .pdf name"}
+
+
+def test_running_sums(spark):
+    rng = random.Random(8)
+    rows = [(n, [rng.randrange(50) for _ in range(n)]) for n in (0, 1, 2, 3, 10, 99, 1000)] + [(-1, None)]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "n int, x array<int>").select("n", running_sums(F.col("x"))).collect()}
+    assert got == {n: x if x is None else np.cumsum(x).tolist() for n, x in rows}
+    text = "java, " * 20_000
+    got = spark.createDataFrame([(text,)], "text string").select(tech.hits(F.col("text"), tech.pattern()).alias("h")).first()["h"]
+    assert [h["offset"] for h in got] == list(range(0, 120_000, 6))
+
+
+def test_top_k_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 6)).astype(np.float32)  # many ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = chunks.filter("id % 20 = 0 OR id = 999").withColumnRenamed("id", "query_id")
+    u = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-300)
+    want = {(q, i, r) for q in range(0, 300, 20) for r, i in enumerate(sorted(range(300), key=lambda i: (-round(float(u[i] @ u[q]), 10), i))[:7], 1)}
+    for block in (1 << 20, 100):
+        assert {(r["query_id"], r["id"], r["rank"]) for r in retrieval.top_k(chunks, asked, 7, block_bytes=block).collect()} == want
+    assert retrieval.top_k(chunks, asked.limit(0)).count() == 0 and retrieval.top_k(chunks.limit(0), asked).count() == 0
+
+
+def replayed(times, seconds):
+    last, out = None, []
+    for t in times:
+        out.append(last is not None and t - last <= seconds)
+        last = last if out[-1] else t
+    return out
+
+
+def test_replay_of_pauses(spark):
+    rng = random.Random(4)
+    times = sorted(rng.randrange(4000) for _ in range(300))
+    rows = [("k", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t), i) for i, t in enumerate(times)]
+    out = retrieval.ttl_replay(spark.createDataFrame(rows, "question_key string, ts timestamp, seq long"), 30).collect()
+    assert [r["hit"] for r in sorted(out, key=lambda r: r["seq"])] == replayed(times, 30)
+
+
+def test_repeats_over_batches(spark, tmp_path):
+    from telar.streaming import jobs
+
+    rng = random.Random(9)
+    times = sorted(rng.sample(range(100_000), 90))
+    base = datetime.datetime(2024, 1, 1)
+    for part in range(3):
+        rows = [("k", base + datetime.timedelta(seconds=t)) for t in times[part * 30 : part * 30 + 30]]
+        spark.createDataFrame(rows, "question_key string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("question_key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.run_once(jobs.drop_repeats(stream, 3600), str(tmp_path / "out"), str(tmp_path / "mark"))
+    kept = sorted(r["ts"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert kept == [base + datetime.timedelta(seconds=t) for t, hit in zip(times, replayed(times, 3600)) if not hit]
