@@ -8,27 +8,33 @@ each symbol of a chunk in turn, so such a pair has a key in common with certaint
 0.8 a chunk agrees this way with probability 0.655, so a pair with more differences is missed with
 probability 0.345 ** CHUNKS, 3e-6.)
 
-Groups that share a key are not expanded into pairs. In each key, nodes are compared with a pivot, the
-least node. By the triangle inequality for signature distances, a node within RADIUS of the pivot can
+Groups that share a key are not expanded into pairs. In each key, nodes are compared with pivots, the
+least nodes. By the triangle inequality for signature distances, a node within RADIUS of a pivot can
 leave (whatever is within RADIUS of it is within 2 * RADIUS of the pivot and is tied to it); the rest
-gets a new pivot. The ties join into clusters that hold every pair within RADIUS that shares a key.
-Each node's least pivot is confirmed first, on the full sets; the components of these links label the
-nodes. Clusters whose nodes have several labels are then compared in full, but for nodes of one label:
-in blocks of bounded size, by products of presence matrices, which give exact intersections; of the
-links found only those are reported that join two labels. Components over all links are the result.
+gets new pivots, twice as many in each round, until nobody is left. No tie is made without its distance.
+The ties join into clusters that hold every pair within RADIUS that shares a key. Each node's least
+pivot is confirmed first, on the full sets; the components of these links label the nodes. Clusters
+whose nodes have several labels are then compared in full, but for nodes of one label: in blocks of
+bounded size, by products of presence matrices, which give exact intersections; of the links found only
+those are reported that join two labels. Components over all links are the result.
+
+Nodes are numbered; a number stands for the 128-bit hash of a set, so an id with two texts is two nodes.
+"Full sets" are sets of 64-bit hashes of shingles, made once from one text of each node that is compared
+at all; that two different shingles of a pair have one hash has a probability of 1e-15 for sets of a hundred.
 
 Null, empty or wordless text: empty set, linked with nothing. Every row gives a row, and its component
 follows from its own text: rows that share an id and differ in text may differ in component. keep_one()
 decides by id: all rows of an id stay or go. Columns other than id and text are left out, so they
 cannot clash.
 
-A set's node is its least id; a set that only rows without an id have gets a number hashed from the set.
-Such rows link as all others do. Their component is the least id of their group, null where no row of
-the group has an id; they are always kept, as without an id they cannot be told from one another.
+Rows without an id link as all others do. Their component is the least id of their group, null where no
+row of the group has an id; they are always kept, as without an id they cannot be told from one another.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +44,6 @@ from telar.llm.components import components
 
 CHUNKS, WIDTH, ERRORS = 12, 6, 1
 RADIUS = CHUNKS * (ERRORS + 1)
-ROUNDS = 3
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
@@ -81,13 +86,8 @@ def signature(hashes: np.ndarray, mul: np.ndarray) -> bytes:
     return ((least >> U(24)) & U(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def own_node() -> Column:
-    """The node of a set that no row with an id has."""
-    return F.xxhash64("set_hash", F.lit("node"))
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, keep: list[str] = ["id"]) -> DataFrame:
-    """(id, n_shingles, set_hash, sig), or `keep` (of id and text) in the place of id; the last two are null for an empty set."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, key, n_shingles, set_hash, sig); key names the row by id and text; set_hash and sig are null for an empty set."""
 
     def make():
         import xxhash
@@ -104,8 +104,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, keep: list[
             return [n, own, sig]
         return f
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_texts(src, "text", keep, [field("n_shingles", "long"), field("set_hash", "binary"), field("sig", "binary")], make)
+    return map_texts(keyed_texts(docs, id_col, text_col), "text", ["id", "key"], [field("n_shingles", "long"), field("set_hash", "binary"), field("sig", "binary")], make)
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    id_ = F.col(id_col).cast("long")
+    return docs.select(id_.alias("id"), F.unhex(F.md5(F.concat_ws("\n", F.coalesce(id_.cast("string"), F.lit("")), F.col(text_col)))).alias("key"), F.col(text_col).alias("text"))
+
+
+def hashed_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, hashes): the sorted hashes of each node's set, from the row that reps (node, key) names for it."""
+    flagged = IdFilter(reps, "key", buckets=1024).flag(keyed_texts(docs, id_col, text_col), F.col("key"), "maybe").filter("maybe")
+
+    def make():
+        shingles = Shingles(size)
+        return lambda texts: [[shingles(t).tobytes() for t in texts]]
+
+    made = map_texts(flagged, "text", ["key"], [field("hashes", "binary")], make).groupBy("key").agg(F.first("hashes").alias("hashes"))
+    return reps.join(made, "key").select("node", "hashes")
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -117,28 +133,23 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    sides = sides.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    sides = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
+    sides = sides.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
 
     def run(batches):
         import pyarrow as pa
 
-        shingles, last, own = Shingles(size), None, None
         for batch in batches:
-            out_a, out_b = [], []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                if ta != last:
-                    last, own = ta, shingles(ta)
-                other = shingles(tb)
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                own, other = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(own, other, assume_unique=True))
-                if both and 100 * both >= percent * (len(own) + len(other) - both):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                near.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return sides.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def distance(a: str, b: str) -> Column:
@@ -147,25 +158,27 @@ def distance(a: str, b: str) -> Column:
     return sum(((cut(a, k) != cut(b, k)).cast("int") for k in range(1, CHUNKS * WIDTH)), (cut(a, 0) != cut(b, 0)).cast("int"))
 
 
-def ties(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): nodes b tied to a pivot a with which they share a key; members: (key, node) of keys of two nodes or more."""
-    out, left = None, members
-    for r in range(ROUNDS + 1):
-        pivots = left.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a != most").select("key", "a")
-        pairs = scratch.write(left.join(pivots, "key").filter("a != node").select("key", "a", F.col("node").alias("b")), "pairs")
-        two = pairs.select("a", "b").distinct()
-        if r < ROUNDS:
-            sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-            two = two.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", distance("sig_a", "sig_b").alias("d"))
-            two = scratch.write(two.filter(F.col("d") <= 2 * RADIUS), "ties")
-        found = two.select("a", "b")
-        out = found if out is None else out.unionByName(found)
-        if r == ROUNDS:
-            break
-        left = scratch.write(pairs.join(two.filter(F.col("d") <= RADIUS).select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("node")), "left")
-        if not left.limit(1).count():
-            break
-    return out.distinct()
+def ties(members: DataFrame, nodes: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
+    """(a, b): nodes b within 2 * RADIUS of a pivot a with which they share a key; members: (key, node) of keys of two nodes or more.
+
+    A round has 1, 2, 4, ... pivots a key, `most` at most: the least node of each of so many parts of the key's nodes.
+    """
+    sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
+    found, left, n = [], members, 1
+    while True:
+        pivots = left.groupBy("key", F.pmod(F.xxhash64("node", F.lit(n)), F.lit(n)).alias("part")).agg(F.min("node").alias("a")).select("key", "a")
+        pairs = scratch.write(left.join(pivots, "key").filter("a <> node").select("key", "a", F.col("node").alias("b")), "pairs")
+        two = pairs.select("a", "b").distinct().join(sig("b"), "b").join(sig("a"), "a").select("a", "b", distance("sig_a", "sig_b").alias("d"))
+        two = scratch.write(two.filter(F.col("d") <= 2 * RADIUS), "ties")
+        found.append(two.select("a", "b"))
+        # pivots leave, and whoever is within RADIUS of one
+        near = pairs.join(two.filter(F.col("d") <= RADIUS).select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("node"))
+        rest = pairs.select("key", F.col("b").alias("node"))
+        rest = rest.distinct().join(pairs.select("key", F.col("a").alias("node")).unionByName(near), ["key", "node"], "left_anti") if n > 1 else rest.join(near, ["key", "node"], "left_anti")
+        left = scratch.write(rest, "left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
+        n = min(2 * n, most)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -188,11 +201,11 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
-def joining_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def joining_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links within clusters between nodes of different labels; nodes: cluster, node, label, n.
 
     A label with BLOCK nodes or more in a cluster has blocks of its own, the others share blocks; pairs of
-    blocks are compared unless both are of one label.
+    blocks are compared unless both are of one label. What a pair of blocks is dealt are hashed sets.
     """
     blocks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -205,16 +218,14 @@ def joining_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -
     pairs = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     block = F.xxhash64("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = placed.join(counts, ["cluster", "own"]).select("cluster", "node", "label", block.alias("block"))
-    dealt = dealt.join(pairs, ["cluster", "block"]).join(texts, "node")
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "label", "node").select("cluster", "i", "j", "node", "label", F.col("block") == F.col("i"), "text")
+    dealt = dealt.join(pairs, ["cluster", "block"]).join(sets, "node")
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "label", "node").select("cluster", "i", "j", "node", "label", F.col("block") == F.col("i"), "hashes")
 
     def run(batches):
         import pyarrow as pa
 
-        shingles = Shingles(size)
-
         def links(rows):
-            sets = [shingles(r[6]) for r in rows]
+            sets = [np.frombuffer(r[6], U) for r in rows]
             same = rows[0][1] == rows[0][2]
             left = [k for k, r in enumerate(rows) if same or r[5]]
             right = left if same else [k for k, r in enumerate(rows) if not r[5]]
@@ -255,19 +266,11 @@ def joining_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def with_ids(labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, least, linked) of (node, label): labels, but the least id of the component for a label that is no id; linked is true."""
-    odd = nodes.filter("id IS NULL").select(F.col("node").alias("label"))
-    odd = labels.join(odd, "label", "left_semi").join(nodes.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("id"), F.lit(True).alias("odd"))
-    least = F.when(F.col("odd"), F.col("id")).otherwise(F.col("label"))
-    return labels.join(odd, "label", "left").select("node", least.alias("least"), F.lit(True).alias("linked"))
-
-
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """A row per input row: id, n_shingles, component_id (least id reachable by links), kept."""
     every = scratch.write(sketches(docs, id_col, text_col, size), "sketches")
-    nodes = every.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.min(F.struct("n_shingles", "sig")).alias("x"))
-    nodes = scratch.write(nodes.select("set_hash", "id", F.coalesce("id", own_node()).alias("node"), F.col("x.n_shingles").alias("n"), "x.sig"), "nodes")
+    nodes = every.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.min(F.struct("key", "n_shingles", "sig")).alias("x"))
+    nodes = scratch.write(nodes.select("set_hash", "id", F.monotonically_increasing_id().alias("node"), "x.key", F.col("x.n_shingles").alias("n"), "x.sig"), "nodes")
 
     shared = keyed(nodes).groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key")
     shared = scratch.write(shared, "shared")
@@ -276,24 +279,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     star = tied.groupBy("b").agg(F.min("a").alias("a"))
 
     ids = tied.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = IdFilter(ids, "node").flag(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), F.col("node"), "maybe")
-    texts = held.filter("maybe").drop("maybe").join(ids, "node", "left_semi")
-    bare = sketches(docs.filter(F.col(id_col).cast("long").isNull()), id_col, text_col, size, ["text"]).filter("n_shingles > 0")
-    bare = bare.select(own_node().alias("node"), "text").join(ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = scratch.write(texts.unionByName(bare), "texts")
+    sets = scratch.write(hashed_sets(docs, scratch.write(ids.join(nodes.select("node", "key"), "node"), "reps"), id_col, text_col, size), "sets")
 
-    links = scratch.write(confirmed(star, texts, size, percent), "links")
+    links = scratch.write(confirmed(star, sets, percent), "links")
     labels = components(links, "a", "b", scratch)
     clusters = components(tied, "a", "b", scratch).withColumnRenamed("label", "cluster")
     about = clusters.join(labels, "node", "left").join(nodes.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node"))
     about = scratch.write(about, "about")
     mixed = about.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("cluster")
     rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed")
-    links = links.unionByName(scratch.write(joining_links(rest, texts, size, percent), "links"))
+    links = links.unionByName(scratch.write(joining_links(rest, sets, percent), "links"))
 
-    labels = with_ids(components(links, "a", "b", scratch), nodes)
-    named = nodes.select("set_hash", "node", F.col("id").alias("own")).join(labels, "node", "left")
-    named = named.select("set_hash", F.when(F.col("linked"), F.col("least")).otherwise(F.col("own")).alias("component"))
+    labels = scratch.write(components(links, "a", "b", scratch).join(nodes.select("node", "id"), "node"), "labels")
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    linked = labels.join(least, "label").select("node", F.struct("least").alias("linked"))
+    named = nodes.join(linked, "node", "left").select("set_hash", F.when(F.col("linked").isNull(), F.col("id")).otherwise(F.col("linked.least")).alias("component"))
     out = every.join(named, "set_hash", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -197,6 +197,41 @@ def test_near_duplicates_without_ids(spark, scratch):
     assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in got.collect()} == {2: (1, False), 1: (1, True), None: (1, True)}
 
 
+def test_ids_with_two_texts(spark, scratch):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    table = [(5, a), (5, b), (2, a + " z"), (3, b)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in op4.near_duplicates(df, scratch).collect())
+    assert got == collections.Counter([(5, 2), (5, 3), (2, 2), (3, 3)])
+
+
+def test_ties_cover_all_near_pairs(spark, scratch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 16, 72).astype(np.uint16)
+    table = []
+    for i in range(150):  # one chunk is everybody's; the rest differs by a little or by much
+        sig = base.copy()
+        far = rng.random(72) < rng.choice([0.05, 0.4, 0.9])
+        far[:6] = False
+        sig[far] = rng.integers(0, 40, int(far.sum()))
+        table.append((i, sig.tobytes()))
+    nodes = spark.createDataFrame(table, "node long, sig binary")
+    tied = {(r["a"], r["b"]) for r in op4.ties(scratch.write(op4.keyed(nodes), "members"), nodes, scratch).collect()}
+    sigs = [np.frombuffer(x, np.uint16) for _, x in table]
+    apart = lambda i, j: int((sigs[i] != sigs[j]).sum())
+    assert all(apart(a, b) <= 2 * op4.RADIUS for a, b in tied)
+    top = list(range(150))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in tied:
+        top[root(a)] = root(b)
+    assert all(root(i) == root(j) for i in range(150) for j in range(i) if apart(i, j) < op4.RADIUS)
+
+
 def test_intersections():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(12)]
