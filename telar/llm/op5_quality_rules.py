@@ -6,8 +6,9 @@ bad (of all rows where none is labelled); anomaly scores follow from path length
 threshold is calibrated on all labelled rows, through a histogram of their scores: the lowest score
 at which at most `clean_loss` of the good ones (base rules passed) would go.
 
-Null text: no words. A document without words fails the base rules. Without labels only the base
-rules decide. Several labels of a document: the lowest counts. Every row gives a row. Columns other
+Null text: no words. A document without words fails the base rules. A forest grows from whatever rows
+there are; from two rows or fewer it has nothing to tell apart, and every score is 0.5. Without a labelled good
+and a labelled bad row that pass the base rules there is no threshold, and only the base rules decide. Several labels of a document: the lowest counts. Every row gives a row. Columns other
 than id and text are left out, so they cannot clash.
 """
 
@@ -65,6 +66,7 @@ class IsolationForest:
     def __init__(self, x: np.ndarray, trees: int = 100, size: int = 64, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.size = min(size, len(x))
+        trees = trees if self.size > 1 else 0
         self.depth = int(np.ceil(np.log2(max(self.size, 2))))
         self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(trees)]
 
@@ -94,6 +96,8 @@ class IsolationForest:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; near 1 for anomalies."""
+        if not self.trees:
+            return np.full(len(x), 0.5)
         total, rows = np.zeros(len(x)), np.arange(len(x))
         for feature, cut, child, length in self.trees:
             at = np.zeros(len(x), np.int32)
@@ -105,6 +109,18 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(float(self._usual(self.size)), 1e-9))
 
 
+def threshold(bins: list[tuple[int, int, int]], clean_loss: float) -> float:
+    """The least lower edge of a bin (number, good rows, bad rows; ascending) with a bad row from which on at most the share clean_loss of all good rows lies."""
+    good, limit, above = sum(b[1] for b in bins), 1.01, 0
+    for k, n_good, n_bad in reversed(bins):
+        above += n_good
+        if not good or above > clean_loss * good:
+            break
+        if n_bad:
+            limit = k / 2000
+    return limit
+
+
 def assess(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", sample: int = 4096, clean_loss: float = 0.001) -> DataFrame:
     """A row per input row: id, the statistics, base_failed, anomaly, kept."""
     stats = map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], [field(c, "long") for c in STATS], lambda: lambda texts: list(map(list, zip(*map(statistics, texts)))))
@@ -119,9 +135,7 @@ def assess(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "
         n = source.count()
     luck = F.pmod(F.xxhash64("id", F.lit("forest")), F.lit(1_000_003))
     rows = source.withColumn("luck", luck).filter(F.col("luck") < min(1.0, 1.3 * sample / max(n, 1)) * 1_000_003).orderBy("luck", "id", *STATS).limit(sample).select(*STATS).collect()
-    if len(rows) < 16:
-        return stats.select(F.col("id").alias(id_col), *STATS, "base_failed", F.lit(0.0).alias("anomaly"), (~F.col("base_failed")).alias("kept"))
-    forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(features(np.array(rows, np.int64))))  # bounded by trees x size
+    forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(features(np.array(rows, np.int64).reshape(-1, len(STATS)))))  # bounded by trees x size
 
     def scored(df, keep):
         from pyspark.sql import types as T
@@ -139,13 +153,7 @@ def assess(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "
 
     bins = scored(marked, ["quality", *STATS]).groupBy((F.col("anomaly") * 2000).cast("int").alias("bin")).agg(
         F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad")).orderBy("bin").collect()  # 2001 rows at most
-    good, limit, above = sum(r["good"] for r in bins), 1.01, 0
-    for r in reversed(bins):
-        above += r["good"]
-        if above > clean_loss * good:
-            break
-        if r["bad"]:
-            limit = r["bin"] / 2000
+    limit = threshold([(r["bin"], r["good"], r["bad"]) for r in bins], clean_loss)
     out = scored(stats, ["id", *STATS, "base_failed"])
     return out.select(F.col("id").alias(id_col), *STATS, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") < limit)).alias("kept"))
 
