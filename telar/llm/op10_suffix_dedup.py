@@ -13,10 +13,14 @@
    a start is repeated where the copies of its interval add up to two or more.
 4. Starts go back to every document that holds the segment; covered bytes are joined and removed.
 
-An anchor with more than `widest` bytes of distinct segments isn't gathered: its windows are hashed
-one by one and counted by a group-by, which gives the same starts. Null or empty text: 0 bytes. Each
-row is a document of its own, so repeated rows repeat each other's strings. Columns other than id and
-text are left out, so they cannot clash.
+No anchor is gathered whole if it has more than `widest` bytes of distinct segments: these are cut by the
+place of their windows before the anchor's gram (CLASSES), and what all windows of a class have in common,
+up to nearly the whole window, parts the anchor into shards by longer context; equal windows stay together.
+Shards that are still too wide are cut finer, in the end to single windows, of which equal ones are one.
+
+Documents meet by a 128-bit hash of id and text, segments by two 64-bit hashes. Null or empty text: 0
+bytes. Each row is a document of its own, so repeated rows repeat each other's strings. Columns other than
+id and text are left out, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import types as T
 from telar.llm.common import IdFilter, Scratch, field, map_texts, read, sliced
 
 GRAM, SEED, PACK = 32, 14, 7
+CLASSES = (16, 400)  # into so many classes the windows of a wide anchor are cut, first and then
 SHARD_BYTES = 1_500_000
 U = np.uint64
 
@@ -65,7 +70,7 @@ def least_places(h: np.ndarray, m: int) -> np.ndarray:
 
 
 def segments(data: bytes, length: int) -> list[dict]:
-    """anchor, seg (hash of its bytes), lo, n (bytes), and hashes of the half windows on either side of the gram."""
+    """anchor, seg (hash of its bytes), lo, n (bytes), place of the gram in it, and hashes of the half windows on either side of the gram."""
     import xxhash
 
     if len(data) < length:
@@ -78,7 +83,7 @@ def segments(data: bytes, length: int) -> list[dict]:
     for lo, z, p, anchor in zip(first.tolist(), last.tolist(), at[first].tolist(), h[at[first]].view(np.int64).tolist()):
         hi = z - 1 + length
         out.append({
-            "anchor": anchor, "seg": hash64(data[lo:hi]) - (1 << 63), "lo": lo, "n": hi - lo,
+            "anchor": anchor, "seg": hash64(data[lo:hi]) - (1 << 63), "lo": lo, "n": hi - lo, "at": p - lo,
             "left": hash32(data[p - half : p]) - (1 << 31) if p - half >= lo else None,
             "right": hash32(data[p + GRAM : p + GRAM + half]) - (1 << 31) if p + GRAM + half <= hi else None,
         })
@@ -180,9 +185,12 @@ def repeated_starts(parts: list[bytes], copies: list[int], length: int) -> list[
     return out
 
 
-def _find(rows: DataFrame, length: int) -> DataFrame:
-    """rows: anchor, seg, copies, data; gives anchor, seg, starts of segments with repeated starts."""
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "seg")
+PIECES = "anchor long, seg long, copies long, at int, data binary"
+
+
+def _find(pieces: DataFrame, length: int) -> DataFrame:
+    """pieces: PIECES; gives anchor, seg, starts of segments with repeated starts."""
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "seg")
 
     def run(batches):
         import pyarrow as pa
@@ -207,23 +215,54 @@ def _find(rows: DataFrame, length: int) -> DataFrame:
     return dealt.select("anchor", "seg", "copies", "data").mapInArrow(run, "anchor long, seg long, starts array<int>")
 
 
-def _find_wide(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors too wide to gather: windows are counted by their hashes."""
+def cut_by_context(data: bytes, at: int, length: int, classes: int) -> list[tuple[int, bytes, bytes]]:
+    """(offset, bytes, common part) of the parts of a segment whose windows begin in the same class of distances to the gram at `at`.
+
+    A window that holds the gram begins length - GRAM bytes before it at most. The windows of a class share the
+    bytes from the last one's begin to the first one's end.
+    """
+    most, out = length - GRAM, []
+    step = -(-(most + 1) // classes)
+    for k in range(-(-(most + 1) // step)):
+        lo, hi = max(at - most + k * step, 0), min(at - most + (k + 1) * step - 1, at, len(data) - length)  # first and last begin
+        if lo <= hi:
+            common = data[at - most + min((k + 1) * step - 1, most) : at - most + k * step + length]
+            out.append((lo, data[lo : hi + length], k.to_bytes(4, "little") + common))
+    return out
+
+
+def _find_wide(pieces: DataFrame, length: int, widest: int, scratch: Scratch, level: int = 0) -> DataFrame:
+    """The same as _find() for anchors with more than `widest` bytes of segments, by shards of longer context."""
+    parted = f"{PIECES}, own long, part long, off int"
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        names = [c.split()[0] for c in parted.split(", ")]
         for batch in batches:
-            for anchor, seg, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
-                k = len(data) - length + 1
-                h = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * k, pa.int64()), pa.array([seg] * k, pa.int64()), pa.array([copies] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(h, pa.binary())], names=["anchor", "seg", "copies", "at", "h"])
+            for anchor, seg, copies, at, data in zip(*(c.to_pylist() for c in batch.columns)):
+                hash64 = lambda x: xxhash.xxh3_64_intdigest(x, anchor & 0xFFFFFFFF) - (1 << 63)  # noqa: B023, E731
+                out = [(anchor, seg, copies, at - off, own, hash64(common), hash64(own + b"part"), off) for off, own, common in cut_by_context(data, at, length, CLASSES[level])]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+
+    parts = scratch.write(pieces.select(*[c.split()[0] for c in PIECES.split(", ")]).mapInArrow(run, parted), "parts")
+    inner = parts.groupBy(F.col("own").alias("anchor"), F.col("part").alias("seg")).agg(F.sum("copies").alias("copies"), F.min("at").alias("at"), F.first("data").alias("data"))
+    found = _find_all(inner, length, widest, scratch, level + 1)
+    found = parts.select("anchor", "seg", "own", "part", "off").join(found.select(F.col("anchor").alias("own"), F.col("seg").alias("part"), "starts"), ["own", "part"])
+    return found.select("anchor", "seg", F.transform("starts", lambda x: x + F.col("off")).alias("starts"))
 
-    windows = rows.select("anchor", "seg", "copies", "data").mapInArrow(run, "anchor long, seg long, copies long, at int, h binary")
-    often = windows.groupBy("h").agg(F.sum("copies").alias("c")).filter("c > 1").select("h")
-    one = windows.join(often, "h").groupBy("anchor", "seg").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    return one.select("anchor", "seg", F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("starts"))
+
+def _find_all(pieces: DataFrame, length: int, widest: int, scratch: Scratch, level: int = 0) -> DataFrame:
+    pieces = scratch.write(pieces, "pieces")
+    if level == len(CLASSES):  # single windows, of which equal ones are one: an anchor can hold several only if their hashes are equal
+        return _find(pieces, length)
+    wide = pieces.groupBy("anchor").agg(F.sum(F.octet_length("data")).alias("b")).filter(F.col("b") > widest).select("anchor")
+    if wide.isEmpty():
+        return _find(pieces, length)
+    wide = scratch.write(wide, "wide")
+    return _find(pieces.join(wide, "anchor", "left_anti"), length).unionByName(_find_wide(pieces.join(wide, "anchor", "left_semi"), length, widest, scratch, level))
 
 
 def find_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, widest: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
@@ -236,21 +275,21 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, widest: i
     distinct = segs.groupBy("anchor", "seg").agg(
         F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), *[F.max(c).alias(c) for c in ("n", "left", "right")])
     distinct = scratch.write(distinct, "distinct")
-    often = distinct.groupBy("anchor").agg(F.sum("copies").alias("total"), F.sum("n").alias("bytes")).filter("total > 1").select("anchor", (F.col("bytes") > widest).alias("wide"))
+    often = distinct.groupBy("anchor").agg(F.sum("copies").alias("total")).filter("total > 1").select("anchor")
     meet = scratch.write(distinct.join(often, "anchor"), "meet")
     scratch.drop(distinct)
     half = lambda c: meet.filter(F.col(c).isNotNull()).groupBy("anchor", c).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", c, F.lit(True).alias(f"in_{c}"))
     kept = meet.join(half("left"), ["anchor", "left"], "left").join(half("right"), ["anchor", "right"], "left")
-    kept = scratch.write(kept.filter("copies > 1 OR in_left OR in_right").select("anchor", "seg", "copies", "key", "wide"), "kept")
+    kept = scratch.write(kept.filter("copies > 1 OR in_left OR in_right").select("anchor", "seg", "copies", "key"), "kept")
 
     # the bytes of each kept segment are cut from one document that holds it
-    wanted = kept.groupBy("key").agg(F.collect_list(F.struct("anchor", "seg", "copies", "wide")).alias("wanted"))
+    wanted = kept.groupBy("key").agg(F.collect_list(F.struct("anchor", "seg", "copies")).alias("wanted"))
     held = IdFilter(kept, "key").flag(docs, F.col("key"), "maybe").filter("maybe").join(wanted, "key").select("text", "wanted")
 
     def cut(batches):
         import pyarrow as pa
 
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             for part in sliced(batch, 0):
                 out = []
@@ -258,16 +297,10 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, widest: i
                     data, by = (text or "").encode(), {(w["anchor"], w["seg"]): w for w in want}
                     for s in segments(data, length):
                         if w := by.pop((s["anchor"], s["seg"]), None):
-                            out.append((w["anchor"], w["seg"], w["copies"], w["wide"], data[s["lo"] : s["lo"] + s["n"]]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["anchor", "seg", "copies", "wide", "data"])
-
-    pieces = held.mapInArrow(cut, "anchor long, seg long, copies long, wide boolean, data binary")
-    if kept.filter("wide").limit(1).count():
-        pieces = scratch.write(pieces, "pieces")
-        starts = _find(pieces.filter("NOT wide"), length).unionByName(_find_wide(pieces.filter("wide"), length))
-    else:
-        starts = _find(pieces, length)
-    starts = scratch.write(starts, "starts")
+                            out.append((w["anchor"], w["seg"], w["copies"], s["at"], data[s["lo"] : s["lo"] + s["n"]]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["anchor", "seg", "copies", "at", "data"])
+
+    starts = scratch.write(_find_all(held.mapInArrow(cut, PIECES), length, widest, scratch), "starts")
     scratch.drop(meet)
     some = IdFilter(starts, "seg", buckets=1024).flag(segs.select("key", "anchor", "seg", "lo"), F.col("seg"), "maybe").filter("maybe").drop("maybe")
     return some.join(starts, ["anchor", "seg"]).select("key", "lo", "starts"), segs
@@ -287,7 +320,7 @@ def covered(lo_starts: list[dict], length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 400, outputs: bool = True, **options) -> DataFrame:
     """A row per input row: id, n_bytes, n_removed, n_spans and, with outputs, spans and kept (bytes), else kept_sha256."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))))
     found, _ = find_repeats(src.select("key", "text"), scratch, length, **options)
     per = scratch.write(found.groupBy("key").agg(F.collect_set(F.struct("lo", "starts")).alias("repeats")), "repeats")
     flagged = IdFilter(per, "key").flag(src, F.col("key"), "maybe")

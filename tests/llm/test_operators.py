@@ -262,6 +262,43 @@ def test_forest_finds_odd_rows():
     assert s[400:].min() > np.quantile(s[:400], 0.99)
 
 
+def path_length(tree, row):
+    feature, cut, child, length = tree
+    at = 0
+    while feature[at] >= 0:
+        at = child[at] + int(row[feature[at]] >= cut[at])
+    return length[at]
+
+
+def test_verdicts_by_brute_force(spark, scratch):
+    """Scores from path lengths walked one by one, the threshold by trying every bin, and the verdict, for few and for many labelled rows."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    table = [(i, " ".join(word() + rng.choice(["", ",", ".", "#$%" * (i % 11 == 0)]) for _ in range(70))) for i in range(80)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    stats = {i: op5.statistics(t) for i, t in table}
+    for n in (0, 1, 2, 15, 16, 17, 80):
+        marks = {i: int(i % 11 > 0) for i in range(n)}
+        labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")
+        got = {r["doc_id"]: r for r in op5.assess(df, labels, scratch, clean_loss=0.05).collect()}
+        fine = [i for i, s in stats.items() if not (s[0] < 50 or 100 * s[4] > 50 * s[0])]
+        used = [i for i in fine if i in marks] or fine
+        if n > 2 or not n:
+            assert len({round(r["anomaly"], 9) for r in got.values()}) > 1
+        else:
+            assert {r["anomaly"] for r in got.values()} == {0.5}
+        good, bad = ([int(got[i]["anomaly"] * 2000) for i in fine if marks.get(i) == q] for q in (1, 0))
+        limits = [b for b in range(2001) if b in bad and good and sum(g >= b for g in good) <= 0.05 * len(good)]
+        limit = min(limits) / 2000 if limits else 1.01
+        assert all(r["kept"] == (i in fine and r["anomaly"] < limit) for i, r in got.items()), n
+        assert len(used) >= min(n, 1)
+    x = op5.features(np.array(list(stats.values())))
+    forest = op5.IsolationForest(x)
+    mean = [np.mean([path_length(t, row) for t in forest.trees]) for row in x]
+    c = 2 * (np.log(63) + np.euler_gamma) - 2 * 63 / 64
+    assert np.allclose(forest.score(x), 2.0 ** (-np.array(mean) / c))
+
+
 def test_quality_separates(spark, sf_dir, scratch):
     d, labels = (spark.read.parquet(f"{sf_dir.rsplit('sf', 1)[0]}sf0.01/{t}.parquet") for t in ("documents", "labels"))
     j = op5.assess(d, labels, scratch).join(labels, "doc_id")
@@ -369,6 +406,10 @@ def test_templates_get_true_prefixes():
     def early_and_late(turns):  # the turns at 3 and 25 rewrite the first text
         return plain([("user", "*" * ((len(turns) > 3) + (len(turns) > 25))), *turns[1:]])
 
+    def at_twenty(turns):  # rewrites history at 20 turns only
+        return plain([("user", "*") if len(turns) == 20 else turns[0], *turns[1:]])
+
+    assert op9.locate(at_twenty, long[:30])["rewrote"] == [19, 20]
     folded.each = lambda turn: plain([turn])  # declared wrongly for the prefix of 30 turns
     got = op9.locate(strict, long)
     assert not got["rewrote"] and [got["out"][a:z] for a, z in got["texts"]] == [t for _, t in long]
@@ -401,6 +442,17 @@ def test_repeats(docs, empty, scratch, widest):
     assert op10.remove_repeats(empty, scratch, widest=widest).count() == 0
 
 
+def test_repeats_round_a_passage(spark, scratch):
+    """One passage of 390 bytes in many surroundings: single windows differ, some surroundings are shared too."""
+    rng = random.Random(21)
+    passage, around = "".join(rng.choice("abcdefgh ") for _ in range(390)), ["".join(rng.choice("xyz") for _ in range(20)) for _ in range(9)]
+    table = [(i, rng.choice(around) * 30 + passage + rng.choice(around) * rng.randrange(1, 30)) for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    for widest in (1 << 20, 600, 1):
+        got = op10.remove_repeats(df, scratch, outputs=False, widest=widest)
+        assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(table, 400)
+
+
 def test_licences(spark, docs, empty, scratch):
     files = [
         ("r/LICENSE", "Released under the MIT License.\nx"), ("r/a/f.txt", "code\nLicensed under the Apache License, Version 2.0.\nmore"), ("r/a/g.txt", "plain"), ("r/b/COPYING.md", "This work is licensed under the GNU General Public License, version 3."),
