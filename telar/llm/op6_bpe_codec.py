@@ -5,10 +5,10 @@
 2. Each such shared chunk is encoded once, in the first text that holds it: not its ends, only the
    core between its first and last safe cut (a single space between printable ASCII characters, at
    which the pre-tokenizer always separates pieces).
-3. Texts with shared chunks receive the cores' ids; every join (tail of one chunk, head of the next,
-   or a run of unshared chunks) is re-encoded, and the window is widened by a piece on either side
-   to see that the ids agree; where they don't, the whole text is encoded anew. Texts without shared
-   chunks are encoded where they are.
+3. Texts with shared chunks receive the cores' ids; what lies between is encoded. At every seam the
+   window from the safe cut before it to the one behind it is encoded once more: where the ids don't
+   agree, a window round the seam replaces them, which doubles until its own two seams agree. Texts
+   without shared chunks are encoded where they are.
 4. Ids are decoded by the vocabulary's bytes.
 
 Only fingerprints, texts that hold shared chunks, and ids of cores are shuffled; which texts need the
@@ -124,32 +124,51 @@ class Codec:
 
     def with_cores(self, text: str, cores: dict[int, np.ndarray]) -> list[int]:
         """Ids of a text of which some chunks' cores are encoded already (by chunk number)."""
-        data, out, start, pend = text.encode(), [], 0, 0  # data[pend:] has no ids yet
+        data, parts, start, pend = text.encode(), [], 0, 0  # data[pend:] has no ids yet
+        part = lambda a, z: parts.append((a, z, self.encode(data[a:z].decode()))) if a < z else None
         for k, end in enumerate(cuts(data)):
             if (ids := cores.get(k)) is not None:
                 a, z = (start + x for x in core(data[start:end]))
-                if not self._join(data, pend, a, z, out):
-                    return self.encode(text)
-                out.append(ids.tolist())
+                part(pend, a)
+                parts.append((a, z, ids.tolist()))
                 pend = z
             start = end
-        if not self._join(data, pend, len(data), None, out):
-            return self.encode(text)
-        return list(chain.from_iterable(out))
-
-    def _join(self, data: bytes, lo: int, hi: int, core_end: int | None, out: list) -> bool:
-        """Encode data[lo:hi], which lies between two cores, and widen it by a piece of either to see that they agree."""
-        ids = self.encode(data[lo:hi].decode())
-        left = data[:lo].rfind(b" ") if lo else lo
-        right = hi
-        if core_end is not None:
-            m = SAFE.search(data, hi + 1, core_end + 2)
-            right = m.start() if m else core_end
-        if left < lo and lo and not SAFE.match(data, left):
-            left = lo
-        wide = self.library(data[left:right].decode()) if right - left < 4096 else None
-        out.append(ids)
-        return wide is None or wide == self.encode(data[left:lo].decode()) + ids + self.encode(data[hi:right].decode())
+        part(pend, len(data))
+        out: list[tuple[int, int, list[int]]] = []
+        for a, z, ids in parts:
+            if not out or self.agrees(data, out[-1][0], a, z):
+                out.append((a, z, ids))
+            else:
+                first = out.pop()[0]
+                out.append((first, z, self.repaired(data, first, a, z)))
+        return list(chain.from_iterable(ids for _, _, ids in out))
+
+    def agrees(self, data: bytes, a: int, x: int, z: int) -> bool:
+        """Whether data[a:x] and data[x:z] may be encoded apart, seen from the nearest safe cuts on either side of x."""
+        left, right = cut_before(data, a, x), cut_behind(data, x, z)
+        return self.library(data[left:right].decode()) == self.encode(data[left:x].decode()) + self.encode(data[x:right].decode())
+
+    def repaired(self, data: bytes, a: int, x: int, z: int, width: int = 256) -> list[int]:
+        """Ids of data[a:z], whose parts do not agree at x: by a window round x that doubles until it agrees with the rest."""
+        while True:
+            left, right = cut_before(data, a, x - width), cut_behind(data, x + width, z)
+            if (left == a or self.agrees(data, a, left, right)) and (right == z or self.agrees(data, left, right, z)):
+                return self.encode(data[a:left].decode()) + self.library(data[left:right].decode()) + self.encode(data[right:z].decode())
+            width *= 2
+
+
+def cut_before(data: bytes, a: int, x: int) -> int:
+    """The last safe cut between a and x, else a."""
+    while (x := data.rfind(b" ", a + 1, max(x, a + 1))) > a:
+        if SAFE.match(data, x):
+            return x
+    return a
+
+
+def cut_behind(data: bytes, x: int, z: int) -> int:
+    """The first safe cut between x and z, else z."""
+    m = SAFE.search(data, x + 1, z + 1) if x < z else None
+    return m.start() if m and m.start() < z else z
 
 
 CODECS: dict = {}
