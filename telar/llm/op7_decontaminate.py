@@ -6,19 +6,22 @@ a separator after each. It is suffix-sorted by prefix doubling; the Burrows-Whee
 into a wavelet matrix; all phrases are searched backward at once by its ranks; occurrences are
 located by walking to sampled suffix positions; their word spans are merged.
 
-Phrases are broadcast in blocks of at most `block_bytes` of text; with one block (the usual case)
-nothing is shuffled, with more their spans are joined by document.
+Phrases are made once, as arrays of integers, and broadcast in blocks of items that have about
+`block_words` words together; with one block (the usual case) nothing is shuffled, with more their spans
+are joined by document. An item is one block's, however long.
 
-Null or empty text: no words, no hits. Items with null or wordless text have no window. Every row
-gives a row. Columns that bear a new column's name are replaced in decontaminate().
+Null or empty text: no words, no hits. Items with null or wordless text have no window. Several rows of
+one item_id are one item. Every row gives a row. Columns of `keep` that bear a new column's name are
+replaced in decontaminate().
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.llm.common import Scratch, field, map_texts, read
@@ -109,7 +112,7 @@ class FMIndex:
         hi = np.full(len(phrases), self.n, np.int64)
         live = np.arange(len(phrases))
         for k in reversed(range(phrases.shape[1])):
-            sym = phrases[live, k]
+            sym = phrases[live, k].astype(np.int64)
             lo[live] = self.before[sym] + self.wavelet.rank(sym, lo[live])
             hi[live] = self.before[sym] + self.wavelet.rank(sym, hi[live])
             live = live[hi[live] > lo[live]]
@@ -130,22 +133,23 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct windows of the items, by length, and which items each comes from."""
+    """Distinct windows of the items, by length, and which items each comes from (of phrase p: owners[at[p] : at[p + 1]])."""
 
-    def __init__(self, items: list[tuple], window: int):
+    def __init__(self, items: Iterable[tuple], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items = [i for i, _ in items]
-        found: dict[tuple, set] = {}
-        for k, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")]
-            n = min(window, len(ids))
-            for a in range(len(ids) - n + 1) if n else ():
-                found.setdefault(tuple(ids[a : a + n]), set()).add(k)
-        self.least = min(map(len, found), default=0)
-        self.groups = []
-        for n in sorted({len(p) for p in found}):
-            own = [p for p in found if len(p) == n]
-            self.groups.append((np.array(own, np.int64), [sorted(found[p]) for p in own]))
+        number: dict[str, int] = {}
+        found: dict[int, list] = {}
+        for name, text in items:
+            k = number.setdefault(str(name), len(number))
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")), np.int32)
+            if n := min(window, len(ids)):
+                own = np.lib.stride_tricks.sliding_window_view(ids, n)
+                found.setdefault(n, []).append((own, np.full(len(own), k, np.int32)))
+        self.items, self.least, self.groups = list(number), min(found, default=0), []
+        for own in map(found.__getitem__, sorted(found)):
+            phrases, which = np.unique(np.concatenate([p for p, _ in own]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate([k for _, k in own])], 1), axis=0)
+            self.groups.append((phrases, np.searchsorted(pairs[:, 0], np.arange(len(phrases) + 1)), pairs[:, 1]))
 
     def find(self, texts: list) -> list[list]:
         """n_words, hit word spans, hit character spans and items of every text: one shard."""
@@ -165,7 +169,7 @@ class Phrases:
         if runs:
             index = FMIndex(runs, len(self.vocabulary))
             of_doc, of_word = np.array(where).T
-            for phrases, owners in self.groups:
+            for phrases, first, owners in self.groups:
                 lo, hi = index.search(phrases)
                 which = np.repeat(np.arange(len(lo)), hi - lo)
                 if not len(which):
@@ -177,11 +181,11 @@ class Phrases:
                 for d, a in zip(doc.tolist(), start.tolist()):
                     spans[d].append((a, a + phrases.shape[1]))
                 for d, p in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-                    items[d].update(owners[p])
+                    items[d].update(owners[first[p] : first[p + 1]].tolist())
         merged = [merge(s) for s in spans]
         chars = [[(at[a][0], at[z - 1][1]) for a, z in m] if m and (at := [x.span() for x in WORD.finditer(fold(t))]) else [] for m, t in zip(merged, texts)]
         pairs = lambda rows: [[{"a": a, "z": z} for a, z in r] for r in rows]
-        return [n_words, pairs(merged), pairs(chars), [[str(self.items[k]) for k in s] for s in items]]
+        return [n_words, pairs(merged), pairs(chars), [[self.items[k] for k in s] for s in items]]
 
 
 def fold(text: str) -> str:
@@ -201,29 +205,36 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "array<struct<a:int,z:int>>"
 
 
-def merged_spans(c: Column) -> Column:
-    """Union of spans, as DataFrame functions."""
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["z"] >= s["a"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["z"], s["z"]).alias("z")))),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(F.array_sort(c), F.array().cast(SPANS), step)
+def merged_by_key(parts: DataFrame) -> DataFrame:
+    """(__key, hits, cuts, items) of the blocks' rows of each document: the union of their spans, and their items."""
+    per = parts.groupBy("__key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "cuts", "items")])
+
+    def run(batches):
+        import pyarrow as pa
+
+        spans = pa.list_(pa.struct([pa.field("a", pa.int32()), pa.field("z", pa.int32())]))
+        union = lambda column: pa.array([[{"a": a, "z": z} for a, z in merge([(s["a"], s["z"]) for s in row])] for row in column.to_pylist()], spans)
+        for b in batches:
+            items = pa.array([list(dict.fromkeys(row)) for row in b.column(3).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), union(b.column(1)), union(b.column(2)), items], names=["__key", "hits", "cuts", "items"])
+
+    return per.mapInArrow(run, per.schema)
 
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, block_bytes: int = 32 << 20, scratch: Scratch | None = None, keep: list[str] | None = None,
+    window: int = 10, block_words: int = 500_000, scratch: Scratch | None = None, keep: list[str] | None = None,
 ) -> DataFrame:
     """`keep` (all) columns of docs, and n_words, hits (word spans), cuts (character spans to remove), items (ids as text)."""
     keep = docs.columns if keep is None else keep
-    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = 1 + size // block_bytes
+    size = items.agg(F.sum(F.size(F.regexp_extract_all(item_text, F.lit(WORD.pattern), F.lit(0))))).first()[0] or 0
+    blocks = 1 + size // block_words
     fields = [field("n_words", "int"), field("hits", SPANS), field("cuts", SPANS), field("items", "array<string>")]
 
     def pass_over(df, kept, b):
         own = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b).select(item_id, item_text)
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
-        return map_texts(df, text_col, kept, fields, lambda: Phrases(shared.value, window).find)
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases(map(tuple, own.toLocalIterator()), window))  # bounded by block_words
+        return map_texts(df, text_col, kept, fields, lambda: shared.value.find)
 
     if blocks == 1:
         return pass_over(docs, keep, 0)
@@ -233,8 +244,7 @@ def decontaminate(
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = every.groupBy("__key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "cuts", "items")])
-    every = every.select("__key", merged_spans(F.col("hits")).alias("hits"), merged_spans(F.col("cuts")).alias("cuts"), F.array_distinct("items").alias("items"))
+    every = merged_by_key(every)
     base = map_texts(keyed, text_col, [*keep, "__key"], fields[:1], lambda: lambda texts: [[len(words(t)) if t else 0 for t in texts]])
     out = base.drop("hits", "cuts", "items").join(every, "__key", "left").drop("__key")
     return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("hits", "cuts", "items")})
