@@ -3,28 +3,28 @@
 A text is the set of its byte n-grams (n = 1 to 3, lower case, whatever is no letter counts as a
 space), hashed into DIM bits: a blended-spectrum presence vector. The kernel of two texts is the
 square of the cosine of their vectors. A one-versus-rest kernel ridge regression with Nystrom
-landmarks is fitted on the driver from a bounded sample of the labelled rows (`per_lang` a language,
-of which `landmarks` serve as landmarks); only presence bits reach the driver. All texts are scored
-in batches by two matrix products.
+landmarks is fitted from a bounded sample of the labelled rows: `per_lang` a language, of which
+`landmarks` serve as landmarks (fewer, but one at least, where all languages would have more than
+`most_landmarks`). The sample's kernel rows are multiplied on the executors; the landmarks' bits and the
+products, whose size is the square of the number of landmarks, reach the driver. All texts are scored in
+batches by two matrix products.
 
-A text that is null or has no letter gets `und`, score 0, as do all where no labelled row exists (`und_reason` tells the two apart).
+A text that is null or has no letter (by str.isalpha) gets `und`, score 0, as do all where no labelled row exists (`und_reason` tells the two apart).
 `claimed` is false for `und` and where every one-versus-rest score is negative: no language takes
 the text. Null labels teach nothing. Ties go to the language that sorts first. Every row gives a row.
+Columns of `keep` that bear a new column's name are replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telar.llm.common import field, map_texts, read
+from telar.llm.common import Scratch, field, map_texts, read
 
 DIM = 1 << 14
 BATCH = 256
-LETTER = re.compile(r"[^\W\d_]")
 SPACED = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -49,21 +49,10 @@ def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Fitted on (language, presence bits) rows."""
-
-    def __init__(self, rows: list[tuple[str, bytes]], landmarks: int, ridge: float = 1e-3):
-        self.langs = sorted({lang for lang, _ in rows})
-        if not rows:
-            return
-        x = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-        seen: dict[str, int] = {}
-        pick = [i for i, (lang, _) in enumerate(rows) if seen.setdefault(lang, 0) < landmarks and not seen.update({lang: seen[lang] + 1})]
-        y = np.where(np.array([lang for lang, _ in rows])[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
-        weight = np.array([1 / sum(lang == r for r, _ in rows) for lang, _ in rows])[:, None]  # languages count alike
-        self.bits = np.packbits(x[pick].astype(bool), axis=1)
-        k = kernel(x, x[pick]).astype(np.float64)
-        own = kernel(x[pick], x[pick]).astype(np.float64)
-        self.alpha = np.linalg.solve(k.T @ (weight * k) + ridge * own + 1e-8 * np.eye(len(pick)), k.T @ (weight * y)).astype(np.float32)
+    """Languages, the landmarks' packed bits, and a column of weights for each language."""
+
+    def __init__(self, langs: list[str], bits: np.ndarray, alpha: np.ndarray):
+        self.langs, self.bits, self.alpha = langs, bits, alpha
 
     def scorer(self):
         landmarks = np.unpackbits(self.bits, axis=1).astype(np.float32) if self.langs else None
@@ -74,9 +63,9 @@ class Model:
                 part = texts[a : a + BATCH]
                 s = kernel(presence(part), landmarks) @ self.alpha if self.langs else None
                 for i, t in enumerate(part):
-                    if not self.langs or not t or not LETTER.search(t):
-                        lang.append("und"), score.append(0.0), claimed.append(False)
-                        reason.append("no letter" if not t or not LETTER.search(t) else "no model")
+                    letter = any(map(str.isalpha, t or ""))
+                    if not self.langs or not letter:
+                        lang.append("und"), score.append(0.0), claimed.append(False), reason.append("no model" if letter else "no letter")
                         continue
                     k = int(np.argmax(s[i]))
                     others = np.delete(s[i], k)
@@ -90,37 +79,62 @@ def fold_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, landmarks: int, most_langs: int = 512) -> Model:
+def fit(
+    docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, lang_col: str, per_lang: int, landmarks: int, most_landmarks: int = 4096, ridge: float = 1e-3,
+) -> Model:
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold_of(id_col) != 1))
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().limit(most_langs + 1).collect()  # a row for each language
-    if len(counts) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    if not counts:
-        return Model([], landmarks)
-    # a hash of the id picks about 1.5 per_lang rows of each language, on the executors
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))])
-    luck = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_003))
-    some = labelled.withColumn("luck", luck).filter(F.col("luck") < rate[F.col(lang_col)] * 1_000_003)
-    some = some.select(F.col(lang_col).alias("lang"), "luck", F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    sizes = labelled.groupBy("lang").count()  # a row for each language
+    # a hash of the id picks about 1.5 per_lang rows of each language where they are; of these the per_lang least stay
+    luck = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003))
+    some = labelled.withColumn("luck", luck).join(F.broadcast(sizes), "lang").filter(F.col("luck") * F.col("count") < 1.5 * per_lang * 1_000_003)
 
     def make():
         return lambda texts: [[b.tobytes() for a in range(0, len(texts), BATCH) for b in np.packbits(presence(texts[a : a + BATCH]).astype(bool), axis=1)]]
 
-    rows = map_texts(some, "text", ["lang", "luck", "id"], [field("bits", "binary")], make).collect()
-    took: dict[str, int] = {}
-    kept = []
-    for r in sorted(rows, key=lambda r: (r["luck"], r["id"], r["lang"], bytes(r["bits"]))):
-        took[r["lang"]] = took.get(r["lang"], 0) + 1
-        if took[r["lang"]] <= per_lang:
-            kept.append((r["lang"], bytes(r["bits"])))
-    return Model(kept, landmarks)
+    bits = map_texts(some, "text", ["lang", "luck", "id"], [field("bits", "binary")], make)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("luck", "id", "bits"))
+    sample = scratch.write(bits.withColumn("place", place).filter(F.col("place") <= per_lang).select("lang", "place", "bits"), "sample")
+
+    taught = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    langs = sorted(taught)
+    if not langs:
+        return Model([], np.zeros((0, DIM // 8), np.uint8), np.zeros((0, 0), np.float32))
+    each = max(1, min(landmarks, most_landmarks // len(langs)))
+    marks = np.stack([np.frombuffer(r["bits"], np.uint8) for r in sample.filter(F.col("place") <= each).orderBy("lang", "place").collect()])
+    shared = docs.sparkSession.sparkContext.broadcast(marks)  # most_landmarks or one a language
+
+    def products(batches):
+        import pyarrow as pa
+
+        own = np.unpackbits(shared.value, axis=1).astype(np.float32)
+        gram, right = np.zeros((len(own), len(own))), np.zeros((len(own), len(langs)))
+        for batch in batches:
+            for a in range(0, len(batch), BATCH):
+                part = batch.slice(a, BATCH)
+                x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in part.column(1).to_pylist()]), axis=1).astype(np.float32)
+                names = part.column(0).to_pylist()
+                weight = np.array([1 / taught[n] for n in names])[:, None]  # languages count alike
+                y = np.where(np.array(names)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
+                k = kernel(x, own).astype(np.float64)
+                gram += k.T @ (weight * k)
+                right += k.T @ (weight * y)
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([right.tobytes()])], names=["gram", "right"])
+
+    rows = sample.select("lang", "bits", "place").repartition(1 + sum(taught.values()) // 8192, "lang", "place").select("lang", "bits").mapInArrow(products, "gram binary, right binary").collect()
+    gram = sum(np.frombuffer(r["gram"]).reshape(len(marks), -1) for r in rows)
+    right = sum(np.frombuffer(r["right"]).reshape(len(marks), -1) for r in rows)
+    x = np.unpackbits(marks, axis=1).astype(np.float32)
+    alpha = np.linalg.solve(gram + ridge * kernel(x, x).astype(np.float64) + 1e-8 * np.eye(len(marks)), right)
+    return Model(langs, marks, alpha.astype(np.float32))
 
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, per_lang: int = 300, landmarks: int = 32,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """`keep` (all) columns of docs and lang_pred, score, claimed, und_reason; columns of these names are replaced."""
-    model = fit(docs, id_col, text_col, lang_col, per_lang, landmarks)
+    model = fit(docs, scratch or Scratch(docs.sparkSession), id_col, text_col, lang_col, per_lang, landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of landmarks
     fields = [field("lang_pred", "string"), field("score", "double"), field("claimed", "boolean"), field("und_reason", "string")]
     return map_texts(docs, text_col, docs.columns if keep is None else keep, fields, lambda: shared.value.scorer())

@@ -95,6 +95,26 @@ def test_codec_joins(library):
         assert c.with_cores(t, cores) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_codec_repairs(library, monkeypatch):
+    """Cores cut anywhere, within words and beside white space: every wrong join is repaired, in short and in long texts."""
+    monkeypatch.setattr(op6, "core", lambda data: (len(data) // 3, 2 * len(data) // 3) if len(data) > 9 and data.isascii() else (0, 0))
+    c = op6.Codec()
+    repaired, counted = c.repaired, []
+    c.repaired = lambda *a: counted.append(1) or repaired(*a)
+    rng = random.Random(6)
+    for n in (40, 400, 4000):
+        for words in (["alpha", "beta,", "gam\nma", "it's", "", "12", "x" * 40], ["x" * 3000, "don't", "  "], ["\n", " ", "1"]):
+            t = " ".join(rng.choice(words) for _ in range(n))
+            data, start, cores = t.encode(), 0, {}
+            for k, end in enumerate(op6.cuts(data)):
+                a, z = op6.core(data[start:end])
+                if z and rng.random() < 0.5:
+                    cores[k] = np.array(c.encode(data[start + a : start + z].decode()), np.int32)
+                start = end
+            assert c.with_cores(t, cores) == library.encode(t, add_special_tokens=False).ids
+    assert counted
+
+
 def spans_of(text):
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in a.finditer(text) if len(m[2]) >= 8]
@@ -326,16 +346,19 @@ def contaminated(table, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_decontamination(spark, docs, empty, scratch, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 10])
+def test_decontamination(spark, docs, empty, scratch, block_words):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    out = op7.decontaminate(docs, items, block_bytes=block_bytes, scratch=scratch)
+    out = op7.decontaminate(docs, items, block_words=block_words, scratch=scratch)
     got = out.select("doc_id", "n_words", F.aggregate("hits", F.lit(0), lambda a, s: a + s["z"] - s["a"]).alias("n"), F.array_join(F.array_sort("items"), ",").alias("i"), "text", "cuts")
     assert bag(got, "doc_id", "n_words", "n", "i") == contaminated(ROWS, ITEMS)
     cut = next(r for r in got.collect() if r["doc_id"] == 21)
     assert [cut["text"][s["a"] : s["z"]] for s in cut["cuts"]] == ["the item has twelve words of which ten in a row must match exactly"]
-    assert op7.decontaminate(empty, items, block_bytes=block_bytes, scratch=scratch).count() == 0
+    assert op7.decontaminate(empty, items, block_words=block_words, scratch=scratch).count() == 0
     assert op7.decontaminate(docs, items.limit(0), scratch=scratch).filter(F.size("hits") > 0).count() == 0
+    twice = op7.decontaminate(docs, items.unionByName(items), block_words=block_words, scratch=scratch)
+    line = F.array_join(F.array_sort("items"), ",")
+    assert bag(twice.withColumn("items", line), "doc_id", "items") == bag(out.withColumn("items", line), "doc_id", "items")
 
 
 def test_fm_index():
@@ -361,6 +384,37 @@ def test_language(spark, docs, empty, sf_dir):
     assert tuple(r) == ("und", 0.0)
 
 
+def test_letters():
+    score = op8.Model(["de", "en"], np.zeros((1, op8.DIM // 8), np.uint8), np.ones((1, 2), np.float32)).scorer()
+    assert score(["²½", "12 _", "", None, "ª", "日"])[0] == ["und", "und", "und", "und", "de", "de"]
+
+
+def test_kernel_by_brute_force(spark, scratch):
+    rng = random.Random(14)
+    langs = {"a": "abcde ", "b": "cdefg ", "c": "fghij "}
+    table = [(i, "".join(rng.choice(langs["abc"[i % 3]]) for _ in range(60)), "abc"[i % 3]) for i in range(120)]
+    grams = []
+    for _, t, _ in table:
+        b = t.encode()
+        grams.append({int((c + (n << 28)) * 2654435761 % 2**32) >> 18 for n in (1, 2, 3) for k in range(len(b) - n + 1) for c in [int.from_bytes(b[k : k + n], "big")]})
+    k = lambda x, y: (len(x & y) / (len(x) * len(y)) ** 0.5) ** 2
+    x = op8.presence([t for _, t, _ in table])
+    assert np.allclose(op8.kernel(x, x[:9]), [[k(p, q) for q in grams[:9]] for p in grams], atol=1e-5)
+    model = op8.fit(spark.createDataFrame(table, "doc_id long, text string, lang string"), scratch, "doc_id", "text", "lang", 300, 5)
+    marks = np.unpackbits(model.bits, axis=1).astype(bool)
+    marks = [set(np.flatnonzero(m).tolist()) for m in marks]
+    assert len(marks) == 15 and all(m in grams for m in marks)
+    import zlib
+
+    learnt = [j for j, (i, _, _) in enumerate(table) if zlib.crc32(str(i).encode()) % 3 != 1]
+    K = np.array([[k(grams[j], m) for m in marks] for j in learnt])
+    y = np.array([[1.0 if table[j][2] == lang else -1.0 for lang in "abc"] for j in learnt])
+    w = np.array([1 / sum(table[h][2] == table[j][2] for h in learnt) for j in learnt])[:, None]
+    own = np.array([[k(p, q) for q in marks] for p in marks])
+    want = np.linalg.solve(K.T @ (w * K) + 1e-3 * own + 1e-8 * np.eye(15), K.T @ (w * y))
+    assert np.allclose(K @ want, K @ model.alpha, atol=2e-3)
+
+
 def test_chats(spark):
     hard = [r"\### Assistant: </turn> ok", "", "a\\", " </turn>\n", "### x: y", "日本 ###\\###", None]
     rows = [(c, t, [None, "user", "assistant", "sys: ### tem"][(c + t) % 4], hard[(c * 3 + t) % 7]) for c in range(9) for t in range(c)] + [(1, 0, "assistant", "tie"), (None, None, "assistant", "lost")]
