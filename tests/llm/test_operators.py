@@ -508,15 +508,70 @@ def test_repeats_round_a_passage(spark, scratch):
 
 
 def test_licences(spark, docs, empty, scratch):
+    comment = lambda t: "\n".join("# " + x for x in t.split("\n"))
     files = [
         ("r/LICENSE", "Released under the MIT License.\nx"), ("r/a/f.txt", "code\nLicensed under the Apache License, Version 2.0.\nmore"), ("r/a/g.txt", "plain"), ("r/b/COPYING.md", "This work is licensed under the GNU General Public License, version 3."),
-        ("r/b/c/d/h.txt", None), ("q/z.txt", "a license to kill"), (None, "All rights reserved."), ("top.txt", ""), ("r/LICENSE", "Licensed under CC BY-NC 4.0. Released under the MIT License.")]
+        ("r/b/c/d/h.txt", None), ("q/z.txt", "a license to kill"), (None, "All rights reserved."), ("top.txt", ""), ("r/LICENSE", "Licensed under CC BY-NC 4.0. Released under the MIT License."),
+        ("x/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + op2.MIT + op2.AS_IS), ("x/y/z/w.py", "import os"), ("x/y/g.py", comment(op2.templates()[-1][2]) + "\n"),
+        ("x/b.c", comment("Copyright Some Body\n\n" + op2.BSD_2 + op2.BSD_NAMES + op2.BSD_AS_IS) + "\nint main() { return 0; }\n" * 40), ("x/b2.c", op2.BSD_2 + op2.BSD_AS_IS), ("x/i.c", op2.ISC),
+        ("x/a.c", "/*\n * " + op2.APACHE_HEADER.replace("\n", "\n * ") + "\n */\nint x;\n" + "int y;\n" * 50),
+        ("x/n.c", comment(next(t for n, _, t in op2.templates() if n == "GPL-3.0")) + "\n\n" + "code and more code\n" * 30), ("x/l.c", "Released under the Foo License."), ("x/p.c", "all the rights of man")]
     df = spark.createDataFrame([(i, p, t, "clash") for i, (p, t) in enumerate(files)], "doc_id long, path string, text string, licence string")
     got = {r["doc_id"]: (r["licence"], r["origin"]) for r in op2.scan_licences(df, scratch).collect()}
     assert got[1] == ("Apache-2.0", "own") and got[4] == ("GPL-3.0", "inherited") and got[2][1] == "inherited" and got[5] == (None, "none") and got[6] == ("Proprietary", "own") and got[7] == (None, "none")
+    assert got[9] == ("MIT", "own") and got[10] == ("MIT", "inherited") and got[12] == ("BSD-3-Clause", "own") and got[13] == ("BSD-2-Clause", "own") and got[14] == ("ISC", "own")
+    assert got[15] == ("Apache-2.0", "own") and got[16] == ("GPL-3.0", "own") and got[17] == got[18] == ("MIT", "inherited")
     assert op2.scan_licences(df.limit(0), scratch).count() == 0
 
 
+def test_licences_by_brute_force(spark, scratch):
+    """Every unit against every template with dictionaries, and every ancestor tried in turn."""
+    import math
+
+    rng = random.Random(16)
+    every = op2.templates()
+    lines = [t.split("\n")[0] for _, _, t in every] + ["the code of this work", "any kind of words", "", "#", "all rights", "x y z"]
+    files = [(i, "/".join(rng.choice("ab") for _ in range(rng.randrange(4))) + "/" * rng.randrange(2) + rng.choice(["LICENSE", "f.txt"]), "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 7)))) for i in range(120)]
+    files += [(200 + i, "full/f.txt", t) for i, (_, _, t) in enumerate(every)]
+
+    def units(text):
+        raw = text.split("\n")
+        out = [text, *raw, *re.split(r"\n[ \t]*(?=\n)", text), *re.split(r"\n(?=\n)", "\n".join(x if op2.words(x) else "" for x in raw))]
+        return [op2.words(u) for u in out]
+
+    known = {w for _, need, t in every for w in [*need, *op2.words(t)]}
+    listed = {i: [collections.Counter(u) for u in units(t)] for i, _, t in files}
+    got = op2.scan_licences(spark.createDataFrame(files, "doc_id long, path string, text string"), scratch).collect()
+    # the operator's own weights: the counts of its units
+    m = op2.matcher(spark.createDataFrame([(t,) for _, _, t in files], "text string"))
+    vocabulary = sorted(w.encode() for w in known)
+    idf = {w.decode(): float(x) for w, x in zip(vocabulary, m.idf)}
+    vector = lambda c: {w: n * idf[w] for w, n in c.items() if w in known}
+    size = lambda c: math.sqrt(sum(v * v for v in vector(c).values()) + sum(n for w, n in c.items() if w not in known) * m.most**2)
+    models = [(name, need, vector(c), size(c), c) for name, need, t in every for c in [collections.Counter(op2.words(t))]]
+    own = {}
+    for i, cs in listed.items():
+        best = [(-sum(kn.values()), -round(sum(v * y.get(w, 0) for w, v in vector(c).items()) / (size(c) * ny), 4), name) for c in cs if size(c) for name, need, y, ny, kn in models if all(w in c for w in need)]
+        best = [b for b in best if b[1] <= -0.7]
+        own[i] = min(best)[1:] if best else (0, None)
+    for r in got:
+        x, name = own[r["doc_id"]]
+        assert r["own_licence"] == name or (r["own_licence"] and name and abs(r["cosine"] + x) < 1e-3), (r, own[r["doc_id"]])
+    speaks = {}
+    for r in got:
+        folder, _, file = (r["path"].rpartition("/") if "/" in r["path"] else ("", "", r["path"]))
+        if file == "LICENSE" and r["own_licence"]:
+            speaks[folder] = min(speaks.get(folder, (9, "")), (-r["cosine"], r["own_licence"]))
+    for r in got:
+        folder, want = r["path"].rpartition("/")[0], r["own_licence"]
+        while not want:
+            want = speaks.get(folder, (0, None))[1]
+            if not folder:
+                break
+            folder = folder.rpartition("/")[0]
+        assert r["licence"] == want and r["origin"] == ("own" if r["own_licence"] else "inherited" if want else "none"), (r, want)
+
+
 def test_id_filter(spark):
     keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
     flagged = IdFilter(keys, "k", buckets=4).flag(spark.range(3000).withColumnRenamed("id", "k"), F.col("k"), "maybe")
