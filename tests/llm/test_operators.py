@@ -146,6 +146,35 @@ def test_ownership(spark, scratch):
     assert got[99] == (1, 0) and all(got[i] == (0, 1) for i in range(12))
 
 
+def test_repositories(spark, scratch):
+    """One owner's value in many repositories is an example, too."""
+    rows = [(i, f"token=abcdefgh12345678 d{i}", "o") for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most, want in ((7, (1, 0)), (6, (0, 1))):
+        assert {(r["n_live"], r["n_copied"]) for r in op3.scan_secrets(df, scratch, max_repos=most).collect()} == {want}
+
+
+def test_very_many_secrets_in_a_text(spark, scratch):
+    import time
+
+    text = "".join(f"token={k:08d}é Zx9Qw8Er7Ty6Ui5Op4As{k:06d} " + "deadbeef" * 5 * (k % 5 == 0) + " " for k in range(100_000))
+    df = spark.createDataFrame([(1, text, "s"), (2, None, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    row = op3.scan_secrets(df, scratch).filter("doc_id = 1").first()
+    want = spans_of(text)
+    assert (row["n_assign"], row["n_hex"]) == (100_000, 20_000) and row["base_sha256"] == sha(",".join(f"{op3.KINDS[o]}:{a}:{z}" for a, o, z in want))
+    owned = [(s["start"], s["end"]) for s in row["found"] if s["ord"] == 3]
+    assert owned == [m.span() for m in re.finditer(r"[A-Za-z0-9_-]{20,}", text) if re.search("[A-Z]", m[0])]
+    red = op3.redact_secrets(df, scratch).filter("doc_id = 1").first()["text"]
+    every = sorted([(a, z) for a, _, z in want] + owned)
+    out, at = [], 0
+    for a, z in every:
+        out += [text[at:a], "[SECRET]"]
+        at = z
+    assert red == "".join([*out, text[at:]])
+    assert time.time() - began < 120
+
+
 def sets_of(table):
     out = []
     for i, t, *_ in table:
