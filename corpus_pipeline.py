@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.llm.common import Scratch, read
@@ -13,31 +13,51 @@ from telar.llm.op7_decontaminate import decontaminate
 from telar.llm.op8_language_id import identify
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with neutral column names, which no operator's new columns clash with, and the neutral name of each column."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def shown(df: DataFrame, names: dict[str, str], **new: Column) -> DataFrame:
+    """The columns of before under their own names; new: columns that replace theirs."""
+    return df.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; the predicted language is looked at, not written over `lang`."""
-    out = identify(docs, keep=docs.columns)
-    return out.filter("und_reason IS NULL OR und_reason <> 'no letter'").select(*docs.columns)
+    """Documents without a letter go (null and empty texts too); those without a language get the predicted one.
+
+    Where nothing is labelled there is no prediction, and all that have a letter stay. Repeated rows are judged alike;
+    columns stay as they are, whatever their names.
+    """
+    df, names = hidden(docs)
+    out = identify(df, names["doc_id"], names["text"], names["lang"], scratch=Scratch(spark)).filter("und_reason IS NULL OR und_reason <> 'no letter'")
+    return shown(out, names, lang=F.coalesce(F.col(names["lang"]), F.when(F.col("lang_pred") != "und", F.col("lang_pred"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least id."""
-    return keep_one(docs, Scratch(spark))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, that with the least id.
+
+    All rows of an id stay or go; rows without an id, and documents without words, stay.
+    """
+    return keep_one(docs, Scratch(spark), size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    out = decontaminate(docs, read(spark, sf_dir, "benchmark"), scratch=Scratch(spark))
-    return out.filter(F.size("hits") == 0).select(*docs.columns)
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none. Repeated rows are judged alike."""
+    df, names = hidden(docs)
+    out = decontaminate(df, read(spark, sf_dir, "benchmark"), names["text"], scratch=Scratch(spark))
+    return shown(out.filter(F.size("hits") == 0), names)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; n_chars follows."""
+    """Secrets in the texts are replaced by a mark; n_chars follows. All rows stay, null and empty texts as they are."""
     out = redact_secrets(docs, Scratch(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and what they decode to as a digest."""
+    """Token ids of every document, and what they decode to as a digest; null and empty texts have no ids. Every row gives a row."""
     out = encode_decode(docs, Scratch(spark))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
