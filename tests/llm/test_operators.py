@@ -175,16 +175,16 @@ def test_very_many_secrets_in_a_text(spark, scratch):
     assert time.time() - began < 120
 
 
-def sets_of(table):
+def sets_of(table, size=2):
     out = []
     for i, t, *_ in table:
         w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
-        out.append((i, frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])))
+        out.append((i, frozenset(zip(*(w[k:] for k in range(size)))) if len(w) >= size else frozenset([tuple(w)] if w else [])))
     return out
 
 
-def groups(table):
-    sets = sets_of(table)
+def groups(table, size=2):
+    sets = sets_of(table, size)
     top = list(range(len(sets)))
 
     def root(x):

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import contaminated, groups, spans_of
 
 import corpus_pipeline
@@ -30,7 +31,7 @@ def test_run(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
-    kept = {i for i, _ in docs} - {i for i, _, _, k in groups(docs) if not k}
+    kept = {i for i, _ in docs} - {i for i, _, _, k in groups(docs, 5) if not k}
     docs = [(i, t) for i, t in docs if i in kept]
     clean = {i for i, _, hit, _ in contaminated(docs, items) if not hit}
     docs = [(i, t) for i, t in docs if i in clean]
@@ -57,3 +58,18 @@ def test_empty_and_null_rows(spark, sf_dir):
             if stage is not corpus_pipeline.STAGES[-1][1]:
                 assert docs.columns == last.columns
         assert {r["doc_id"] for r in docs.collect()} == ({3} if rows else set())
+
+
+def test_clashing_columns(spark, sf_dir):
+    """Columns that bear the names of the operators' own stay, with their values, and a null language is filled."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 40")
+    names = ["lang_pred", "score", "claimed", "und_reason", "n_words", "hits", "cuts", "items", "key", "found", "component_id", "kept", "ids", "id", "maybe"]
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    want = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == want, name
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names) and all(r["lang"] for r in rows)
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)
