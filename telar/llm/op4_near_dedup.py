@@ -11,7 +11,7 @@ probability 0.345 ** CHUNKS, 3e-6.)
 Groups that share a key are not expanded into pairs. In each key, nodes are compared with pivots, the
 least nodes. By the triangle inequality for signature distances, a node within RADIUS of a pivot can
 leave (whatever is within RADIUS of it is within 2 * RADIUS of the pivot and is tied to it); the rest
-gets new pivots, twice as many in each round, until nobody is left. No tie is made without its distance.
+gets new pivots, four times as many in each round, until nobody is left. No tie is made without its distance.
 The ties join into clusters that hold every pair within RADIUS that shares a key. Each node's least
 pivot is confirmed first, on the full sets; the components of these links label the nodes. Clusters
 whose nodes have several labels are then compared in full, but for nodes of one label: in blocks of
@@ -161,7 +161,7 @@ def distance(a: str, b: str) -> Column:
 def ties(members: DataFrame, nodes: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
     """(a, b): nodes b within 2 * RADIUS of a pivot a with which they share a key; members: (key, node) of keys of two nodes or more.
 
-    A round has 1, 2, 4, ... pivots a key, `most` at most: the least node of each of so many parts of the key's nodes.
+    A round has 1, 4, 16, ... pivots a key, `most` at most: the least node of each of so many parts of the key's nodes.
     """
     sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
     found, left, n = [], members, 1
@@ -178,7 +178,7 @@ def ties(members: DataFrame, nodes: DataFrame, scratch: Scratch, most: int = 64)
         left = scratch.write(rest, "left")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found).distinct()
-        n = min(2 * n, most)
+        n = min(4 * n, most)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
