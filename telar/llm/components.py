@@ -1,7 +1,9 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,25 +11,33 @@ from telar.llm.common import Scratch
 
 
 def components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
-    """(node, label) for every node of an edge, label being the least node of its component.
+    """(node, label) for every node of an edge; label is one node of the component, the same for all of it.
 
-    Each step is a grouped minimum (with partial sums before the shuffle) and an equi-join, so a
-    node with very many edges is never gathered; the number of steps grows with the logarithm of
-    the graph's diameter. Each round's edges are written to the shared folder, which cuts lineage.
+    In each round a node goes over to the first of its neighbours and itself, and the edges are
+    redrawn between those that are left; edges within one of them, and repeated ones, go. The order is
+    that of the nodes and one drawn anew by hashing, in turn: the former empties stars round a least
+    node at once, the latter leaves an expected three quarters of the nodes at most, whatever the graph, so
+    that the edges of all rounds together are a small multiple of the first ones. Each step is a grouped
+    minimum (with partial results before the shuffle) or an equi-join; a node with very many edges is
+    never gathered. Each round's tables are written to the shared folder, which cuts lineage.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    e, seen = scratch.write(e, "edges"), None
-    while True:
+    e = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not e.isEmpty():
+        k = len(rounds)
+        order = (lambda c: F.xxhash64(c, F.lit(k))) if k % 2 else F.col  # noqa: B023
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.write(small.unionByName(own.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        first = both.groupBy("u").agg(F.min_by("v", order("v")).alias("m"))
+        goes = scratch.write(first.select(F.col("u").alias("node"), F.when(order("m") < order("u"), F.col("m")).otherwise(F.col("u")).alias("label")), "goes")
+        one = e.join(goes.select(F.col("node").alias("u"), F.col("label").alias("x")), "u").select("x", "v").distinct()
+        two = one.join(goes.select(F.col("node").alias("v"), F.col("label").alias("y")), "v").filter("x != y")
+        new = scratch.write(two.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
         scratch.drop(e)
         e = new
-        if state == seen:
-            break
-        seen = state
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        rounds.append(goes)
+
+    def follow(later: DataFrame, goes: DataFrame) -> DataFrame:
+        on = later.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        return goes.join(on, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+
+    return reduce(follow, reversed(rounds)) if rounds else e.select(F.col("u").alias("node"), F.col("v").alias("label"))

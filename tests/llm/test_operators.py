@@ -21,6 +21,7 @@ from telar.llm import op8_language_id as op8
 from telar.llm import op9_chat_format as op9
 from telar.llm import op10_suffix_dedup as op10
 from telar.llm.common import IdFilter, Scratch, drop_ids
+from telar.llm.components import components
 
 sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
 ROWS = rows()
@@ -53,6 +54,34 @@ def bag(df, *cols):
     return collections.Counter(tuple(r[c] for c in cols) for r in df.collect())
 
 
+def test_components(spark, scratch):
+    rng = random.Random(5)
+    path, star, last = range(0, 60), range(100, 160), range(200, 240)
+    edges = [(i, i + 1) for i in path[:-1]] + [(100, i) for i in star] + [(239, i) for i in last] + [(i, i) for i in range(300, 303)]
+    edges += [(rng.randrange(400, 520), rng.randrange(400, 520)) for _ in range(75)] + [(i, j) for i in range(600, 620) for j in range(600, 620)]
+    edges += [(b, a) for a, b in edges[::3]] + edges[::4]
+    top = {x: x for e in edges for x in e}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        top[max(root(a), root(b))] = min(root(a), root(b))
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b", scratch).collect()
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[r.label].add(r.node)
+    want = collections.defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            want[root(a)] |= {a, b}
+    assert len(got) == sum(map(len, groups.values())) and all(k in v for k, v in groups.items())
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long"), "a", "b", scratch).count() == 0
+
+
 def test_token_counts(docs, empty, library):
     want = collections.Counter()
     for i, t, *_ in ROWS:
