@@ -114,7 +114,7 @@ def path(levels: list[list[str]], slot: int) -> str:
     return ",".join(out)
 
 
-def by_chunk(rows: DataFrame, columns: list[str], schema: list[T.StructField], emit: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
+def by_chunk(rows: DataFrame, columns: list[str], schema: list[T.StructField], emit: Callable[[list[tuple]], Iterator[tuple]], fan: int) -> DataFrame:
     """emit(slots) for every slot array: rows (key, n, chunk, slot, hash, ...) in the order of slots."""
     made = T.StructType(schema)
 
@@ -133,47 +133,52 @@ def by_chunk(rows: DataFrame, columns: list[str], schema: list[T.StructField], e
         if held:
             yield batch(held)
 
-    dealt = rows.withColumn("chunk", F.floor(F.col("rank") / FAN)).withColumn("slot", F.col("rank") % FAN)
+    dealt = rows.withColumn("chunk", F.floor(F.col("rank") / fan)).withColumn("slot", F.col("rank") % fan)
     return dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "slot").select("key", "n", "chunk", "slot", "hash", *columns).mapInArrow(run, made)
 
 
-def within(slots: list[tuple]) -> list[list[str]]:
-    """The levels of a slot array: ten, or fewer where the whole tree has no more."""
-    return tree([r[4] for r in slots], min(height(slots[0][1]), FAN.bit_length() - 1))
+def within(slots: list[tuple], fan: int) -> list[list[str]]:
+    """The levels of a slot array: log2(fan), or fewer where the whole tree has no more."""
+    return tree([r[4] for r in slots], min(height(slots[0][1]), fan.bit_length() - 1))
 
 
-def build(rows: DataFrame, scratch: Scratch) -> list[DataFrame]:
+def build(rows: DataFrame, scratch: Scratch, fan: int) -> list[DataFrame]:
     """Tables (key, n, rank, hash) from the leaves to one row a key, each level the tops of the slot arrays of the one before."""
     schema = [field("key", "string"), field("n", "long"), field("rank", "long"), field("hash", "string")]
 
     def top(slots):
         key, n, chunk = slots[0][:3]
-        yield key, -(-n // FAN), chunk, within(slots)[-1][0]
+        yield key, -(-n // fan), chunk, within(slots, fan)[-1][0]
 
     levels, most = [rows], rows.agg(F.max("n")).first()[0] or 0
     while most > 1 or len(levels) == 1:
-        levels.append(scratch.write(by_chunk(levels[-1], [], schema, top), "tops"))
-        most = -(-most // FAN)
+        levels.append(scratch.write(by_chunk(levels[-1], [], schema, top, fan), "tops"))
+        most = -(-most // fan)
     return levels
 
 
-def descend(levels: list[DataFrame], above: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, rank, above): what stands above each slot array of the leaves; above: (key, above) of the roots."""
+def paths(rows: DataFrame, above: DataFrame, fan: int) -> DataFrame:
+    """(key, rank, above): what stands above each of rows; above: the same of their slot arrays."""
     schema = [field("key", "string"), field("rank", "long"), field("above", "string")]
 
     def down(slots):
-        own = within(slots)
+        own = within(slots, fan)
         for r in slots:
-            yield r[0], r[2] * FAN + r[3], ",".join(filter(None, (path(own, r[3]), r[5])))
+            yield r[0], r[2] * fan + r[3], ",".join(filter(None, (path(own, r[3]), r[5])))
+
+    return by_chunk(chunk_joined(rows, above, fan), ["above"], schema, down, fan)
 
+
+def descend(levels: list[DataFrame], above: DataFrame, scratch: Scratch, fan: int) -> DataFrame:
+    """(key, rank, above): what stands above each slot array of the leaves; above: (key, above) of the roots."""
     out = above.withColumn("rank", F.lit(0).cast("long"))
     for rows in reversed(levels[1:-1]):
-        out = scratch.write(by_chunk(chunk_joined(rows, out), ["above"], schema, down), "above")
+        out = scratch.write(paths(rows, out, fan), "above")
     return out
 
 
-def chunk_joined(rows: DataFrame, above: DataFrame) -> DataFrame:
-    return rows.withColumn("chunk", F.floor(F.col("rank") / FAN)).join(above.withColumnRenamed("rank", "chunk"), ["key", "chunk"]).drop("chunk")
+def chunk_joined(rows: DataFrame, above: DataFrame, fan: int) -> DataFrame:
+    return rows.withColumn("chunk", F.floor(F.col("rank") / fan)).join(above.withColumnRenamed("rank", "chunk"), ["key", "chunk"]).drop("chunk")
 
 
 def fold(leaf: str, steps: list[str]) -> str:
@@ -182,45 +187,38 @@ def fold(leaf: str, steps: list[str]) -> str:
     return leaf
 
 
-def proofs(levels: list[DataFrame], above: DataFrame, groups: DataFrame) -> DataFrame:
+def proofs(levels: list[DataFrame], above: DataFrame, groups: DataFrame, fan: int) -> DataFrame:
     """A row per leaf: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     schema = [field(n, "long" if n == "doc_id" else "boolean" if n == "verified" else "string") for n in names]
 
     def check(slots):
-        own = within(slots)
+        own = within(slots, fan)
         for _, _, _, slot, leaf, up, doc_id, changed, subroot, root in slots:
             steps = [s for s in (path(own, slot) + "," + up).split(",") if s]
             folded = fold(changed or leaf, steps)
             yield doc_id, leaf, subroot, root, sha("".join(s[1:] for s in steps)), folded, folded == root
 
-    return by_chunk(chunk_joined(levels[0], above.join(groups, "key")), ["above", "doc_id", "changed", "subroot", "root"], schema, check)
+    return by_chunk(chunk_joined(levels[0], above.join(groups, "key"), fan), ["above", "doc_id", "changed", "subroot", "root"], schema, check, fan)
 
 
-def merkle_manifest(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """A row per row of docs (doc_id, source, lang, n_chars, text)."""
+def merkle_manifest(docs: DataFrame, scratch: Scratch, fan: int = FAN) -> DataFrame:
+    """A row per row of docs (doc_id, source, lang, n_chars, text); fan, a power of two: slots of an array."""
     rows = scratch.write(leaves(docs), "leaves")
     placed = scratch.write(ranked(rows, scratch).withColumnRenamed("leaf", "hash"), "ranked")
-    levels = build(placed, scratch)
+    levels = build(placed, scratch, fan)
 
     subroots = running(levels[-1].select("key", F.col("hash").alias("subroot")), ["key"], F.lit(1), "rank", scratch)
     subroots = scratch.write(subroots, "subroots")
     n = subroots.count()
     over = scratch.write(subroots.select(F.lit("").alias("key"), F.lit(n).cast("long").alias("n"), F.col("rank").cast("long").alias("rank"), F.col("subroot").alias("hash")), "over")
-    tops = build(over, scratch)
+    tops = build(over, scratch, fan)
     root = tops[-1].select("hash").first()
     start = tops[-1].select("key", F.lit("").alias("above"))
-    schema = [field("rank", "long"), field("above", "string")]
-
-    def down(slots):
-        own = within(slots)
-        for r in slots:
-            yield r[2] * FAN + r[3], ",".join(filter(None, (path(own, r[3]), r[5])))
-
-    paths = by_chunk(chunk_joined(over, descend(tops, start, scratch)), ["above"], schema, down)
-    groups = scratch.write(subroots.join(paths, "rank").withColumn("root", F.lit(root and root[0]).cast("string")), "groups")
-    above = descend(levels, groups.select("key", "above"), scratch)
-    return proofs(levels, above, groups.select("key", "subroot", "root"))
+    own = paths(over, descend(tops, start, scratch, fan), fan).select("rank", "above")
+    groups = scratch.write(subroots.join(own, "rank").withColumn("root", F.lit(root and root[0]).cast("string")), "groups")
+    above = descend(levels, groups.select("key", "above"), scratch, fan)
+    return proofs(levels, above, groups.select("key", "subroot", "root"), fan)
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
