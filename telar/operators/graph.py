@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,21 +80,97 @@ def extend(old: DataFrame, new: DataFrame) -> DataFrame:
     return order(old, 0).unionByName(order(new, 1))
 
 
-def cycles(graph: DataFrame, longest: int | None = None, key: str = "graph_id") -> DataFrame:
+def reachable(graph: DataFrame, key: str = "graph_id") -> DataFrame:
+    """(source, target) of every two nodes joined by a walk, by squaring: after i rounds, walks of 2 ** i edges."""
+    found, n = settled(graph.select(key, "source", "target").distinct(), "reach"), -1
+    while n != (n := found.count()):
+        further = found.withColumnRenamed("target", "via").join(found.withColumnRenamed("source", "via"), [key, "via"]).select(key, "source", "target")
+        found = settled(found.unionByName(further).distinct(), "reach")
+    return found
+
+
+def strong_components(graph: DataFrame, key: str = "graph_id") -> DataFrame:
+    """(node, component) of nodes on a cycle: those that reach one another; the least of them names the component."""
+    there = reachable(graph, key)
+    back = there.select(key, F.col("target").alias("source"), F.col("source").alias("target"))
+    return there.join(back, [key, "source", "target"]).groupBy(key, F.col("source").alias("node")).agg(F.min("target").alias("component"))
+
+
+def closable(ring: DataFrame, key: str) -> DataFrame:
+    """(first, node): nodes from which `first`, their least, is reached by edges between nodes that aren't less."""
+    back = ring.select(key, F.col("target").alias("node"), F.col("source").alias("before"))
+    new = settled(ring.filter("source > target").select(key, F.col("target").alias("first"), F.col("source").alias("node")).distinct(), "closable")
+    found = new
+    while not new.isEmpty():
+        further = new.join(back, [key, "node"]).filter("before > first").select(key, "first", F.col("before").alias("node")).distinct()
+        new = settled(further.join(found, [key, "first", "node"], "left_anti"), "closable")
+        found = found.unionByName(new)
+    return found
+
+
+def grown_cycles(ring: DataFrame, longest: int | None, key: str) -> DataFrame:
+    """(path) of cycles by paths that grow from their least node, along nodes from which it can be reached again."""
+    end = closable(ring, key)
+    paths, n = ring.filter("target >= source").select(key, F.col("source").alias("first"), F.col("target").alias("last"), F.array("source").alias("path")), 1
+    open_ = paths.join(end.withColumnRenamed("node", "last"), [key, "first", "last"])
+    found, open_ = paths.filter("last = first").select(key, "path"), settled(open_, "paths")
+    while n != longest and not open_.isEmpty():
+        steps = open_.join(ring.withColumnRenamed("source", "last"), [key, "last"]).filter("target = first OR target > first AND target <> last AND NOT array_contains(path, target)")
+        steps = settled(steps.select(key, "first", F.col("target").alias("last"), F.concat("path", F.array("last")).alias("path")), "paths")
+        found = found.unionByName(steps.filter("last = first").select(key, "path"))
+        open_, n = steps.filter("last <> first").join(end.withColumnRenamed("node", "last"), [key, "first", "last"]), n + 1
+    return found
+
+
+def small_cycles(edges: list[tuple], longest: int | None) -> Iterator[list]:
+    """The simple cycles of a small graph, each from its least node."""
+    after, before = defaultdict(set), defaultdict(set)
+    for a, z in edges:
+        after[a].add(z)
+        before[z].add(a)
+    for first in sorted(after):
+        ends, todo = {first}, [first]  # nodes, none less than the first, from which it is reached
+        while todo:
+            new = {x for x in before[todo.pop()] if x > first} - ends
+            ends |= new
+            todo += new
+        path, branches = [first], [iter(sorted(after[first] & ends))]
+        while branches:
+            node = next(branches[-1], None)
+            if node is None:
+                branches.pop()
+                path.pop()
+            elif node == first:
+                yield list(path)
+            elif node not in path and len(path) != longest:
+                path.append(node)
+                branches.append(iter(sorted(after[node] & ends)))
+
+
+def cycles(graph: DataFrame, longest: int | None = None, key: str = "graph_id", small: int = TOO_LARGE) -> DataFrame:
     """Simple directed cycles (of `longest` nodes at most, if given), from their least node; self-loops count. graph: edges.
 
-    Paths grow by an equi-join with the edges and never go below their first node, so each cycle is found once.
-    This goes on until no path is open, after as many steps as a graph has nodes at most; each step's paths are
-    written to the shared folder.
+    Only edges within a strong component can be part of a cycle, so graphs without cycles end there. A component of at
+    most `small` nodes is followed in one task; in larger ones paths grow by equi-joins, each step's written to the shared
+    folder, and only along nodes from which the first can still be reached. The number of cycles itself can be exponential.
     """
-    e, n = settled(graph.select(key, "source", "target").distinct(), "edges"), 1
-    paths = e.filter("target >= source").select(key, F.col("source").alias("first"), F.col("target").alias("last"), F.array("source").alias("path"))
-    found = paths.filter("last = first").select(key, "path")
-    while n != longest and not paths.filter("last <> first").isEmpty():
-        paths = paths.filter("last <> first").join(e.withColumnRenamed("source", "last"), [key, "last"]).filter(
-            "target >= first AND (target = first OR target <> last AND NOT array_contains(path, target))").select(key, "first", F.col("target").alias("to"), F.concat("path", F.array("last")).alias("path"))
-        paths, n = settled(paths.withColumnRenamed("to", "last"), "paths"), n + 1
-        found = found.unionByName(paths.filter("last = first").select(key, "path"))
+    e = settled(graph.select(key, "source", "target").distinct(), "edges")
+    parts = settled(strong_components(e, key), "components")
+    sizes = parts.groupBy(key, "component").agg((F.count(F.lit(1)) <= small).alias("small"))
+    side = lambda c: parts.select(key, F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    ring = e.join(side("source"), [key, "source"]).join(side("target"), [key, "target"]).filter("source_component = target_component")
+    ring = settled(ring.withColumnRenamed("source_component", "component").join(sizes, [key, "component"]).select(key, "component", "source", "target", "small"), "ring")
+    kind = graph.schema[key].dataType.simpleString()
+
+    def follow(table: pd.DataFrame) -> pd.DataFrame:
+        found = list(small_cycles(list(zip(table["source"], table["target"])), longest))
+        return pd.DataFrame({key: pd.Series([table[key].iloc[0]] * len(found), dtype=table[key].dtype), "path": pd.Series(found, dtype=object)})
+
+    node = graph.schema["source"].dataType.simpleString()
+    found = ring.filter("small").groupBy(key, "component").applyInPandas(follow, f"`{key}` {kind}, path array<{node}>")
+    large = ring.filter("NOT small").select(key, "source", "target")
+    if not large.isEmpty():
+        found = found.unionByName(grown_cycles(large, longest, key))
     return found.withColumn("severity", F.when(F.size("path") <= 3, "high").otherwise("medium"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.operators.compliance import any_of
+from telar.operators.nearest import CLUSTER_ROWS, clustered, search
 
 # Domains, words of data-heavy questions, defaults.
 DOMAINS = ["legal", "technical", "financial", "timeline", "requirements", "general", "quantitative"]
@@ -26,7 +25,6 @@ ROUTES = [  # first match wins
     ("quantitative", ["gráfico", "grafico", "comparar", "tendencia", "estadística", "visualiza"]),
 ]
 SEPARATOR = "\n\n---\n\n"
-QUERY_BLOCK = 1024
 
 
 def valid_query(question: Column, top_k: Column, threshold: Column, lam: Column) -> Column:
@@ -48,84 +46,20 @@ def metadata_filter(conditions: dict) -> Column:
     return out
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, with_vectors: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+def top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
     """The k most similar chunks (id, embedding) of each query (query_id, embedding) by cosine, to 12 decimals; ties go to the lesser id.
 
-    Queries are taken to the tasks in blocks of `block_bytes`, of which the driver holds one at a time, and chunks are
-    scanned once a block: with tens of thousands of queries in it, a scan costs little beside its products. A task keeps k
-    rows a query, so k x tasks x queries rows are shuffled, never the product. Rows without a vector are left out.
+    Chunks are clustered and written once; a query meets only clusters that may hold one of its k best (see nearest). Rows
+    without a vector are left out.
     """
-    queries, chunks = queries.filter("embedding IS NOT NULL"), chunks.filter("embedding IS NOT NULL")
-    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    blocks = max(1, -(-n * width * 8 * (k if with_vectors else 1) // block_bytes))
-    parts = []
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").toArrow()
-        ids, vectors = own.column(0).to_numpy(), own.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        parts.append(_local_top(chunks, ids, unit(vectors.reshape(len(ids), -1)) if len(ids) else vectors, k, with_vectors))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-
-class Best:
-    """The k best rows of each of `queries` queries so far, as flat arrays in the order of query, score and id."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.edge = k, np.full(queries, -np.inf)  # the k-th best score; -inf before there are k
-        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.vector = None
-
-    def add(self, first: int, s: np.ndarray, ids: np.ndarray, vectors: np.ndarray | None) -> None:
-        """s: scores of the queries from `first` on (rows) and of chunks (columns)."""
-        last, k = first + len(s), min(self.k, s.shape[1])
-        edge = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k == self.k else -np.inf, self.edge[first:last])
-        q, c = np.nonzero(s >= edge[:, None])
-        query, id_, score = (np.concatenate(p) for p in ((self.query, q + first), (self.id, ids[c]), (self.score, s[q, c])))
-        order = np.lexsort((id_, -score, query))
-        query = query[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        kept = order[place < self.k]
-        if vectors is not None:
-            self.vector = (vectors[c] if self.vector is None else np.concatenate([self.vector, vectors[c]]))[kept]
-        self.query, self.id, self.score = query[place < self.k], id_[kept], score[kept]
-        full = place[place < self.k] == self.k - 1
-        self.edge[self.query[full]] = self.score[full]
-
-
-def _local_top(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, with_vectors: bool) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, vectors))  # bounded by block_bytes
-    schema = "query_id long, id long, score double" + (", embedding array<float>" if with_vectors else "")
-
-    def run(batches):
-        import pyarrow as pa
-
-        ids, q = shared.value
-        best = Best(len(ids), k)
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            own, raw = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            for a in range(0, len(own), 4096):
-                x = unit(raw[a : a + 4096]).T
-                for first in range(0, len(ids), QUERY_BLOCK):
-                    best.add(first, np.round(q[first : first + QUERY_BLOCK] @ x, 12), own[a : a + 4096], raw[a : a + 4096] if with_vectors else None)
-        out = [pa.array(ids[best.query] if len(ids) else best.query), pa.array(best.id), pa.array(best.score)]
-        if with_vectors:
-            rows = best.vector.astype(np.float32) if best.vector is not None else np.zeros((0, 1), np.float32)
-            out.append(pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel()))
-        yield pa.RecordBatch.from_arrays(out, names=["query_id", "id", "score", "embedding"][: len(out)])
-
-    return chunks.select(F.col("id").cast("long"), "embedding").mapInArrow(run, schema)
+    return search(clustered(chunks, cluster_rows), queries, k)
 
 
 def mmr(chunks: DataFrame, queries: DataFrame, k: int = 4, lam: float = 0.5, fetch: int = 3) -> DataFrame:
     """Maximal marginal relevance among fetch x k candidates a query; scores are true cosines."""
-    found = top_k(chunks, queries, fetch * k, True)
+    found = top_k(chunks, queries, fetch * k)
+    # vectors are fetched for the candidates alone: none is moved in the search for them
+    found = found.join(chunks.select(F.col("id").cast("long").alias("id"), "embedding"), "id")
 
     def choose(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("rank").reset_index(drop=True)

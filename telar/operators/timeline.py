@@ -170,29 +170,88 @@ def events(docs: DataFrame, anchor: Column) -> DataFrame:
     return out.withColumn("is_critical", F.col("event_type").isin(*CRITICAL)).drop("text")
 
 
+class FirstHolding:
+    """For each of some texts, the day of the first description that holds it, as descriptions come.
+
+    An automaton of all texts finds those that a description holds in one pass over it.
+    """
+
+    def __init__(self, texts: set[str]):
+        import ahocorasick
+
+        self.day: dict[str, int] = {}
+        self.every = ahocorasick.Automaton()
+        for t in texts:
+            self.every.add_word(t, t)
+        self.every.make_automaton()
+
+    def add(self, description: str, day: int) -> None:
+        for _, t in self.every.iter(description):
+            self.day.setdefault(t, day)
+
+
+def follow(asked: list, offset: list, day: list, low: list) -> None:
+    """Sets the days of one document's rows that ask for an earlier event, in their order."""
+    index = FirstHolding({t for t in asked if t})
+    for i, t in enumerate(asked):
+        if t:
+            first = index.day.get(t)
+            day[i] = first + offset[i] if first is not None and abs(first + offset[i]) < 1 << 31 else None
+        if day[i] is not None and low[i]:
+            index.add(low[i], day[i])
+
+
 def resolve(found: DataFrame, anchor: str) -> DataFrame:
     """Dates of relative events: from the anchor if the dependency names the award, else from the first earlier dated event
     of the document whose description holds the dependency; chains resolve in order. Others stay open.
 
-    A document's events are gathered once, with one shuffle, folded in order and laid out again.
+    Events are dealt by document and sorted, once; a task reads them in order and keeps one document's events at a time, with
+    an index of the texts that its events depend on, so that a long document costs in proportion to its length.
     """
     base = F.lit(datetime.date.fromisoformat(anchor))
     names = [c for c in found.columns if c not in ("doc_id", "seq")]
-
-    def step(acc: Column, r: Column) -> Column:
-        dep = F.lower(r["dependency"])
-        first = F.get(F.filter(acc["dated"], lambda x: x["text"].contains(dep)), F.lit(0))["day"]
-        ahead = F.date_add(F.when(any_of(dep, ANCHOR_WORDS), base).otherwise(first), r["offset_days"])
-        return let(F.when(r["is_relative"] & (dep != "") & r["offset_days"].isNotNull(), ahead).otherwise(r["event_date"]), lambda day: F.struct(
-            F.when(day.isNull(), acc["dated"]).otherwise(F.concat(acc["dated"], F.array(F.struct(F.lower(r["description"]).alias("text"), day.alias("day"))))).alias("dated"),
-            F.concat(acc["days"], F.array(day)).alias("days")))
-
-    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", *names))).alias("rows"))
-    start = F.struct(F.array().cast("array<struct<text:string,day:date>>").alias("dated"), F.array().cast("array<date>").alias("days"))
-    days = F.aggregate("rows", start, step, lambda acc: acc["days"])
-    per = per.withColumn("days", F.when(F.exists("rows", lambda r: r["is_relative"]), days).otherwise(F.transform("rows", lambda r: r["event_date"])))
-    whole = F.transform("rows", lambda r, i: F.struct(*[(F.get("days", i) if c == "event_date" else r[c]).alias(c) for c in ("seq", *names)]))
-    return per.select("doc_id", F.inline(whole))
+    dep = F.lower("dependency")
+    asks = F.coalesce(F.col("is_relative") & (dep != "") & F.col("offset_days").isNotNull(), F.lit(False))
+    at_anchor = F.when(any_of(dep, ANCHOR_WORDS), F.date_add(base, F.col("offset_days")))
+    rows = found.withColumns({
+        "asked_": F.when(asks & ~any_of(dep, ANCHOR_WORDS), dep), "low_": F.lower("description"), "event_date": F.when(asks, at_anchor).otherwise(F.col("event_date"))})
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq", *names).select(*found.columns, "asked_", "low_")
+    at = {c: i for i, c in enumerate(dealt.columns)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        def solved(table):
+            doc = table.column(at["doc_id"]).to_pylist()
+            asked, offset, low = (table.column(at[c]).to_pylist() for c in ("asked_", "offset_days", "low_"))
+            dates = table.column(at["event_date"])
+            day = dates.cast(pa.int32()).to_pylist()
+            cut = [0, *(i for i in range(1, len(doc)) if doc[i] != doc[i - 1]), len(doc)]
+            for a, z in zip(cut, cut[1:]):
+                if any(asked[a:z]):
+                    own = day[a:z]
+                    follow(asked[a:z], offset[a:z], own, low[a:z])
+                    day[a:z] = own
+            table = table.set_column(at["event_date"], "event_date", pa.array(day, pa.int32()).cast(dates.type))
+            yield from table.select(found_columns).combine_chunks().to_batches()
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            doc = table.column(at["doc_id"]).to_pylist()
+            last = len(doc)
+            while last and doc[last - 1] == doc[-1]:
+                last -= 1
+            if last:
+                yield from solved(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None and len(held):
+            yield from solved(held)
+
+    found_columns = found.columns
+    return dealt.mapInArrow(run, found.schema)
 
 
 def keep_confident(found: DataFrame, least: float = 0.5) -> DataFrame:

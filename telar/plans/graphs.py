@@ -38,7 +38,9 @@ def linked(spark, d):
 
 
 def found(spark, d):
-    return g.cycles(linked(spark, d))
+    """Cycles of the graphs within the limit of nodes."""
+    accepted = g.limits(named(spark, d)).filter("accepted").select("graph_id")
+    return g.cycles(linked(spark, d).join(accepted, "graph_id", "left_semi"))
 
 
 def pattern_triples(spark, d):
@@ -105,7 +107,8 @@ N = f"""t AS ({T}), m AS (SELECT graph_id, {ID.format('subject')} AS node_id, se
 n AS (SELECT graph_id, node_id, min(row(seq, side, label, type)) AS r FROM m GROUP BY 1, 2), nn AS (SELECT graph_id, node_id, r[3] AS label, r[4] AS type FROM n),
 e AS (SELECT graph_id, {ID.format('subject')} AS source, {ID.format('object')} AS target, max(row({{0}}, relation, confidence)) AS r FROM t GROUP BY 1, 2, 3), ee AS (SELECT graph_id, source, target, r[2] AS relation, r[3] AS weight FROM e)"""
 N0 = N.format("seq")
-C = """walk AS (SELECT graph_id, source AS a, target AS z, [source] AS p FROM ee WHERE target >= source
+C = """small AS (SELECT graph_id FROM nn GROUP BY 1 HAVING count(*) <= 50),
+walk AS (SELECT graph_id, source AS a, target AS z, [source] AS p FROM ee JOIN small USING (graph_id) WHERE target >= source
   UNION ALL SELECT w.graph_id, w.a, ee.target, list_append(w.p, w.z) FROM walk w JOIN ee ON ee.graph_id = w.graph_id AND ee.source = w.z
   WHERE w.z <> w.a AND ee.target >= w.a AND (ee.target = w.a OR ee.target <> w.z AND NOT list_contains(w.p, ee.target))),
 c AS (SELECT graph_id, p FROM walk WHERE a = z)"""

@@ -11,7 +11,7 @@ from telar.functions.arrays import running_sums
 from telar.functions.chunks import pack_paragraphs, split_recursively
 from telar.functions.money import clean_currency, normalize_header
 from telar.functions.text import chunk_id, normalize_line, page_numbers, table_to_markdown
-from telar.operators import compliance, graph, ingest, retrieval, risk, tech, timeline
+from telar.operators import compliance, graph, ingest, nearest, retrieval, risk, tech, timeline
 
 
 def one(spark, rows, schema, column):
@@ -203,19 +203,37 @@ def test_running_sums(spark):
     assert [h["offset"] for h in got] == list(range(0, 120_000, 6))
 
 
-def test_top_k_in_blocks(spark):
+@pytest.mark.parametrize("cluster_rows, cell, block", [(256, 4096, 2048), (20, 4096, 2048), (40, 7, 3)])
+def test_top_k(spark, monkeypatch, cluster_rows, cell, block):
+    monkeypatch.setattr(nearest, "CELL", cell)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", block)
     rng = np.random.default_rng(2)
     x = rng.integers(-2, 3, (300, 6)).astype(np.float32)  # many ties
+    x[200:] = x[200]  # one vector in a third of the rows
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)]
     chunks = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
     asked = chunks.filter("id % 20 = 0 OR id = 999").withColumnRenamed("id", "query_id")
     u = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-300)
-    want = {(q, i, r) for q in range(0, 300, 20) for r, i in enumerate(sorted(range(300), key=lambda i: (-round(float(u[i] @ u[q]), 10), i))[:7], 1)}
-    for block in (1 << 20, 100):
-        assert {(r["query_id"], r["id"], r["rank"]) for r in retrieval.top_k(chunks, asked, 7, block_bytes=block).collect()} == want
+    for k in (7, 120):
+        want = {(q, i, r) for q in range(0, 300, 20) for r, i in enumerate(sorted(range(300), key=lambda i: (-round(float(u[i] @ u[q]), 10), i))[:k], 1)}
+        assert {(r["query_id"], r["id"], r["rank"]) for r in retrieval.top_k(chunks, asked, k, cluster_rows).collect()} == want
     assert retrieval.top_k(chunks, asked.limit(0)).count() == 0 and retrieval.top_k(chunks.limit(0), asked).count() == 0
 
 
+def test_few_clusters_are_visited(spark):
+    """Rows round 40 centres: a search visits few clusters, and finds what a full scan finds."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 2000)] + 0.05 * rng.normal(size=(2000, 16))).astype(np.float32)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    asked = chunks.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    corpus = nearest.clustered(chunks, 20)
+    report = nearest.visit_report(corpus, asked, 5).collect()
+    assert len(report) == 40 and all(r["visited"] >= 1 for r in report) and np.mean([r["visited"] / r["clusters"] for r in report]) < 0.2
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {(q, i) for q in range(0, 2000, 50) for i in sorted(range(2000), key=lambda i: (-round(float(u[i] @ u[q]), 12), i))[:5]}
+    assert {(r["query_id"], r["id"]) for r in nearest.search(corpus, asked, 5).collect()} == want
+
+
 def replayed(times, seconds):
     last, out = None, []
     for t in times:
