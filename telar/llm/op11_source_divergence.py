@@ -8,7 +8,8 @@ slot. Slots store their terms, so that a term that isn't kept is told from the o
 Second pass: the shards are broadcast, and every task increments dense slots for each (language, source). Shards are
 broadcast in blocks of at most BLOCK_BYTES of terms; more blocks are handled one after another, each by a pass over
 the texts, so that the broadcast is bounded whatever the vocabulary. A task holds at most HELD slots before it hands
-them on. Slot arrays of a group and shard are then summed; no group is gathered.
+them on, cut into pieces of PIECE slots, those without a count left out. Pieces of a group are then summed; no group
+is gathered.
 
 All arithmetic is exact in 64 bits: 10**9 * (c + 2) // D is worked out in three steps of a thousand, right for
 D < 9 * 10**15. Divergences of pairs of sources are summed over shards, in blocks of SOURCES sources by SOURCES.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from telar.llm.common import Scratch, read, sliced
 
 MIN_DOCS, TOP = 10, 10
-SHARD, SOURCES = 1024, 64
-BLOCK_BYTES, HELD, MOST_TERMS = 32 << 20, 8 << 20, 400_000
+SHARD, PIECE, SOURCES = 16384, 1024, 64
+BLOCK_BYTES, HELD, MOST_TERMS = 32 << 20, 4 << 20, 250_000
 U = np.uint64
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -152,21 +154,28 @@ def shards(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(build, "lang string, shard long, shards long, slots long, terms array<string>, tables binary")
 
 
-def recounted(docs: DataFrame, block: list) -> DataFrame:
-    """(lang, source, shard, counts): slots of the block's shards, counted within tasks."""
-    sent = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["shard"], r["shards"], [t.encode() for t in r["terms"]], bytes(r["tables"])) for r in block])
+def recounted(docs: DataFrame, shards: list, scratch: Scratch, piece: int) -> DataFrame:
+    """(lang, source, shard, piece, counts): slots of some shards, written."""
+    packed = []
+    for r in shards:
+        own = [t.encode() for t in r["terms"]]
+        packed.append((r["lang"], r["shard"], r["shards"], b"".join(own), np.cumsum([0, *map(len, own)]).astype(np.int32), bytes(r["tables"])))
+    sent = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
         import pyarrow as pa
 
-        tables = {(lang, k): (PerfectHash.read(data), own) for lang, k, _, own, data in sent.value}
-        number = {lang: n for lang, _, n, _, _ in sent.value}
+        tables = {(lang, k): (PerfectHash.read(data), own, at) for lang, k, _, own, at, data in sent.value}
+        number = {x[0]: x[2] for x in sent.value}
         slots: dict[tuple, np.ndarray] = {}
 
         def rows():
-            out = [(*k, v.tobytes()) for k, v in slots.items()]
-            types = [pa.string(), pa.string(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["lang", "source", "shard", "counts"])
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+            for (lang, source, k), v in slots.items():
+                cut = [(i // piece, v[i : i + piece]) for i in range(0, len(v), piece)]
+                out = [(lang, source, k, i, x.tobytes()) for i, x in cut if x.any()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["lang", "source", "shard", "piece", "counts"])
+            slots.clear()
 
         for batch in batches:
             for part in sliced(batch, 2):
@@ -183,19 +192,22 @@ def recounted(docs: DataFrame, block: list) -> DataFrame:
                         if not len(some) or (lang, int(shard[some[0]])) not in tables:
                             continue
                         k = int(shard[some[0]])
-                        table, own = tables[lang, k]
+                        table, own, at = tables[lang, k]
                         found = table.slots(h[some])
-                        same = np.fromiter((s >= 0 and own[s] == words[i] for s, i in zip(found.tolist(), some.tolist())), bool, len(some))
+                        starts, ends = at[found].tolist(), at[found + 1].tolist()
+                        same = np.fromiter((s >= 0 and own[a:z] == words[i] for s, a, z, i in zip(found.tolist(), starts, ends, some.tolist())), bool, len(some))
                         if same.any():
                             if (lang, source, k) not in slots:
-                                slots[lang, source, k] = np.zeros(len(own), np.int64)
+                                slots[lang, source, k] = np.zeros(len(at) - 1, np.int64)
                             slots[lang, source, k][found[same]] += n[some[same]]  # slots of different terms differ
                     if sum(map(len, slots.values())) > HELD:
-                        yield rows()
-                        slots.clear()
-        yield rows()
+                        yield from rows()
+        yield from rows()
 
-    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, shard long, counts binary")
+    counted = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, shard long, piece long, counts binary")
+    out = scratch.write(summed(counted, ["lang", "source", "shard", "piece"]), "counts")
+    sent.destroy()
+    return out
 
 
 def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,7 +233,7 @@ def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
         if key is not None:
             yield row(key, total)
 
-    types = {"lang": "string", "source": "string", "shard": "long"}
+    types = {"lang": "string", "source": "string", "shard": "long", "piece": "long"}
     return parts.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "counts").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", counts binary")
 
 
@@ -240,25 +252,25 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def pair_sums(groups: DataFrame) -> DataFrame:
-    """(lang, source, item, value): both orders of all pairs of sources of a language, summed over shards; groups: lang, source, shard, counts, whole."""
-    many = groups.filter("shard = 0").groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("blocks"))
+    """(lang, source, item, value): both orders of all pairs of sources of a language, summed over shards; groups: lang, source, shard, piece, counts, whole."""
+    many = groups.filter("shard = 0 AND piece = 0").groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")
     dealt = groups.join(many, "lang").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    keys = ["lang", "shard", "i", "j"]
+    keys = ["lang", "shard", "piece", "i", "j"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "source").select(*keys, "source", "own", "whole", "counts")
 
     def run(batches):
         import pyarrow as pa
 
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        for (lang, _, i, j), own in itertools.groupby(rows, key=lambda r: r[:4]):
+        for (lang, _, _, i, j), own in itertools.groupby(rows, key=lambda r: r[:5]):
             own = list(own)
-            p = [share(np.frombuffer(r[7], np.int64), r[6]) for r in own]
+            p = [share(np.frombuffer(r[8], np.int64), r[7]) for r in own]
             out = []
             for x, y in itertools.combinations(range(len(own)), 2):
-                if i == j or own[x][5] != own[y][5]:
-                    out.append((own[x][4], own[y][4], int(divergence(p[x], p[y]).sum())))
+                if i == j or own[x][6] != own[y][6]:
+                    out.append((own[x][5], own[y][5], int(divergence(p[x], p[y]).sum())))
             a, b, v = (list(x) for x in zip(*out)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * 2 * len(out), pa.string()), pa.array(a + b, pa.string()), pa.array(b + a, pa.string()), pa.array(v + v, pa.int64())], names=["lang", "source", "item", "value"])
 
@@ -266,13 +278,13 @@ def pair_sums(groups: DataFrame) -> DataFrame:
 
 
 def top_terms(groups: DataFrame, langs: DataFrame, top: int) -> DataFrame:
-    """(lang, source, item, value): of every group and shard, the `top` terms at most that diverge upwards most; langs: lang, shard, counts, whole, terms.
+    """(lang, source, item, value): of every group and piece, the `top` terms at most that diverge upwards most; langs: lang, shard, piece, counts, whole, terms.
 
-    A shard's row of its language comes first, those of its groups follow one by one.
+    A piece's row of its language comes first, those of its groups follow one by one.
     """
-    rows = langs.select("lang", "shard", F.lit(None).cast("string").alias("source"), "whole", "counts", "terms")
-    rows = rows.unionByName(groups.select("lang", "shard", "source", "whole", "counts", F.lit(None).cast("array<string>").alias("terms")))
-    dealt = rows.repartition("lang", "shard").sortWithinPartitions("lang", "shard", F.col("source").asc_nulls_first())
+    rows = langs.select("lang", "shard", "piece", F.lit(None).cast("string").alias("source"), "whole", "counts", "terms")
+    rows = rows.unionByName(groups.select("lang", "shard", "piece", "source", "whole", "counts", F.lit(None).cast("array<string>").alias("terms")))
+    dealt = rows.repartition("lang", "shard", "piece").sortWithinPartitions("lang", "shard", "piece", F.col("source").asc_nulls_first())
 
     def run(batches):
         import pyarrow as pa
@@ -280,7 +292,7 @@ def top_terms(groups: DataFrame, langs: DataFrame, top: int) -> DataFrame:
         q = own = None
         for batch in batches:
             out = []
-            for lang, _, source, whole, counts, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, _, _, source, whole, counts, words in zip(*(c.to_pylist() for c in batch.columns)):
                 c = np.frombuffer(counts, np.int64)
                 p = share(c, whole) if len(c) else c
                 if source is None:
@@ -294,7 +306,7 @@ def top_terms(groups: DataFrame, langs: DataFrame, top: int) -> DataFrame:
                 out += [(lang, source, t.decode(), -v) for v, t in best]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "source", "item", "value"])
 
-    return dealt.select("lang", "shard", "source", "whole", "counts", "terms").mapInArrow(run, "lang string, source string, item string, value long")
+    return dealt.select("lang", "shard", "piece", "source", "whole", "counts", "terms").mapInArrow(run, "lang string, source string, item string, value long")
 
 
 def source_divergence(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -308,20 +320,23 @@ def source_divergence(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOC
     made = scratch.write(shards(kept, sizes), "shards")
 
     # blocks of shards; a broadcast has the shards of one
-    size = made.agg(F.sum(F.octet_length("tables") + F.aggregate("terms", F.lit(0), lambda a, t: a + F.octet_length(t) + 40))).first()[0] or 0
+    size = made.agg(F.sum(F.octet_length("tables") + F.aggregate("terms", F.lit(0), lambda a, t: a + F.octet_length(t) + 4))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    parts = []
+    counts = []
     for i in range(n):
-        block = made.filter(F.pmod(F.xxhash64("lang", "shard"), F.lit(n)) == i).collect()
-        parts.append(scratch.write(summed(recounted(every, block), ["lang", "source", "shard"]), "counts"))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-
-    blank = F.unhex(F.repeat(F.lit("00"), (8 * F.col("slots")).cast("int")))
-    grid = groups.join(made.select("lang", "shard", "slots"), "lang").join(counts, ["lang", "source", "shard"], "left").withColumn("counts", F.coalesce("counts", blank))
+        block = made.filter((F.pmod(F.xxhash64("lang", "shard"), F.lit(n)) == i) & (F.col("slots") > 0)).collect()
+        counts.append(recounted(every, block, scratch, PIECE))
+    counts = reduce(DataFrame.unionByName, counts)
+
+    # every language has piece 0 of shard 0 at least
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("slots") / PIECE) - 1, F.lit(0)))
+    cut = made.select("lang", "shard", "slots", "terms", F.explode(pieces).alias("piece"))
+    cut = cut.select("lang", "shard", "piece", F.slice("terms", F.col("piece").cast("int") * PIECE + 1, PIECE).alias("terms"))
+    cut = scratch.write(cut.withColumn("slots", F.size("terms")), "pieces")
+    blank = F.unhex(F.repeat(F.lit("00"), 8 * F.col("slots")))
+    grid = groups.join(cut.select("lang", "shard", "piece", "slots"), "lang").join(counts, ["lang", "source", "shard", "piece"], "left").withColumn("counts", F.coalesce("counts", blank))
     grid = scratch.write(grid, "grid")
-    total = scratch.write(summed(grid, ["lang", "shard"]), "total")
+    total = scratch.write(summed(grid, ["lang", "shard", "piece"]), "total")
 
     def added(df: DataFrame, keys: list[str]) -> DataFrame:
         """N + 2 V of each key."""
@@ -335,7 +350,7 @@ def source_divergence(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOC
         return df.join(ns, keys).join(sizes.select("lang", "v"), "lang").withColumn("whole", F.col("n") + 2 * F.col("v"))
 
     shared = scratch.write(added(grid, ["lang", "source"]), "shared")
-    langs = added(total, ["lang"]).join(made.select("lang", "shard", "terms"), ["lang", "shard"])
+    langs = added(total, ["lang"]).join(cut.select("lang", "shard", "piece", "terms"), ["lang", "shard", "piece"])
     order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
     pairs = pair_sums(shared).withColumn("part", F.lit("pair")).withColumn("rank", F.row_number().over(order))
     found = top_terms(shared, langs, top).withColumn("part", F.lit("term")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -83,7 +83,7 @@ def test_divergence(docs, empty, scratch, block_bytes):
 
 def test_divergence_of_many_terms(spark, scratch, monkeypatch):
     """Several shards a language, several blocks of sources, counts handed on early, terms of other alphabets."""
-    for name, value in (("SHARD", 16), ("SOURCES", 3), ("MOST_TERMS", 50)):
+    for name, value in (("SHARD", 16), ("PIECE", 5), ("HELD", 40), ("SOURCES", 3), ("MOST_TERMS", 50)):
         monkeypatch.setattr(op11, name, value)
     rng = random.Random(3)
     word = lambda: rng.choice(["", "É", "日", "ß"]) + rng.choice("abcdefgh") + rng.choice("ijklmnop")
