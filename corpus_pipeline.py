@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telar.llm.common import Scratch, read
+from telar.llm.common import Scratch, hidden, read, shown
 from telar.llm.op3_secret_scan import redact_secrets
 from telar.llm.op4_near_dedup import keep_one
 from telar.llm.op6_bpe_codec import encode_decode
@@ -13,17 +13,6 @@ from telar.llm.op7_decontaminate import decontaminate
 from telar.llm.op8_language_id import identify
 
 
-def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """docs with neutral column names, which no operator's new columns clash with, and the neutral name of each column."""
-    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names
-
-
-def shown(df: DataFrame, names: dict[str, str], **new: Column) -> DataFrame:
-    """The columns of before under their own names; new: columns that replace theirs."""
-    return df.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go (null and empty texts too); those without a language get the predicted one.
 
@@ -38,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, that with the least id.
 
-    All rows of an id stay or go; rows without an id, and documents without words, stay.
+    Rows of an id with several texts are judged each by its text; rows without an id, and documents without words, stay.
     """
     return keep_one(docs, Scratch(spark), size=5)
 
