@@ -21,6 +21,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with neutral column names, which no operator's new columns clash with, and the neutral name of each column."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def shown(df: DataFrame, names: dict[str, str], **new: Column) -> DataFrame:
+    """The columns of before under their own names; new: columns that replace theirs."""
+    return df.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share (spark.checkpoint.dir).
 
@@ -89,7 +100,8 @@ def map_texts(
                 cols += [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(out, types)]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.name for x in schema])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    name = "_".join(["text", *keep])  # a name that no column has
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(name)).mapInArrow(run, schema)
 
 
 def to_arrow(t: T.DataType) -> pa.DataType:

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from telar.llm.common import Scratch, read, sliced
 
 MIN_DOCS, TOP = 10, 10
-SHARD, PIECE, SOURCES = 16384, 1024, 64
-BLOCK_BYTES, HELD, MOST_TERMS = 32 << 20, 4 << 20, 250_000
+SHARD, PIECE, SOURCES = 16384, 128, 64
+BLOCK_BYTES, HELD, MOST_TERMS = 32 << 20, 3 << 20, 120_000
 U = np.uint64
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

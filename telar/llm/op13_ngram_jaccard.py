@@ -14,15 +14,9 @@ spare(n) = n - ceil(0.85 n) of its own elements in the other.
    one from the prefix with a later one from the extended prefix: if c1 is frequent, so is c2, as it is later in
    the order. Sets of more than LONG elements, whose combinations would be too many, use single frequent
    elements too, and so do, besides, the sets down to 0.85 * LONG, which may be linked with such a set.
-4. Groups that share a key are not expanded into pairs. Linked sets differ in at most 15/185 of their sizes' sum, and
-   what no other set has counts in full, so that each set has an excess, and two linked sets' excesses add up to
-   zero or less. In each key, nodes are compared on the full sets with pivots, those of least excess; who exceeds all
-   others has no partner there and goes at once. Jaccard distance is a metric: nodes linked with a pivot (distance
-   0.15) leave, as whatever is linked with them is within 0.3 of the pivot and is tied to it. Keys whose nodes are all
-   in one component by now need no more. After ROUNDS rounds, nodes left in keys of at most SMALL are compared with
-   one another, unless they are of one component or exceed each other; larger keys join their nodes into clusters.
-5. Clusters, joined by ties and by large keys, whose nodes are not all in one component are compared in full by
-   blocks (op4's joining_links), but for nodes of one component.
+4. Groups that share a key are not expanded into pairs but matched as matching.py says. Linked sets differ in at most
+   15/185 of their sizes' sum, and what no other set has counts in full: that bounds the pairs worth comparing
+   (a set's excess: 185 times its elements that no other set has, less 15 times its size).
 
 Sets are those of 64-bit hashes of shingles; that two different shingles of a pair of sets have one hash has a
 probability of 1e-15 for sets of a hundred.
@@ -35,20 +29,16 @@ than id and text are left out, so they cannot clash. An empty table gives an emp
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from telar.llm.common import Scratch, field, map_texts, read, sliced
-from telar.llm.components import components
-from telar.llm.op4_near_dedup import Shingles, U, hashed_sets, joining_links, keyed_texts
+from telar.llm.matching import linked, least_ids, matchable
+from telar.llm.op4_near_dedup import Shingles, U, hashed_sets, keyed_texts
 
 SIZE, PERCENT = 4, 85
 RARE, LONG = 16, 256
-ROUNDS, SMALL = 2, 64
 SLICE = U(1 << 62)
 
 
@@ -131,68 +121,6 @@ def indexed(sets: DataFrame, nodes: DataFrame, percent: int, rare: int, long: in
     return fit.select("node", "n", "own").mapInArrow(run, "key long, node long, excess long")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, near) of pairs whose distance is at most twice that of a link; near: they are linked."""
-    sides = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
-    sides = sides.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            both, either = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                own, other = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both[i] = len(np.intersect1d(own, other, assume_unique=True))
-                either[i] = len(own) + len(other) - both[i]
-            tie = (100 * both >= (2 * percent - 100) * either) & (both > 0)
-            near = (100 * both >= percent * either) & tie
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["a", "b", "near"]).filter(pa.array(tie))
-
-    return sides.select("a", "b", "set_a", "set_b").mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in (("a", T.LongType()), ("b", T.LongType()), ("near", T.BooleanType()))]))
-
-
-def matchable(members: DataFrame) -> DataFrame:
-    """Members whose excess leaves them a partner in their key."""
-    least = members.groupBy("key").agg(F.min("excess").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND least <= 0")
-    return members.join(least, "key").filter("excess + least <= 0").select("key", "node", "excess")
-
-
-def pivoted(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links and ties (a, b, near) of nodes with pivots of their keys, the components (node, label) of the links, and the members left.
-
-    Two linked nodes that share a key are of one component of the links, or of the ties, or are left in a key; members: (key, node, excess).
-    """
-    found, labels, left = [], None, members
-    for n in range(1, ROUNDS + 1):
-        part = F.pmod(F.xxhash64("node", F.lit(n)), F.lit(n)).alias("part")
-        pivots = left.groupBy("key", part).agg(F.min_by("node", F.struct("excess", "node")).alias("pivot"), F.min("excess").alias("least")).select("key", "pivot", "least")
-        pairs = left.join(pivots, "key").filter("pivot <> node AND excess + least <= 0").select("key", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = scratch.write(pairs, "pairs")
-        new = scratch.write(compared(pairs.select("a", "b").distinct(), sets, percent), "ties")
-        found.append(new)
-        # pivots leave, and whoever is linked with one
-        gone = pivots.select("key", F.col("pivot").alias("node")).unionByName(pairs.join(new.filter("near").select("a", "b"), ["a", "b"]).select("key", "node"))
-        rest = left.join(gone.distinct(), ["key", "node"], "left_anti")
-        # what the labels so far join, and the new links
-        links = new.filter("near").select("a", "b")
-        links = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = scratch.write(components(links, "a", "b", scratch), "labels")
-        rest = scratch.write(matchable(rest).join(labels, "node", "left").select("key", "node", "excess", F.coalesce("label", "node").alias("label")), "rest")
-        open_ = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("key", "n")
-        left = scratch.write(rest.join(open_, "key").select("key", "node", "excess", "label", "n"), "left")
-        scratch.drop(pairs)
-        scratch.drop(rest)
-    return reduce(DataFrame.unionByName, found).distinct(), labels, left
-
-
-def left_pairs(left: DataFrame) -> DataFrame:
-    """(a, b): the nodes left in a key of at most SMALL that may be linked and aren't yet joined."""
-    small = left.filter(F.col("n") <= SMALL)
-    one, two = (small.select("key", F.col("node").alias(x), F.col("excess").alias(f"excess_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    return one.join(two, "key").filter("a < b AND label_a <> label_b AND excess_a + excess_b <= 0").select("a", "b").distinct()
-
-
 def jaccard_components(
     docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, rare: int = RARE, long: int = LONG
 ) -> DataFrame:
@@ -211,24 +139,7 @@ def jaccard_components(
     keys = scratch.write(indexed(sets, could, percent, rare, long), "keys")
     members = scratch.write(matchable(keys), "members")
 
-    tied, labels, left = pivoted(members, sets, percent, scratch)
-    pairs = scratch.write(compared(left_pairs(left), sets, percent).filter("near"), "left")
-    direct = tied.filter("near").select("a", "b").unionByName(pairs.select("a", "b"))
-    large = left.filter(F.col("n") > SMALL)
-    large = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
-
-    labels = components(direct, "a", "b", scratch)
-    clusters = components(tied.select("a", "b").unionByName(large).unionByName(pairs.select("a", "b")), "a", "b", scratch).withColumnRenamed("label", "cluster")
-    about = clusters.join(labels, "node", "left").join(could.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node"))
-    about = scratch.write(about, "about")
-    mixed = about.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("cluster")
-    rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed")
-    links = direct.unionByName(scratch.write(joining_links(rest, sets, percent), "links"))
-
-    labels = scratch.write(components(links, "a", "b", scratch).join(nodes.select("node", "id"), "node"), "labels")
-    least = labels.groupBy("label").agg(F.min("id").alias("least"))
-    linked = labels.join(least, "label").select("node", F.struct("least").alias("linked"))
-    named = nodes.join(linked, "node", "left").select("set_hash", F.when(F.col("linked").isNull(), F.col("id")).otherwise(F.col("linked.least")).alias("component"))
+    named = least_ids(linked(members, could, sets, percent, scratch), nodes, scratch)
     out = every.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telar.llm.common import IdFilter, Scratch, read
+from telar.llm.common import IdFilter, Scratch, hidden, read, shown
 
 # The kinds of spans, their patterns and least lengths.
 ASSIGN = r"""((?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -130,14 +130,16 @@ def _redacted(texts: DataFrame, found: DataFrame, mark: str) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, scratch: Scratch, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", **options) -> DataFrame:
     """docs with the text under every run of spans replaced by `mark`; other rows and columns stay as they are."""
-    found = scan_secrets(docs, scratch, id_col, text_col, owner_col, **options).filter(F.size("found") > 0)
+    df, names = hidden(docs)
+    id_col, text_col, owner_col = (names[c] for c in (id_col, text_col, owner_col))
+    found = scan_secrets(df, scratch, id_col, text_col, owner_col, **options).filter(F.size("found") > 0)
     found = scratch.write(found.select("key", "found").dropDuplicates(["key"]), "redact")
-    flagged = IdFilter(found, "key").flag(docs.withColumn("__key", document_key(id_col, owner_col, text_col)), F.col("__key"), "__maybe")
-    clear = flagged.filter(~F.col("__maybe")).select(*docs.columns)
-    texts = flagged.filter("__maybe").select(F.col("__key").alias("key"), F.col(f"`{text_col}`").alias("text")).join(found.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    new = scratch.write(_redacted(texts, found, mark), "redacted").select(F.col("key").alias("__key"), F.col("text").alias("__text"))
-    mixed = flagged.filter("__maybe").join(new, "__key", "left").withColumn(text_col, F.coalesce("__text", text_col))
-    return clear.unionByName(mixed.select(*docs.columns))
+    flagged = IdFilter(found, "key").flag(df.withColumn("key", document_key(id_col, owner_col, text_col)), F.col("key"), "maybe")
+    clear = flagged.filter(~F.col("maybe")).select(*df.columns)
+    texts = flagged.filter("maybe").select("key", F.col(text_col).alias("text")).join(found.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    new = scratch.write(_redacted(texts, found, mark), "redacted").select("key", F.col("text").alias("new"))
+    mixed = flagged.filter("maybe").join(new, "key", "left").withColumn(text_col, F.coalesce("new", text_col))
+    return shown(clear.unionByName(mixed.select(*df.columns)), names)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

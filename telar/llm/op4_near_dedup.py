@@ -8,15 +8,9 @@ each symbol of a chunk in turn, so such a pair has a key in common with certaint
 0.8 a chunk agrees this way with probability 0.655, so a pair with more differences is missed with
 probability 0.345 ** CHUNKS, 3e-6.)
 
-Groups that share a key are not expanded into pairs. In each key, nodes are compared with pivots, the
-least nodes. By the triangle inequality for signature distances, a node within RADIUS of a pivot can
-leave (whatever is within RADIUS of it is within 2 * RADIUS of the pivot and is tied to it); the rest
-gets new pivots, twice as many in each round, until nobody is left. No tie is made without its distance.
-The ties join into clusters that hold every pair within RADIUS that shares a key. Each node's least
-pivot is confirmed first, on the full sets; the components of these links label the nodes. Clusters
-whose nodes have several labels are then compared in full, but for nodes of one label: in blocks of
-bounded size, by products of presence matrices, which give exact intersections; of the links found only
-those are reported that join two labels. Components over all links are the result.
+Groups that share a key are not expanded into pairs but matched as matching.py says, on the full sets. Pairs left
+in keys of few nodes are compared if their signatures differ in LIKELY symbols at most; at similarity 0.8 a pair differs in
+more with a probability of 1e-6.
 
 Nodes are numbered; a number stands for the 128-bit hash of a set, so an id with two texts is two nodes.
 "Full sets" are sets of 64-bit hashes of shingles, made once from one text of each node that is compared
@@ -24,8 +18,8 @@ at all; that two different shingles of a pair have one hash has a probability of
 
 Null, empty or wordless text: empty set, linked with nothing. Every row gives a row, and its component
 follows from its own text: rows that share an id and differ in text may differ in component. keep_one()
-decides by id: all rows of an id stay or go. Columns other than id and text are left out, so they
-cannot clash.
+decides by row: of each group the rows of its least id stay, so no group is lost; repeated rows stay or go together.
+Columns other than id and text are left out here, and hidden in keep_one(), so they cannot clash.
 
 Rows without an id link as all others do. Their component is the least id of their group, null where no
 row of the group has an id; they are always kept, as without an id they cannot be told from one another.
@@ -33,18 +27,15 @@ row of the group has an id; they are always kept, as without an id they cannot b
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telar.llm.common import IdFilter, Scratch, drop_ids, field, map_texts, read
-from telar.llm.components import components
+from telar.llm.common import IdFilter, Scratch, drop_ids, field, hidden, map_texts, read, shown
+from telar.llm.matching import least_ids, linked
 
 CHUNKS, WIDTH, ERRORS = 12, 6, 1
-RADIUS = CHUNKS * (ERRORS + 1)
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+LIKELY = 32
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 
@@ -107,9 +98,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return map_texts(keyed_texts(docs, id_col, text_col), "text", ["id", "key"], [field("n_shingles", "long"), field("set_hash", "binary"), field("sig", "binary")], make)
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """Stands for a row's id and text."""
+    return F.unhex(F.md5(F.concat_ws("\n", F.coalesce(id_.cast("string"), F.lit("")), text)))
+
+
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_ = F.col(id_col).cast("long")
-    return docs.select(id_.alias("id"), F.unhex(F.md5(F.concat_ws("\n", F.coalesce(id_.cast("string"), F.lit("")), F.col(text_col)))).alias("key"), F.col(text_col).alias("text"))
+    return docs.select(id_.alias("id"), row_key(id_, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
 def hashed_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -133,141 +129,20 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sides = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
-    sides = sides.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                own, other = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                near.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return sides.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-
-
 def distance(a: str, b: str) -> Column:
     """Symbols in which two signatures differ."""
     cut = lambda c, k: F.substring(c, 2 * k + 1, 2)
     return sum(((cut(a, k) != cut(b, k)).cast("int") for k in range(1, CHUNKS * WIDTH)), (cut(a, 0) != cut(b, 0)).cast("int"))
 
 
-def ties(members: DataFrame, nodes: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
-    """(a, b): nodes b within 2 * RADIUS of a pivot a with which they share a key; members: (key, node) of keys of two nodes or more.
-
-    A round has 1, 2, 4, ... pivots a key, `most` at most: the least node of each of so many parts of the key's nodes.
-    """
+def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures differ in LIKELY symbols at most."""
     sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-    found, left, n = [], members, 1
-    while True:
-        pivots = left.groupBy("key", F.pmod(F.xxhash64("node", F.lit(n)), F.lit(n)).alias("part")).agg(F.min("node").alias("a")).select("key", "a")
-        pairs = scratch.write(left.join(pivots, "key").filter("a <> node").select("key", "a", F.col("node").alias("b")), "pairs")
-        two = pairs.select("a", "b").distinct().join(sig("b"), "b").join(sig("a"), "a").select("a", "b", distance("sig_a", "sig_b").alias("d"))
-        two = scratch.write(two.filter(F.col("d") <= 2 * RADIUS), "ties")
-        found.append(two.select("a", "b"))
-        # pivots leave, and whoever is within RADIUS of one
-        near = pairs.join(two.filter(F.col("d") <= RADIUS).select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("node"))
-        rest = pairs.select("key", F.col("b").alias("node"))
-        rest = rest.distinct().join(pairs.select("key", F.col("a").alias("node")).unionByName(near), ["key", "node"], "left_anti") if n > 1 else rest.join(near, ["key", "node"], "left_anti")
-        left = scratch.write(rest, "left")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct()
-        n = min(2 * n, most)
-
-
-def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set on the left with every set on the right."""
-    every = np.concatenate(left + right)
-    own = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
-    order = np.argsort(every, kind="stable")
-    h, own = every[order], own[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    word = np.cumsum(new) - 1
-    often = np.bincount(word) > 1
-    keep = often[word]
-    word, own = (np.cumsum(often) - 1)[word[keep]], own[keep]
-    out, wide = np.zeros((len(left), len(right)), np.float32), 8192
-    for a in range(0, int(often.sum()), wide):  # word is ascending
-        i, j = np.searchsorted(word, [a, a + wide])
-        x = np.zeros((len(left) + len(right), min(wide, int(often.sum()) - a)), np.float32)
-        x[own[i:j], word[i:j] - a] = 1
-        out += x[: len(left)] @ x[len(left) :].T
-    return out.astype(np.int64)
-
-
-def joining_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links within clusters between nodes of different labels; nodes: cluster, node, label, n.
-
-    A label with BLOCK nodes or more in a cluster has blocks of its own, the others share blocks; pairs of
-    blocks are compared unless both are of one label. What a pair of blocks is dealt are hashed sets.
-    """
-    blocks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
-    placed = nodes.join(sizes, ["cluster", "label"]).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("label").cast("string")).otherwise("*"))
-    counts = placed.groupBy("cluster", "own").agg(blocks().alias("blocks"))
-    ids = counts.select("cluster", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    ids = ids.withColumn("block", F.xxhash64("own", "k"))
-    one, two = ids.select("cluster", F.col("own").alias("o1"), F.col("block").alias("i")), ids.select("cluster", F.col("own").alias("o2"), F.col("block").alias("j"))
-    pairs = one.join(two, "cluster").filter("i <= j AND (o1 = '*' OR o2 = '*' OR o1 <> o2)").select("cluster", "i", "j")
-    pairs = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    block = F.xxhash64("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = placed.join(counts, ["cluster", "own"]).select("cluster", "node", "label", block.alias("block"))
-    dealt = dealt.join(pairs, ["cluster", "block"]).join(sets, "node")
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "label", "node").select("cluster", "i", "j", "node", "label", F.col("block") == F.col("i"), "hashes")
-
-    def run(batches):
-        import pyarrow as pa
-
-        def links(rows):
-            sets = [np.frombuffer(r[6], U) for r in rows]
-            same = rows[0][1] == rows[0][2]
-            left = [k for k, r in enumerate(rows) if same or r[5]]
-            right = left if same else [k for k, r in enumerate(rows) if not r[5]]
-            if not left or not right or len({r[4] for r in rows}) < 2:
-                return []
-            n = np.array([len(x) for x in sets])
-            label = np.array([r[4] for r in rows])
-            both = intersections([sets[k] for k in left], [sets[k] for k in right])
-            union = n[left][:, None] + n[right][None, :] - both
-            near = (100 * both >= percent * union) & (both > 0) & (label[left][:, None] != label[right][None, :])
-            top, out = {x: x for x in label.tolist()}, []
-
-            def root(x):
-                while top[x] != x:
-                    x = top[x]
-                return x
-
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                p, q = root(rows[left[i]][4]), root(rows[right[j]][4])
-                if p != q:
-                    top[max(p, q)] = min(p, q)
-                    out.append((rows[left[i]][3], rows[right[j]][3]))
-            return out
-
-        def emit(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        held = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[-1][:3]:
-                    yield emit(links(held))
-                    held = []
-                held.append(row)
-        if held:
-            yield emit(links(held))
-
-    return dealt.mapInArrow(run, "a long, b long")
+    return pairs.join(sig("b"), "b").join(sig("a"), "a").filter(distance("sig_a", "sig_b") <= LIKELY).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """A row per input row: id, n_shingles, component_id (least id reachable by links), kept."""
+def judged(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(id, key, n_shingles, component_id, kept) of every row; key stands for its id and text."""
     every = scratch.write(sketches(docs, id_col, text_col, size), "sketches")
     nodes = every.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.min(F.struct("key", "n_shingles", "sig")).alias("x"))
     nodes = scratch.write(nodes.select("set_hash", "id", F.monotonically_increasing_id().alias("node"), "x.key", F.col("x.n_shingles").alias("n"), "x.sig"), "nodes")
@@ -275,34 +150,27 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     shared = keyed(nodes).groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key")
     shared = scratch.write(shared, "shared")
     some = IdFilter(shared, "key", buckets=1024).flag(keyed(nodes), F.col("key"), "maybe").filter("maybe").drop("maybe")
-    tied = scratch.write(ties(scratch.write(some.join(shared, "key"), "members"), nodes, scratch), "tied")
-    star = tied.groupBy("b").agg(F.min("a").alias("a"))
-
-    ids = tied.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = scratch.write(hashed_sets(docs, scratch.write(ids.join(nodes.select("node", "key"), "node"), "reps"), id_col, text_col, size), "sets")
-
-    links = scratch.write(confirmed(star, sets, percent), "links")
-    labels = components(links, "a", "b", scratch)
-    clusters = components(tied, "a", "b", scratch).withColumnRenamed("label", "cluster")
-    about = clusters.join(labels, "node", "left").join(nodes.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node"))
-    about = scratch.write(about, "about")
-    mixed = about.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("cluster")
-    rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed")
-    links = links.unionByName(scratch.write(joining_links(rest, sets, percent), "links"))
-
-    labels = scratch.write(components(links, "a", "b", scratch).join(nodes.select("node", "id"), "node"), "labels")
-    least = labels.groupBy("label").agg(F.min("id").alias("least"))
-    linked = labels.join(least, "label").select("node", F.struct("least").alias("linked"))
-    named = nodes.join(linked, "node", "left").select("set_hash", F.when(F.col("linked").isNull(), F.col("id")).otherwise(F.col("linked.least")).alias("component"))
+    members = scratch.write(some.join(shared, "key").withColumn("excess", F.lit(0).cast("long")), "members")
+    reps = members.select("node").distinct().join(nodes.select("node", "key"), "node")
+    sets = scratch.write(hashed_sets(docs, scratch.write(reps, "reps"), id_col, text_col, size), "sets")
+
+    named = least_ids(linked(members, nodes, sets, percent, scratch, lambda pairs: likely_pairs(pairs, nodes)), nodes, scratch)
     out = every.join(named, "set_hash", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+    """A row per input row: id, n_shingles, component_id (least id reachable by links), kept."""
+    return judged(docs, scratch, id_col, text_col, size, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of docs but those of documents that have a lesser one in their group."""
-    gone = near_duplicates(docs, scratch, id_col, **options).filter("NOT kept").select(id_col)
-    return drop_ids(docs, scratch.write(gone, "gone"), id_col)
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+    """Rows of docs but those that have a lesser id in their group: of each group, the rows of its least id stay."""
+    df, names = hidden(docs)
+    gone = scratch.write(judged(df, scratch, names[id_col], names[text_col], size, percent).filter("NOT kept").select("key"), "gone")
+    keyed_ = df.withColumn("key", row_key(F.col(names[id_col]).cast("long"), F.col(names[text_col])))
+    return shown(drop_ids(keyed_, gone, "key"), names)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

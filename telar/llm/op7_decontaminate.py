@@ -205,9 +205,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "array<struct<a:int,z:int>>"
 
 
-def merged_by_key(parts: DataFrame) -> DataFrame:
-    """(__key, hits, cuts, items) of the blocks' rows of each document: the union of their spans, and their items."""
-    per = parts.groupBy("__key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "cuts", "items")])
+def merged_by_key(parts: DataFrame, key: str) -> DataFrame:
+    """(key, hits, cuts, items) of the blocks' rows of each document: the union of their spans, and their items."""
+    per = parts.groupBy(key).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "cuts", "items")])
 
     def run(batches):
         import pyarrow as pa
@@ -216,7 +216,7 @@ def merged_by_key(parts: DataFrame) -> DataFrame:
         union = lambda column: pa.array([[{"a": a, "z": z} for a, z in merge([(s["a"], s["z"]) for s in row])] for row in column.to_pylist()], spans)
         for b in batches:
             items = pa.array([list(dict.fromkeys(row)) for row in b.column(3).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), union(b.column(1)), union(b.column(2)), items], names=["__key", "hits", "cuts", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), union(b.column(1)), union(b.column(2)), items], names=[key, "hits", "cuts", "items"])
 
     return per.mapInArrow(run, per.schema)
 
@@ -239,14 +239,15 @@ def decontaminate(
     if blocks == 1:
         return pass_over(docs, keep, 0)
     scratch = scratch or Scratch(docs.sparkSession)
-    keyed = docs.withColumn("__key", F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in docs.columns]), 256))
-    parts = [scratch.write(pass_over(keyed, ["__key"], b).filter(F.size("hits") > 0), f"block{b}") for b in range(blocks)]
+    key = "_".join(["key", *docs.columns])  # a name that no column has
+    keyed = docs.withColumn(key, F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in docs.columns]), 256))
+    parts = [scratch.write(pass_over(keyed, [key], b).filter(F.size("hits") > 0), f"block{b}") for b in range(blocks)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = merged_by_key(every)
-    base = map_texts(keyed, text_col, [*keep, "__key"], fields[:1], lambda: lambda texts: [[len(words(t)) if t else 0 for t in texts]])
-    out = base.drop("hits", "cuts", "items").join(every, "__key", "left").drop("__key")
+    every = merged_by_key(every, key)
+    base = map_texts(keyed, text_col, [*keep, key], fields[:1], lambda: lambda texts: [[len(words(t)) if t else 0 for t in texts]])
+    out = base.drop("hits", "cuts", "items").join(every, key, "left").drop(key)
     return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("hits", "cuts", "items")})
 
 

@@ -7,9 +7,10 @@ import re
 
 import numpy as np
 import pytest
-from cases import ITEMS, SCHEMA, rows
+from cases import ITEMS, SCHEMA, SECRET, rows
 from pyspark.sql import functions as F
 
+from telar.llm import matching
 from telar.llm import op1_token_counts as op1
 from telar.llm import op2_license_scan as op2
 from telar.llm import op3_secret_scan as op3
@@ -237,11 +238,12 @@ def test_near_duplicates(docs, empty, scratch):
     assert op4.near_duplicates(empty, scratch).count() == 0
     kept = op4.keep_one(docs, scratch)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in ROWS} - {i for i, _, _, k in groups(ROWS) if not k}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, _, k in groups(ROWS) if k}
 
 
 def test_near_duplicate_chains(spark, scratch, monkeypatch):
-    monkeypatch.setattr(op4, "BLOCK", 8)  # several blocks of one label and shared ones
+    monkeypatch.setattr(matching, "BLOCK", 8)  # several blocks of one label and shared ones
+    monkeypatch.setattr(matching, "SMALL", 10)
     rng = random.Random(11)
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
     table = []
@@ -283,37 +285,58 @@ def test_ids_with_two_texts(spark, scratch):
     assert got == collections.Counter([(5, 2), (5, 3), (2, 2), (3, 3)])
 
 
-def test_ties_cover_all_near_pairs(spark, scratch):
-    rng = np.random.default_rng(12)
-    base = rng.integers(0, 1 << 16, 72).astype(np.uint16)
-    table = []
-    for i in range(150):  # one chunk is everybody's; the rest differs by a little or by much
-        sig = base.copy()
-        far = rng.random(72) < rng.choice([0.05, 0.4, 0.9])
-        far[:6] = False
-        sig[far] = rng.integers(0, 40, int(far.sum()))
-        table.append((i, sig.tobytes()))
-    nodes = spark.createDataFrame(table, "node long, sig binary")
-    tied = {(r["a"], r["b"]) for r in op4.ties(scratch.write(op4.keyed(nodes), "members"), nodes, scratch).collect()}
-    sigs = [np.frombuffer(x, np.uint16) for _, x in table]
-    apart = lambda i, j: int((sigs[i] != sigs[j]).sum())
-    assert all(apart(a, b) <= 2 * op4.RADIUS for a, b in tied)
-    top = list(range(150))
-
-    def root(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    for a, b in tied:
-        top[root(a)] = root(b)
-    assert all(root(i) == root(j) for i in range(150) for j in range(i) if apart(i, j) < op4.RADIUS)
+def test_keep_one_loses_no_group(spark, scratch):
+    """Ids repeated, null and with several texts: every set of shingles keeps a row or is linked with one that does."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    table = [(5, a), (6, a), (5, b), (2, b)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert sorted(map(tuple, op4.keep_one(df, scratch).collect())) == [(2, b), (5, a)]
+    rng = random.Random(9)
+    bases = [" ".join(f"{c}{rng.randrange(10**6)}" for k in range(40)) for c in "abcdefgh"]
+    table = [(rng.choice([None, *range(12)]), rng.choice(bases) + rng.choice(["", " z", " y z"])) for _ in range(90)] + [(3, None), (4, "")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in op4.keep_one(df, scratch).collect()]
+    group = lambda t: (t or "")[:8]
+    assert {group(t) for _, t in kept} == {group(t) for _, t in table}
+    for g in {group(t) for _, t in table} - {""}:
+        own = [(i, t) for i, t in table if group(t) == g]
+        least = min((i for i, _ in own if i is not None), default=None)
+        assert sorted((x for x in kept if group(x[1]) == g), key=repr) == sorted((x for x in own if x[0] in (None, least)), key=repr)
+
+
+def test_names_that_operators_use(spark, scratch):
+    """Columns of any name come through the stages as they were."""
+    a = " ".join(f"a{k}" for k in range(60))
+    names = ["__key", "__maybe", "__slot", "__bucket", "__text", "__bits", "key", "maybe", "node", "id", "hits", "n_words"]
+    table = [(1, a, "s"), (2, a + " z", "s"), (3, SECRET, "s")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in table], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    kept = op4.keep_one(df, scratch)
+    assert kept.columns == df.columns and sorted(tuple(r)[3:] for r in kept.collect()) == [tuple(range(len(names)))] * 2
+    red = op3.redact_secrets(df, scratch)
+    assert red.columns == df.columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in red.collect())
+    some = [n for n in names if n not in ("hits", "n_words")]
+    items = spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10"), (2, "q r s")], "item_id long, text string")
+    out = op7.decontaminate(df.select("doc_id", "text", *some), items, block_words=5, scratch=scratch).collect()
+    assert [r["__key"] for r in out] == [0] * 3 and sum(len(r["hits"]) > 0 for r in out) == 2
+
+
+def test_template_texts(spark, scratch, monkeypatch):
+    """1,500 texts that share a template of 100 words and have 70 of their own: no links, few ties, no long work."""
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template = words(100)
+    table = [(i, " ".join(template[:50] + words(70) + template[50:])) for i in range(1500)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    ties, pivoted = [], matching.pivoted
+    monkeypatch.setattr(matching, "pivoted", lambda *a: (ties.append(x := pivoted(*a)), x)[1])
+    assert op4.near_duplicates(df, scratch).filter("component_id <> doc_id").count() == 0
+    assert ties[0][0].count() < 1000
 
 
 def test_intersections():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(12)]
-    got = op4.intersections(sets[:5], sets[5:])
+    got = matching.intersections(sets[:5], sets[5:])
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
 
 
