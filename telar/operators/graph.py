@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ SENTENCES = [
     (r"si\s+(?:el\s+|la\s+)?(\w+(?:\s+\w+)?)\s+(?:falla|no se cumple|no ocurre)[,\s]+(?:se aplicará\s+)?(?:el\s+|la\s+)?(\w+(?:\s+\w+)?)", "resource", "blocks", "risk", 0.6),
 ]
 LARGE, TOO_LARGE = 30, 50
+NO_NODES = "graph TD\n    empty[No nodes]"
 REPLY = "array<struct<subject:struct<id:string,label:string,type:string>,predicate:string,object:struct<id:string,label:string,type:string>,confidence:double>>"
 SHAPES = {"milestone": ('(("', '"))'), "risk": ('[/"', '"\\]'), "stakeholder": ('[["', '"]]')}
 
@@ -59,25 +61,43 @@ def json_triples(replies: DataFrame, keys: list[str]) -> DataFrame:
     return t.filter("t IS NOT NULL").select(*keys, "seq", *side("subject"), coerce_relation(F.coalesce("t.predicate", F.lit("related_to"))).alias("relation"), *side("object"), F.coalesce("t.confidence", F.lit(0.8)).alias("confidence"))
 
 
+def node_winners(triples: DataFrame, generation: int = 0, key: str = "graph_id") -> DataFrame:
+    """(node_id, won) of a section's triples: won has the place, label and type of the first mention, a triple's subject before its object."""
+    place = lambda side: (F.lit(generation).alias("generation"), "seq", F.lit(side).alias("side"))
+    both = F.array(*[F.struct(F.struct(*place(i), F.col(c).alias("label"), F.col(f"{c}_type").alias("type")).alias("m"), node_id(F.col(c)).alias("node_id")) for i, c in enumerate(("subject", "object"))])
+    return triples.select(key, F.inline(both)).groupBy(key, "node_id").agg(F.min("m").alias("won"))
+
+
+def edge_winners(triples: DataFrame, generation: int = 0, key: str = "graph_id") -> DataFrame:
+    """(source, target, won) of a section's triples: won has the place, relation and weight of the last one each way."""
+    last = F.max(F.struct(F.lit(generation).alias("generation"), "seq", "relation", F.col("confidence").alias("weight")))
+    return triples.groupBy(key, node_id(F.col("subject")).alias("source"), node_id(F.col("object")).alias("target")).agg(last.alias("won"))
+
+
+def merged_nodes(*winners: DataFrame, key: str = "graph_id") -> DataFrame:
+    return reduce(DataFrame.unionByName, winners).groupBy(key, "node_id").agg(F.min("won").alias("won"))
+
+
+def merged_edges(*winners: DataFrame, key: str = "graph_id") -> DataFrame:
+    return reduce(DataFrame.unionByName, winners).groupBy(key, "source", "target").agg(F.max("won").alias("won"))
+
+
+def shown_nodes(winners: DataFrame, key: str = "graph_id") -> DataFrame:
+    return winners.select(key, "node_id", "won.label", "won.type")
+
+
+def shown_edges(winners: DataFrame, key: str = "graph_id") -> DataFrame:
+    return winners.select(key, "source", "target", "won.relation", "won.weight")
+
+
 def nodes(triples: DataFrame, key: str = "graph_id") -> DataFrame:
     """First mention wins label and type; a triple's subject comes before its object."""
-    both = F.array(
-        F.struct(F.struct("seq", F.lit(0).alias("side"), F.col("subject").alias("label"), F.col("subject_type").alias("type")).alias("m"), node_id(F.col("subject")).alias("node_id")),
-        F.struct(F.struct("seq", F.lit(1).alias("side"), F.col("object").alias("label"), F.col("object_type").alias("type")).alias("m"), node_id(F.col("object")).alias("node_id")))
-    per = triples.select(key, F.inline(both)).groupBy(key, "node_id").agg(F.min("m").alias("m"))
-    return per.select(key, "node_id", "m.label", "m.type")
+    return shown_nodes(node_winners(triples, 0, key), key)
 
 
 def edges(triples: DataFrame, key: str = "graph_id") -> DataFrame:
     """One edge per direction; the last relation and weight win."""
-    per = triples.groupBy(key, node_id(F.col("subject")).alias("source"), node_id(F.col("object")).alias("target")).agg(F.max(F.struct("seq", "relation", "confidence")).alias("m"))
-    return per.select(key, "source", "target", "m.relation", F.col("m.confidence").alias("weight"))
-
-
-def extend(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Triples of a graph and of a further section, in that order; nodes() and edges() then apply to them."""
-    order = lambda df, g: df.withColumn("seq", F.struct(F.lit(g).alias("generation"), F.col("seq").alias("seq")))
-    return order(old, 0).unionByName(order(new, 1))
+    return shown_edges(edge_winners(triples, 0, key), key)
 
 
 def reachable(graph: DataFrame, key: str = "graph_id") -> DataFrame:
@@ -200,15 +220,24 @@ def summary(named: DataFrame, graph: DataFrame, found: DataFrame, key: str = "gr
     return out.select(key, "nodes", zero("edges"), zero("deadlocks"), (F.coalesce("deadlocks", F.lit(0)) > 0).alias("has_deadlocks"))
 
 
-def mermaid(named: DataFrame, graph: DataFrame, key: str = "graph_id") -> DataFrame:
-    """Mermaid text per graph: nodes by id, shaped by type, then edges."""
+def mermaid_edge(label: Column | None = None) -> Column:
+    """One edge as Mermaid text: its own label, else its relation in capitals."""
+    named = F.upper("relation") if label is None else F.coalesce(label, F.upper("relation"))
+    return F.concat("source", F.lit(" -->|"), named, F.lit("| "), "target")
+
+
+def mermaid(named: DataFrame, graph: DataFrame, key: str = "graph_id", graphs: DataFrame | None = None) -> DataFrame:
+    """Mermaid text per graph: nodes by id, shaped by type, then edges. graphs: the keys of all graphs; one without nodes says so."""
     opened, closed = F.lit('["'), F.lit('"]')
     for kind, (a, z) in SHAPES.items():
         opened, closed = F.when(F.col("type") == kind, a).otherwise(opened), F.when(F.col("type") == kind, z).otherwise(closed)
     a = named.select(key, F.struct(F.lit(0).alias("o"), F.col("node_id").alias("x"), F.lit("").alias("y"), F.concat(F.lit("    "), "node_id", opened, "label", closed).alias("line")).alias("r"))
     b = graph.select(key, F.struct(F.lit(1).alias("o"), F.col("source").alias("x"), F.col("target").alias("y"), F.concat(F.lit("    "), "source", F.lit(" -->|"), "relation", F.lit("| "), "target").alias("line")).alias("r"))
     per = a.unionByName(b).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return per.select(key, F.array_join(F.concat(F.array(F.lit("graph TD")), F.transform("r", lambda x: x["line"])), "\n").alias("mermaid"))
+    out = per.select(key, F.array_join(F.concat(F.array(F.lit("graph TD")), F.transform("r", lambda x: x["line"])), "\n").alias("mermaid"))
+    if graphs is None:
+        return out
+    return graphs.select(key).distinct().join(out, key, "left").select(key, F.coalesce("mermaid", F.lit(NO_NODES)).alias("mermaid"))
 
 
 def escape_xml(c: Column) -> Column:

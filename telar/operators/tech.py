@@ -9,42 +9,172 @@ from pyspark.sql import functions as F
 
 from telar.functions.arrays import let, running_sums
 
-# Names by category, each with the surfaces that stand for it.
-NAMES = {
-    "language": {
-        "JavaScript": "javascript|js|ecmascript", "TypeScript": "typescript|ts", "Python": "python|python3|python 3|py", "Java": "java|openjdk|jdk",
-        "C#": "c#|csharp", "Go": "golang|go lang", "Rust": "rust|rustlang", "PHP": "php", "Ruby": "ruby",
-    },
-    "framework": {
-        "Node.js": "nodejs|node.js|node", "React": "react|reactjs|react.js|react js", "Vue.js": "vuejs|vue.js|vue", "Angular": "angular", "AngularJS": "angularjs",
-        "Next.js": "nextjs|next.js", "Nuxt.js": "nuxt|nuxtjs", "Express.js": "express|expressjs", "NestJS": "nestjs|nest.js", "Django": "django", "Flask": "flask",
-        "FastAPI": "fastapi", "Pandas": "pandas", "NumPy": "numpy", "TensorFlow": "tensorflow", "PyTorch": "pytorch", "scikit-learn": "scikit-learn|sklearn",
-        "Celery": "celery", "Spring Framework": "spring|spring framework", "Spring Boot": "springboot|spring boot|spring-boot", "Hibernate": "hibernate",
-        ".NET": ".net|dotnet", ".NET Core": ".net core", "ASP.NET": "asp.net|aspnet", "Blazor": "blazor", "Laravel": "laravel", "Symfony": "symfony",
-        "WordPress": "wordpress", "Ruby on Rails": "rails|ruby on rails|ror",
-    },
-    "database": {
-        "PostgreSQL": "postgresql|postgres|pgsql", "MySQL": "mysql", "MariaDB": "mariadb", "Oracle Database": "oracle|oracle database|oracle db",
-        "SQL Server": "sql server|sqlserver|mssql", "MongoDB": "mongodb|mongo", "Redis": "redis", "Elasticsearch": "elasticsearch|elastic", "Cassandra": "cassandra",
-        "DynamoDB": "dynamodb", "SQLite": "sqlite", "CouchDB": "couchdb", "Neo4j": "neo4j",
-    },
-    "infrastructure": {
-        "AWS": "aws|amazon web services", "Microsoft Azure": "azure|microsoft azure", "Google Cloud Platform": "gcp|google cloud|google cloud platform",
-        "DigitalOcean": "digitalocean", "Heroku": "heroku", "Vercel": "vercel", "Netlify": "netlify", "Docker": "docker", "Kubernetes": "kubernetes|k8s",
-        "OpenShift": "openshift", "Terraform": "terraform", "Ansible": "ansible", "Jenkins": "jenkins", "GitLab CI": "gitlab ci", "GitHub Actions": "github actions",
-        "CircleCI": "circleci", "NGINX": "nginx", "Apache HTTP Server": "apache", "Traefik": "traefik", "Istio": "istio", "Prometheus": "prometheus",
-        "Grafana": "grafana", "Datadog": "datadog", "RabbitMQ": "rabbitmq", "Apache Kafka": "kafka|apache kafka", "Amazon SQS": "sqs", "ActiveMQ": "activemq",
-    },
-    "security_cert": {
-        "ISO 27001": "iso 27001|iso27001", "ISO 27002": "iso 27002", "ISO 9001": "iso 9001|iso9001", "SOC 2": "soc2|soc 2", "GDPR": "gdpr", "HIPAA": "hipaa",
-        "PCI DSS": "pci dss|pci-dss", "ENS": "ens", "CMMI": "cmmi", "OAuth": "oauth", "OAuth 2.0": "oauth2", "SAML": "saml", "LDAP": "ldap", "SSL/TLS": "ssl|tls",
-    },
-    "methodology": {"Agile": "agile", "Scrum": "scrum", "Kanban": "kanban", "DevOps": "devops", "CI/CD": "ci/cd|cicd", "TDD": "tdd", "BDD": "bdd"},
-    "tool": {
-        "Maven": "maven", "Gradle": "gradle", "Git": "git", "GitHub": "github", "GitLab": "gitlab", "Bitbucket": "bitbucket", "Jira": "jira", "Confluence": "confluence",
-        "Slack": "slack", "Microsoft Teams": "teams", "Figma": "figma", "Postman": "postman", "Swagger/OpenAPI": "swagger|openapi",
-    },
-}
+# Surfaces, the names that they stand for, and categories.
+SURFACES = [
+    ("javascript", "JavaScript", "language"),
+    ("js", "JavaScript", "language"),
+    ("ecmascript", "JavaScript", "language"),
+    ("typescript", "TypeScript", "language"),
+    ("ts", "TypeScript", "language"),
+    ("python", "Python", "language"),
+    ("python3", "Python", "language"),
+    ("python 3", "Python", "language"),
+    ("py", "Python", "language"),
+    ("java", "Java", "language"),
+    ("openjdk", "Java", "language"),
+    ("jdk", "Java", "language"),
+    ("c#", "C#", "language"),
+    ("csharp", "C#", "language"),
+    ("golang", "Go", "language"),
+    ("go lang", "Go", "language"),
+    ("rust", "Rust", "language"),
+    ("rustlang", "Rust", "language"),
+    ("php", "PHP", "language"),
+    ("ruby", "Ruby", "language"),
+    ("nodejs", "Node.js", "framework"),
+    ("node.js", "Node.js", "framework"),
+    ("node", "Node.js", "framework"),
+    ("react", "React", "framework"),
+    ("reactjs", "React", "framework"),
+    ("react.js", "React", "framework"),
+    ("react js", "React", "framework"),
+    ("vuejs", "Vue.js", "framework"),
+    ("vue.js", "Vue.js", "framework"),
+    ("vue", "Vue.js", "framework"),
+    ("angular", "Angular", "framework"),
+    ("angularjs", "AngularJS", "framework"),
+    ("nextjs", "Next.js", "framework"),
+    ("next.js", "Next.js", "framework"),
+    ("nuxt", "Nuxt.js", "framework"),
+    ("nuxtjs", "Nuxt.js", "framework"),
+    ("express", "Express.js", "framework"),
+    ("expressjs", "Express.js", "framework"),
+    ("nestjs", "NestJS", "framework"),
+    ("nest.js", "NestJS", "framework"),
+    ("django", "Django", "framework"),
+    ("flask", "Flask", "framework"),
+    ("fastapi", "FastAPI", "framework"),
+    ("pandas", "Pandas", "framework"),
+    ("numpy", "NumPy", "framework"),
+    ("tensorflow", "TensorFlow", "framework"),
+    ("pytorch", "PyTorch", "framework"),
+    ("scikit-learn", "scikit-learn", "framework"),
+    ("sklearn", "scikit-learn", "framework"),
+    ("celery", "Celery", "framework"),
+    ("spring", "Spring Framework", "framework"),
+    ("spring framework", "Spring Framework", "framework"),
+    ("springboot", "Spring Boot", "framework"),
+    ("spring boot", "Spring Boot", "framework"),
+    ("spring-boot", "Spring Boot", "framework"),
+    ("hibernate", "Hibernate", "framework"),
+    (".net", ".NET", "framework"),
+    ("dotnet", ".NET", "framework"),
+    (".net core", ".NET Core", "framework"),
+    ("asp.net", "ASP.NET", "framework"),
+    ("aspnet", "ASP.NET", "framework"),
+    ("blazor", "Blazor", "framework"),
+    ("laravel", "Laravel", "framework"),
+    ("symfony", "Symfony", "framework"),
+    ("wordpress", "WordPress", "framework"),
+    ("rails", "Ruby on Rails", "framework"),
+    ("ruby on rails", "Ruby on Rails", "framework"),
+    ("ror", "Ruby on Rails", "framework"),
+    ("postgresql", "PostgreSQL", "database"),
+    ("postgres", "PostgreSQL", "database"),
+    ("pgsql", "PostgreSQL", "database"),
+    ("mysql", "MySQL", "database"),
+    ("mariadb", "MariaDB", "database"),
+    ("oracle", "Oracle Database", "database"),
+    ("oracle database", "Oracle Database", "database"),
+    ("oracle db", "Oracle Database", "database"),
+    ("sql server", "SQL Server", "database"),
+    ("sqlserver", "SQL Server", "database"),
+    ("mssql", "SQL Server", "database"),
+    ("mongodb", "MongoDB", "database"),
+    ("mongo", "MongoDB", "database"),
+    ("redis", "Redis", "database"),
+    ("elasticsearch", "Elasticsearch", "database"),
+    ("elastic", "Elasticsearch", "database"),
+    ("cassandra", "Cassandra", "database"),
+    ("dynamodb", "DynamoDB", "database"),
+    ("sqlite", "SQLite", "database"),
+    ("couchdb", "CouchDB", "database"),
+    ("neo4j", "Neo4j", "database"),
+    ("aws", "AWS", "infrastructure"),
+    ("amazon web services", "AWS", "infrastructure"),
+    ("azure", "Microsoft Azure", "infrastructure"),
+    ("microsoft azure", "Microsoft Azure", "infrastructure"),
+    ("gcp", "Google Cloud Platform", "infrastructure"),
+    ("google cloud", "Google Cloud Platform", "infrastructure"),
+    ("google cloud platform", "Google Cloud Platform", "infrastructure"),
+    ("digitalocean", "DigitalOcean", "infrastructure"),
+    ("heroku", "Heroku", "infrastructure"),
+    ("vercel", "Vercel", "infrastructure"),
+    ("netlify", "Netlify", "infrastructure"),
+    ("docker", "Docker", "infrastructure"),
+    ("kubernetes", "Kubernetes", "infrastructure"),
+    ("k8s", "Kubernetes", "infrastructure"),
+    ("openshift", "OpenShift", "infrastructure"),
+    ("terraform", "Terraform", "infrastructure"),
+    ("ansible", "Ansible", "infrastructure"),
+    ("jenkins", "Jenkins", "infrastructure"),
+    ("gitlab ci", "GitLab CI", "infrastructure"),
+    ("github actions", "GitHub Actions", "infrastructure"),
+    ("circleci", "CircleCI", "infrastructure"),
+    ("nginx", "NGINX", "infrastructure"),
+    ("apache", "Apache HTTP Server", "infrastructure"),
+    ("traefik", "Traefik", "infrastructure"),
+    ("istio", "Istio", "infrastructure"),
+    ("prometheus", "Prometheus", "infrastructure"),
+    ("grafana", "Grafana", "infrastructure"),
+    ("datadog", "Datadog", "infrastructure"),
+    ("rabbitmq", "RabbitMQ", "infrastructure"),
+    ("kafka", "Apache Kafka", "infrastructure"),
+    ("apache kafka", "Apache Kafka", "infrastructure"),
+    ("sqs", "Amazon SQS", "infrastructure"),
+    ("activemq", "ActiveMQ", "infrastructure"),
+    ("iso 27001", "ISO 27001", "security_cert"),
+    ("iso27001", "ISO 27001", "security_cert"),
+    ("iso 27002", "ISO 27002", "security_cert"),
+    ("iso 9001", "ISO 9001", "security_cert"),
+    ("iso9001", "ISO 9001", "security_cert"),
+    ("soc2", "SOC 2", "security_cert"),
+    ("soc 2", "SOC 2", "security_cert"),
+    ("gdpr", "GDPR", "security_cert"),
+    ("hipaa", "HIPAA", "security_cert"),
+    ("pci dss", "PCI DSS", "security_cert"),
+    ("pci-dss", "PCI DSS", "security_cert"),
+    ("ens", "ENS", "security_cert"),
+    ("cmmi", "CMMI", "security_cert"),
+    ("oauth", "OAuth", "security_cert"),
+    ("oauth2", "OAuth 2.0", "security_cert"),
+    ("saml", "SAML", "security_cert"),
+    ("ldap", "LDAP", "security_cert"),
+    ("ssl", "SSL/TLS", "security_cert"),
+    ("tls", "SSL/TLS", "security_cert"),
+    ("agile", "Agile", "methodology"),
+    ("scrum", "Scrum", "methodology"),
+    ("kanban", "Kanban", "methodology"),
+    ("devops", "DevOps", "methodology"),
+    ("ci/cd", "CI/CD", "methodology"),
+    ("cicd", "CI/CD", "methodology"),
+    ("tdd", "TDD", "methodology"),
+    ("bdd", "BDD", "methodology"),
+    ("maven", "Maven", "tool"),
+    ("gradle", "Gradle", "tool"),
+    ("git", "Git", "tool"),
+    ("github", "GitHub", "tool"),
+    ("gitlab", "GitLab", "tool"),
+    ("bitbucket", "Bitbucket", "tool"),
+    ("jira", "Jira", "tool"),
+    ("confluence", "Confluence", "tool"),
+    ("slack", "Slack", "tool"),
+    ("teams", "Microsoft Teams", "tool"),
+    ("figma", "Figma", "tool"),
+    ("postman", "Postman", "tool"),
+    ("swagger", "Swagger/OpenAPI", "tool"),
+    ("openapi", "Swagger/OpenAPI", "tool"),
+]
 # Words of each requirement level; one that is listed twice counts twice.
 MUST = [
     "debe", "deberá", "deberan", "obligatorio", "obligatoria", "requerido", "requerida", "imprescindible", "indispensable", "excluyente",
@@ -61,8 +191,6 @@ FORBIDDEN = [
 GO = r"(?iU)(?<!\w)(?:en\s+go|con\s+go|golang|go\s+lang|lenguaje\s+go|using\s+go|in\s+go|with\s+go)(?!\w)"
 SIGNS = {"mandatory": "✅", "nice_to_have": "💡", "forbidden": "🚫"}
 
-SURFACES = [(s, name, category) for category, names in NAMES.items() for name, surfaces in names.items() for s in surfaces.split("|")]
-
 
 def pattern(strict: bool = False) -> str:
     """All surfaces as one pattern, the longest first; strict takes plain word boundaries, which `c#` and `.net` rarely meet."""
@@ -139,6 +267,12 @@ def stacks(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(*map(names, SIGNS), F.count(F.lit(1)).alias("total"))
 
 
+def by_category(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per text and category: names in order of mention and how many; mandatory, nice_to_have, forbidden: those of each level."""
+    names = lambda when, alias: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("offset", "name")))), lambda x: x["name"]).alias(alias)
+    return found.groupBy(*keys, "category").agg(names(F.lit(True), "names"), *[names(F.col("level") == level, level) for level in SIGNS], F.count(F.lit(1)).alias("total"))
+
+
 def stack_sentence() -> Column:
     part = lambda c, most, label, rest=None: F.when(F.size(c) > 0, F.concat(
         F.lit(label), F.array_join(F.slice(c, 1, most) if most else F.col(c), ", "), F.when(F.size(c) > most, F.concat(F.lit(" (+"), (F.size(c) - most).cast("string"), F.lit(" más)"))).otherwise("") if rest else F.lit("")))

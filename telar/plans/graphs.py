@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from telar.operators import graph as g
 from telar.plans.inputs import derive, oracle
+from telar.sources.files import settled
 
 TRIPLES = """
 SELECT l_orderkey % 200 AS graph_id, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS seq,
@@ -69,8 +70,10 @@ def graph_edges(spark, d):
 
 
 def merge_graph(spark, d):
+    """A graph's winners are kept; a further section is merged with them, and the triples before aren't read again."""
     t = triples(spark, d)
-    return g.edges(g.extend(t.filter("seq % 2 = 1"), t.filter("seq % 2 = 0")))
+    kept = settled(g.edge_winners(t.filter("seq % 2 = 1")), "graph")
+    return g.shown_edges(g.merged_edges(kept, g.edge_winners(t.filter("seq % 2 = 0"), 1)))
 
 
 def find_cycles(spark, d):
@@ -91,7 +94,13 @@ def graph_summary(spark, d):
 
 
 def export_graph(spark, d):
-    return g.mermaid(named(spark, d), linked(spark, d))
+    """Graphs of all orders; those without a triple are empty."""
+    every = derive(spark, d, "SELECT DISTINCT o_orderkey % 210 AS graph_id FROM {orders}")
+    return g.mermaid(named(spark, d), linked(spark, d), graphs=every)
+
+
+def mermaid_edges(spark, d):
+    return linked(spark, d).select("graph_id", "source", "target", g.mermaid_edge().alias("line"))
 
 
 def export_graphml(spark, d):
@@ -99,7 +108,7 @@ def export_graphml(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pattern_triples, json_triples, coerce_types, node_id, graph_nodes, graph_edges, merge_graph, find_cycles, graph_limits, graph_lookup, graph_summary, export_graph, export_graphml)}
+    pattern_triples, json_triples, coerce_types, node_id, graph_nodes, graph_edges, merge_graph, find_cycles, graph_limits, graph_lookup, graph_summary, export_graph, mermaid_edges, export_graphml)}
 
 T = oracle(TRIPLES)
 ID = "replace(lower(regexp_replace(regexp_replace({0}, '[.]', '', 'g'), ' +', ' ', 'g')), ' ', '_')"
@@ -130,7 +139,9 @@ ORACLES = {
     "graph_lookup": f"WITH {N0} SELECT graph_id, node_id, CAST(sum(o) AS BIGINT) AS edges_from, CAST(sum(i) AS BIGINT) AS edges_to FROM (SELECT graph_id, source AS node_id, 1 AS o, 0 AS i FROM ee UNION ALL SELECT graph_id, target, 0, 1 FROM ee) GROUP BY 1, 2",
     "graph_summary": f"""WITH RECURSIVE {N0}, {C} SELECT a.graph_id, nodes, edges, coalesce(k, 0) AS deadlocks, coalesce(k, 0) > 0 AS has_deadlocks FROM (SELECT graph_id, count(*) AS nodes FROM nn GROUP BY 1) a JOIN (SELECT graph_id, count(*) AS edges FROM ee GROUP BY 1) b USING (graph_id) LEFT JOIN (SELECT graph_id, count(*) AS k FROM c GROUP BY 1) USING (graph_id)""",
     "export_graph": f"""WITH {N0}, x AS (SELECT graph_id, 0 AS o, node_id AS a, '' AS b, '    ' || node_id || CASE type WHEN 'milestone' THEN '(("' || label || '"))' WHEN 'risk' THEN '[/"' || label || '"\\]' WHEN 'stakeholder' THEN '[["' || label || '"]]' ELSE '["' || label || '"]' END AS line FROM nn
-      UNION ALL SELECT graph_id, 1, source, target, '    ' || source || ' -->|' || relation || '| ' || target FROM ee) SELECT graph_id, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY o, a, b) AS mermaid FROM x GROUP BY 1""",
+      UNION ALL SELECT graph_id, 1, source, target, '    ' || source || ' -->|' || relation || '| ' || target FROM ee), y AS (SELECT graph_id, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY o, a, b) AS mermaid FROM x GROUP BY 1)
+      SELECT graph_id, coalesce(mermaid, 'graph TD' || chr(10) || '    empty[No nodes]') AS mermaid FROM (SELECT DISTINCT o_orderkey % 210 AS graph_id FROM orders) o LEFT JOIN y USING (graph_id)""",
+    "mermaid_edges": f"WITH {N0} SELECT graph_id, source, target, source || ' -->|' || upper(relation) || '| ' || target AS line FROM ee",
     "export_graphml": f"""WITH {N0} SELECT graph_id, CAST(0 AS INT) AS part, '<node id="' || node_id || '"><data key="label">' || label || '</data><data key="type">' || type || '</data></node>' AS line FROM nn
       UNION ALL SELECT graph_id, 1, '<edge source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data></edge>' FROM ee""",
 }

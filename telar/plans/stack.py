@@ -79,9 +79,20 @@ def stacked(spark, d):
     return tech.stacks(found(spark, d).withColumn("offset", F.col("doc_id")), ["tender_id"])
 
 
+LEVELS = ("mandatory", "nice_to_have", "forbidden")
+
+
+def listed(*columns):
+    return [F.array_join(F.array_sort(F.array_distinct(c)), ",").alias(c) for c in columns]
+
+
 def stacks_by_level(spark, d):
-    join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",").alias(c)
-    return stacked(spark, d).select("tender_id", join("mandatory"), join("nice_to_have"), join("forbidden"), "total")
+    return stacked(spark, d).select("tender_id", *listed(*LEVELS), "total")
+
+
+def stacks_by_category(spark, d):
+    s = tech.by_category(found(spark, d).withColumn("offset", F.col("doc_id")), ["tender_id"])
+    return s.select("tender_id", "category", *listed("names", *LEVELS), "total")
 
 
 def distinct_stacks(spark, d):
@@ -104,7 +115,7 @@ def report_tech(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    tech_mentions, canonicalize, go_language, first_mention, tech_context, tech_version, requirement_level, stacks_by_level, compatibility, stack_summary, report_tech)}
+    tech_mentions, canonicalize, go_language, first_mention, tech_context, tech_version, requirement_level, stacks_by_level, stacks_by_category, compatibility, stack_summary, report_tech)}
 
 E = f"""t AS ({oracle(TEXTS)}), e AS (SELECT t.doc_id, t.tender_id, t.text, {CASE(0)} AS raw, {CASE(1)} AS name, {CASE(2)} AS category, {CASE(3)} AS level, {CASE(4)} AS version FROM t WHERE doc_id % 16 <> 3)"""
 STACK = """st AS (SELECT tender_id, coalesce(list_sort(list_distinct(list(name) FILTER (WHERE level = 'mandatory'))), []) AS mandatory, coalesce(list_sort(list_distinct(list(name) FILTER (WHERE level = 'nice_to_have'))), []) AS nice_to_have,
@@ -119,6 +130,9 @@ ORACLES = {
     "tech_version": f"WITH {E} SELECT doc_id, name, version FROM e",
     "requirement_level": f"WITH {E} SELECT doc_id, name, level FROM e",
     "stacks_by_level": f"WITH {E}, {STACK} SELECT tender_id, array_to_string(mandatory, ',') AS mandatory, array_to_string(nice_to_have, ',') AS nice_to_have, array_to_string(forbidden, ',') AS forbidden, total FROM st",
+    "stacks_by_category": f"""WITH {E}, l AS (SELECT tender_id, category, list(name) AS names, list(name) FILTER (WHERE level = 'mandatory') AS mandatory, list(name) FILTER (WHERE level = 'nice_to_have') AS nice_to_have,
+      list(name) FILTER (WHERE level = 'forbidden') AS forbidden, count(*) AS total FROM e GROUP BY 1, 2)
+      SELECT tender_id, category, """ + ", ".join(f"array_to_string(coalesce(list_sort(list_distinct({c})), []), ',') AS {c}" for c in ("names", *LEVELS)) + ", total FROM l",
     "compatibility": f"""WITH {E}, {STACK}, {COMP}, b AS ({oracle(BIDS)}), x AS (SELECT tender_id, company, mandatory, stack, list_transform(stack, lambda s: lower(s)) AS have, forbidden FROM st JOIN b USING (tender_id) JOIN comp USING (company)),
       y AS (SELECT *, list_filter(mandatory, lambda m: list_contains(have, lower(m))) AS matched, list_filter(mandatory, lambda m: NOT list_contains(have, lower(m))) AS missing,
       list_filter(stack, lambda s: NOT list_contains(list_transform(mandatory, lambda m: lower(m)), lower(s))) AS extra, list_filter(forbidden, lambda f: list_contains(have, lower(f))) AS conflicts FROM x),
