@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.functions.text import chunk_id, normalize_line, table_to_markdown
+from telar.sources.files import settled
 
 
 def check_files(files: DataFrame) -> DataFrame:
@@ -18,7 +19,26 @@ def check_files(files: DataFrame) -> DataFrame:
 
 def limit_pages(pages: DataFrame, most: int = 500) -> DataFrame:
     """Pages with `accepted`, false for all pages of a document with more than `most`."""
-    return pages.withColumn("accepted", F.count(F.lit(1)).over(Window.partitionBy("source_file")) <= most)
+    counts = pages.groupBy("source_file").agg((F.count(F.lit(1)) <= most).alias("accepted"))
+    return pages.alias("p").join(counts.alias("c"), F.col("p.source_file").eqNullSafe(F.col("c.source_file"))).select("p.*", "accepted")
+
+
+def number_pages(rows: DataFrame, order: str, by: str = "source_file", name: str = "page_number") -> DataFrame:
+    """rows with page numbers from 1 by document, in the order of a column that names a row within its document.
+
+    In two phases, so that a document of any size is many tasks' work: (by, order) alone is dealt by ranges and written,
+    each range is numbered on its own, and what stands in a document's earlier ranges is added. The numbers are joined
+    back to the rows by both columns.
+    """
+    ranged = rows.select(by, order).repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("at", F.monotonically_increasing_id())
+    places = settled(ranged, "places").withColumn("range", F.shiftright("at", 33))
+    per = places.groupBy(by, "range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    earlier = F.sum("n").over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    per = per.withColumn("before", F.coalesce(earlier, F.lit(0)))
+    numbers = places.alias("p").join(per.alias("r"), F.col(f"p.{by}").eqNullSafe(F.col(f"r.{by}")) & (F.col("p.range") == F.col("r.range")))
+    numbers = numbers.select(F.col(f"p.{by}").alias(by), F.col(f"p.{order}").alias(order), (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias(name))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (by, order)]
+    return rows.alias("d").join(numbers.alias("n"), same).select("d.*", f"n.{name}")
 
 
 def choose_text(strategy: Column, native: Column, ocr: Column) -> Column:

@@ -11,11 +11,13 @@ from telar.sources import files
 from telar.streaming import jobs
 from telar.plans.inputs import derive, oracle
 
-PAGES = """
-SELECT source AS source_file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_number, text, doc_id,
+ROWS = """
+SELECT source AS source_file, text, doc_id,
   CASE doc_id % 3 WHEN 0 THEN 'FAST' WHEN 1 THEN 'OCR_ONLY' ELSE 'HI_RES' END AS strategy,
   CASE WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 11 = 0 THEN 'short' ELSE text END AS native, concat('ocr ', CAST(doc_id AS STRING)) AS ocr
 FROM {documents}"""
+# for the other engine; here pages are numbered by ingest.number_pages()
+NUMBERED = "SELECT *, CAST(row_number() OVER (PARTITION BY source_file ORDER BY {0}) AS INT) AS page_number FROM ({1})"
 LINES = """
 SELECT o_orderkey AS seq, CASE o_orderkey % 7 WHEN 0 THEN concat('Página ', CAST(o_orderkey AS STRING)) WHEN 1 THEN concat('Company Name  page ', CAST(o_orderkey AS STRING), ' end')
   WHEN 2 THEN concat(CAST(o_orderkey AS STRING), ' de 40') WHEN 3 THEN concat('  ', CAST(o_orderkey AS STRING), ' ') WHEN 4 THEN concat('Fecha 12-05-2024 ', CAST(o_orderkey AS STRING)) WHEN 5 THEN 'Anexo 12/05/2024' ELSE NULL END AS line
@@ -23,7 +25,7 @@ FROM {orders}"""
 
 
 def pages(spark, d):
-    return derive(spark, d, PAGES)
+    return ingest.number_pages(derive(spark, d, ROWS), "doc_id")
 
 
 def src_manifest(spark, d):
@@ -60,17 +62,21 @@ def normalize_line(spark, d):
 
 
 NOISY = """
-SELECT concat('f', CAST(page_id % 20 AS STRING)) AS source_file, CAST(row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS INT) AS page_number,
+SELECT concat('f', CAST(page_id % 20 AS STRING)) AS source_file, page_id,
   concat('Empresa ', CAST(page_id % 20 AS STRING), ' página ', CAST(page_id AS STRING), chr(10), CASE WHEN page_id % 3 = 0 THEN 'Sólo a veces' ELSE 'cuerpo del texto' END, chr(10), url, chr(10), 'Empresa ', CAST(page_id % 20 AS STRING), chr(10), 'pie 2 de 9 común') AS text
 FROM {pages}"""
 
 
+def noisy(spark, d):
+    return ingest.number_pages(derive(spark, d, NOISY), "page_id")
+
+
 def detect_noise(spark, d):
     return ingest.detect_noise(derive(spark, d, NOISY), 0.6)
 
 
 def remove_noise(spark, d):
-    p = derive(spark, d, NOISY)
+    p = noisy(spark, d)
     return ingest.remove_noise(p, ingest.detect_noise(p, 0.6)).select("source_file", "page_number", "text")
 
 
@@ -158,18 +164,18 @@ def stream_ttl_dedup(spark, d):
 
 def stream_source_counts(spark, d):
     out, mark = files.shared_path(spark, "counts"), files.shared_path(spark, "mark")
-    jobs.run_once(jobs.live_counts(stream(spark, d, "documents").select("source")), out, mark, "complete")
-    return spark.read.parquet(out)
+    jobs.run_once(jobs.live_counts(stream(spark, d, "documents").select("source")), out, mark, "update")
+    return jobs.latest(spark.read.parquet(out), ["source"])
 
 
 QUERIES = {f.__name__: f for f in (
     src_manifest, src_pages, page_limit, text_strategy, sparse_page, page_range, normalize_line, detect_noise, remove_noise, semantic_chunk, recursive_chunk, emit_chunks, chunk_id,
     table_to_markdown, load_summary, source_counts, index_stats, index_append, index_replace_clear, stream_ingest, stream_ttl_dedup, stream_source_counts)}
 
-P = oracle(PAGES)
+P = NUMBERED.format("doc_id", oracle(ROWS))
 TEXT = "CASE strategy WHEN 'OCR_ONLY' THEN ocr WHEN 'FAST' THEN native ELSE CASE WHEN trim(native) = '' THEN ocr ELSE native END END"
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?i)\b(página|page|pág\.?)\s*\d+\b', '', 'g'), '\b\d+\s*(de|of|/)\s*\d+\b', '', 'g'), '^\s*\d+\s*$', '', 'g'), '\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}', '', 'g'), '\s+', ' ', 'g'))"
-NOISE = f"""n AS ({oracle(NOISY)}), l AS (SELECT source_file, string_split(text, chr(10)) AS ls FROM n),
+NOISE = f"""n AS ({NUMBERED.format("page_id", oracle(NOISY))}), l AS (SELECT source_file, string_split(text, chr(10)) AS ls FROM n),
 z AS (SELECT source_file, 'h' AS zone, unnest(ls[1:3]) AS line FROM l UNION ALL SELECT source_file, 'f', unnest(ls[greatest(len(ls) - 2, 1):]) FROM l),
 c AS (SELECT source_file, zone, {NORM.format('line')} AS pattern, count(*) AS k FROM z GROUP BY 1, 2, 3),
 noise AS (SELECT DISTINCT c.source_file, pattern FROM c JOIN (SELECT source_file, count(*) AS np FROM n GROUP BY 1) t ON t.source_file = c.source_file WHERE length(pattern) > 5 AND np >= 3 AND k >= np * 0.6)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,11 +47,22 @@ def live_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def upsert(path: str) -> Callable[[DataFrame, int], None]:
+    """Keeps the keys that a batch has changed in a folder of the batch's own, so that a batch done again replaces what it wrote."""
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return keep
+
+
+def latest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """What upsert() keeps, one row a key: that of the last batch which changed it."""
+    rest = [c for c in table.columns if c not in (*keys, "batch")]
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and end; parquet for appended rows, else each batch replaces the table."""
+    """Process what is there and end; parquet for appended rows, else the changed keys of each batch, for latest()."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", path).start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    query = writer.format("parquet").option("path", path).start() if mode == "append" else writer.foreachBatch(upsert(path)).start()
     query.awaitTermination()
