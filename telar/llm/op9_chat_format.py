@@ -89,23 +89,21 @@ def text_span(render: Callable, before: list, turn: tuple, after: list, out: str
     return start, start + max(0, len(out) - len(empty))
 
 
-def joins(render: Callable, pieces: list[str], turns: list, checked: int) -> bool:
-    """Whether the output is the pieces joined: for the whole, for prefixes of `checked` turns at most, and of 1, 2, 4, ... turns."""
-    n = len(turns)
-    lengths = {n, *range(1, min(checked, n) + 1), *(1 << k for k in range(n.bit_length()))}
-    return all(render(turns[:k]) == "".join(pieces[:k]) for k in lengths if k <= n)
+def joins(render: Callable, pieces: list[str], turns: list) -> bool:
+    """Whether every prefix's output is its pieces joined."""
+    return all(render(turns[:k]) == "".join(pieces[:k]) for k in range(1, len(turns) + 1))
 
 
-def locate(render: Callable[[list], str], turns: list[tuple[str, str]], checked: int = 16) -> dict:
+def locate(render: Callable[[list], str], turns: list[tuple[str, str]]) -> dict:
     """out; turn spans and text spans in it; indexes of turns that rewrote what stood before.
 
-    A general template is given every prefix, so the work grows with the square of the conversation's length;
-    it grows with the length where render.each is declared and joins() holds.
+    A template is given every prefix, so the work grows with the square of the conversation's length. Where render.each is
+    declared and joins() holds, spans come from the turns' own pieces.
     """
     spans, texts, rewrote, at, prev = [], [], [], 0, ""
     each = getattr(render, "each", None)
     pieces = [each(t) for t in turns] if each else []
-    if each and joins(render, pieces, turns, checked):
+    if each and joins(render, pieces, turns):
         for turn, piece in zip(turns, pieces):
             a, z = text_span(lambda one: each(one[0]), [], turn, [], piece)
             texts.append((at + a, at + z))

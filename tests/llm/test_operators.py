@@ -521,7 +521,6 @@ def test_rewriting_template():
         got = op9.locate(template, long)
         assert not got["rewrote"] and [op9.unescape(got["out"][a:z]) for a, z in got["texts"]] == [t for _, t in long]
         assert "".join(got["out"][a:z] for a, z in got["spans"]) == got["out"] == template(long)
-        assert got == op9.locate(template, long, 1000)
     plain = op9.locate(op9.marked_turns, [("user", " </turn>"), ("assistant", "a")])
     assert not plain["rewrote"] and [op9.unescape(plain["out"][a:z]) for a, z in plain["texts"]] == [" </turn>", "a"]
 
@@ -548,7 +547,9 @@ def test_templates_get_true_prefixes():
     folded.each = lambda turn: plain([turn])  # declared wrongly for the prefix of 30 turns
     got = op9.locate(strict, long)
     assert not got["rewrote"] and [got["out"][a:z] for a, z in got["texts"]] == [t for _, t in long]
-    assert op9.locate(folded, long, 30)["rewrote"] == [29, 30]
+    assert op9.locate(folded, long)["rewrote"] == [29, 30]
+    at_twenty.each = lambda turn: plain([turn])  # and for that of 20
+    assert op9.locate(at_twenty, long[:30])["rewrote"] == [19, 20]
     del folded.each
     assert op9.locate(folded, long)["rewrote"] == [29, 30]
     assert op9.locate(early_and_late, long)["rewrote"] == [3, 25]
