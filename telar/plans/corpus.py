@@ -186,6 +186,26 @@ SENTENCES = FOLD.format("string_split(regexp_replace(x.held, '([.!?])\\s+', '\\1
 PACKED = FOLD.format("list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(t)), lambda t: t <> '')", "t", "a", "x", f"""CASE WHEN length(a.held) + length(x.held) + 2 <= 500 THEN {{'out': a.out, 'held': trim(a.held || chr(10) || chr(10) || x.held, ' ' || chr(10))}}
   WHEN length(x.held) <= 500 THEN {{'out': a.out || CASE WHEN a.held = '' THEN [] ELSE [a.held] END, 'held': x.held}}
   ELSE list_transform([{SENTENCES}], lambda w: {{'out': a.out || CASE WHEN a.held = '' THEN [] ELSE [a.held] END || w.out, 'held': w.held}})[1] END""")
+
+
+def split_sql(text: str, size: int = 1000, overlap: int = 200, level: int = 0) -> str:
+    """The pieces of a text as chunks.split_recursively() cuts it: for each mark a fold over (pieces so far, run at hand), the finer marks' folds within."""
+    mark, gap = [("chr(10) || chr(10)", 2), ("chr(10)", 1), ("' '", 1), ("''", 0)][level]
+    t, a, x, j, f, w = (f"{c}{level}" for c in ("t", "a", "x", "j", "f", "w"))
+    total = lambda run: f"(coalesce(list_sum(list_transform({run}, lambda {w}: length({w}))), 0) + greatest(len({run}) - 1, 0) * {gap})"
+    closed = lambda run: f"list_filter([regexp_replace(array_to_string({run}, {mark}), '^\\s+|\\s+$', '', 'g')], lambda {w}: {w} <> '')"
+    p, rest = f"{x}.run[1]", f"{a}.run[{j} + 1:]"
+    first = f"list_filter(range(0, len({a}.run) + 1), lambda {j}: {j} = len({a}.run) OR {total(rest)} <= {overlap} AND {total(rest)} + {gap} + length({p}) <= {size})[1]"
+    finer = "" if level == 3 else f"WHEN length({p}) > {size} THEN {{'out': {a}.out || {closed(f'{a}.run')} || {split_sql(p, size, overlap, level + 1)}, 'run': CAST([] AS VARCHAR[])}}"
+    step = f"""CASE {finer} WHEN len({a}.run) > 0 AND {total(f'{a}.run')} + {gap} + length({p}) > {size}
+      THEN {{'out': {a}.out || {closed(f'{a}.run')}, 'run': list_append({a}.run[{first} + 1:], {p})}} ELSE {{'out': {a}.out, 'run': list_append({a}.run, {p})}} END"""
+    empty = "CAST([] AS VARCHAR[])"
+    items = f"list_transform(list_filter(string_split({t}, {mark}), lambda {w}: {w} <> ''), lambda {w}: {{'out': {empty}, 'run': [{w}]}})"
+    fold = f"list_transform([list_reduce(list_prepend({{'out': {empty}, 'run': {empty}}}, {items}), lambda {a}, {x}: {step})], lambda {f}: {f}.out || {closed(f'{f}.run')})[1]"
+    body = fold if level == 3 else f"CASE WHEN contains({t}, {mark}) THEN {fold} ELSE {split_sql(t, size, overlap, level + 1)} END"
+    return f"list_transform([{text}], lambda {t}: {body})[1]"
+
+
 PIECES = f"""p AS ({P}), q AS (SELECT *, {PACKED} AS f FROM p WHERE trim(text) <> ''), r AS (SELECT * EXCLUDE (f), list_filter(list_append(f.out, f.held), lambda c: c <> '') AS cs FROM q),
 pieces AS (SELECT * EXCLUDE (cs), CAST(generate_subscripts(cs, 1) - 1 AS INT) AS chunk_index, unnest(cs) AS content FROM r)"""
 CHUNKS = f"""{PIECES}, chunks AS (SELECT source_file, page_number, 'text' AS chunk_type, chunk_index, trim(content) AS content, CAST(NULL AS INT) AS table_rows FROM pieces
@@ -205,6 +225,8 @@ ORACLES = {
       y AS (SELECT x.*, {NORM.format('line')} AS nl FROM x)
       SELECT n.source_file, n.page_number, coalesce(string_agg(y.line, chr(10) ORDER BY i) FILTER (WHERE noise.pattern IS NULL), '') AS text FROM n LEFT JOIN y USING (source_file, page_number) LEFT JOIN noise ON noise.source_file = y.source_file AND noise.pattern = y.nl GROUP BY 1, 2""",
     "semantic_chunk": f"WITH {PIECES} SELECT doc_id, chunk_index, CAST(length(content) AS INT) AS n_chars, md5(content) AS content_md5 FROM pieces",
+    "recursive_chunk": f"""WITH p AS ({P}), c AS (SELECT doc_id, {split_sql('text')} AS cs FROM p WHERE text <> '')
+      SELECT doc_id, CAST(i - 1 AS INT) AS chunk_index, CAST(length(content) AS INT) AS n_chars, md5(content) AS content_md5 FROM (SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS content FROM c)""",
     "emit_chunks": f"WITH {CHUNKS} SELECT source_file, page_number, chunk_type, chunk_index, md5(content) AS content_md5, table_rows FROM chunks",
     "chunk_id": f"WITH {CHUNKS} SELECT source_file, page_number, chunk_type, left(md5(source_file || ':' || page_number || ':' || content[1:100]), 12) AS chunk_id FROM chunks",
     "table_to_markdown": r"SELECT o_orderkey, '| Orden | Cliente \| pie |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | a ' || o_orderpriority || ' |' || chr(10) || '|  |  |' AS markdown FROM orders",
