@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions.arrays import let, running_sums
+from telar.functions.dictionary import dictionary_hits
 
 # Surfaces, the names that they stand for, and categories.
 SURFACES = [
@@ -207,8 +208,9 @@ def hits(text: Column, regex: str) -> Column:
 
 
 def mentions(texts: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
-    """A row per hit: keys, raw, offset, text."""
-    return texts.withColumn("h", hits(F.col("text"), pattern(strict))).select(*keys, "text", F.inline("h"))
+    """A row per hit: keys, raw, offset, text. One automaton finds all surfaces; strict, by a pattern with plain word boundaries."""
+    found = hits(F.col("text"), pattern(True)) if strict else dictionary_hits(F.col("text"), [s for s, *_ in SURFACES])
+    return texts.withColumn("h", found).select(*keys, "text", F.inline("h"))
 
 
 def canonicalize(found: DataFrame) -> DataFrame:
