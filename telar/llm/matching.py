@@ -3,10 +3,10 @@
 Members are (key, node, excess): nodes whose sets may be linked have a key in common, and their excesses add up to
 zero or less (0 where no such bound is known). Sets link when 100 * |both| >= percent * |either|.
 
-In each key, nodes are compared on the full sets with pivots, those of least excess; who exceeds all others has no
+In each key, nodes are compared on the full sets with a pivot, that of least excess; who exceeds all others has no
 partner there and goes at once. Jaccard distance is a metric: nodes linked with a pivot leave, as whatever is linked
 with them is within twice a link's distance of the pivot and is tied to it. Keys whose nodes are all in one component
-by now need no more. After ROUNDS rounds, nodes left in keys of at most SMALL are compared with one another, unless
+by now need no more, nor does a node need its own component's pivot. After ROUNDS rounds, nodes left in keys of at most SMALL are compared with one another, unless
 they are of one component or exceed each other; larger keys join their nodes into clusters.
 
 Clusters, joined by ties and by large keys, whose nodes are not all in one component are compared in full, but for
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from telar.llm.common import Scratch
 from telar.llm.components import components
 
-ROUNDS, SMALL = 2, 64
+ROUNDS, SMALL = 2, 32
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 U = np.uint64
 
@@ -60,15 +60,15 @@ def matchable(members: DataFrame) -> DataFrame:
 
 
 def pivoted(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links and ties (a, b, near) of nodes with pivots of their keys, the components (node, label) of the links, and the members left.
+    """Links and ties (a, b, near) of nodes with the pivots of their keys, the components (node, label) of the links, and the members left.
 
     Two linked nodes that share a key are of one component of the links, or of the ties, or are left in a key; members: (key, node, excess).
     """
-    found, labels, left = [], None, members
-    for n in range(1, ROUNDS + 1):
-        part = F.pmod(F.xxhash64("node", F.lit(n)), F.lit(n)).alias("part")
-        pivots = left.groupBy("key", part).agg(F.min_by("node", F.struct("excess", "node")).alias("pivot"), F.min("excess").alias("least")).select("key", "pivot", "least")
-        pairs = left.join(pivots, "key").filter("pivot <> node AND excess + least <= 0").select("key", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    found, labels, left = [], None, members.withColumn("label", F.col("node"))
+    for _ in range(ROUNDS):
+        pivots = left.groupBy("key").agg(F.min(F.struct("excess", "node", "label")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.excess").alias("least"), F.col("p.label").alias("joined"))
+        # nodes of the pivot's component need no link with it, nor with whoever is linked with it
+        pairs = left.join(pivots, "key").filter("label <> joined AND excess + least <= 0").select("key", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         pairs = scratch.write(pairs, "pairs")
         new = scratch.write(compared(pairs.select("a", "b").distinct(), sets, percent), "ties")
         # a tie matters where its pivot has links: only then does somebody leave
