@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from telar.llm.common import Scratch, read, sliced
 
 MIN_DOCS, TOP = 10, 10
-SHARD, PIECE, SOURCES = 16384, 128, 64
-BLOCK_BYTES, HELD, MOST_TERMS = 32 << 20, 3 << 20, 120_000
+SHARD, PIECE, SOURCES = 16384, 512, 64
+BLOCK_BYTES, HELD, MOST_TERMS = 32 << 20, 8 << 20, 120_000
 U = np.uint64
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -168,6 +168,7 @@ def recounted(docs: DataFrame, shards: list, scratch: Scratch, piece: int) -> Da
         tables = {(lang, k): (PerfectHash.read(data), own, at) for lang, k, _, own, at, data in sent.value}
         number = {x[0]: x[2] for x in sent.value}
         slots: dict[tuple, np.ndarray] = {}
+        bytes_read = 0
 
         def rows():
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
@@ -198,20 +199,24 @@ def recounted(docs: DataFrame, shards: list, scratch: Scratch, piece: int) -> Da
                         same = np.fromiter((s >= 0 and own[a:z] == words[i] for s, a, z, i in zip(found.tolist(), starts, ends, some.tolist())), bool, len(some))
                         if same.any():
                             if (lang, source, k) not in slots:
-                                slots[lang, source, k] = np.zeros(len(at) - 1, np.int64)
+                                slots[lang, source, k] = np.zeros(len(at) - 1, np.int32)
                             slots[lang, source, k][found[same]] += n[some[same]]  # slots of different terms differ
                     if sum(map(len, slots.values())) > HELD:
                         yield from rows()
+                bytes_read += part.nbytes
+                if bytes_read > 1 << 30:  # 32 bits hold what so many bytes can count
+                    yield from rows()
+                    bytes_read = 0
         yield from rows()
 
     counted = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, shard long, piece long, counts binary")
-    out = scratch.write(summed(counted, ["lang", "source", "shard", "piece"]), "counts")
+    out = scratch.write(summed(counted, ["lang", "source", "shard", "piece"], np.int32), "counts")
     sent.destroy()
     return out
 
 
-def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Slot arrays added up by key, one after another."""
+def summed(parts: DataFrame, keys: list[str], kind: type = np.int64) -> DataFrame:
+    """Slot arrays of a kind added up by key in 64 bits, one after another."""
     n = len(keys)
 
     def run(batches):
@@ -223,7 +228,7 @@ def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
         key = total = None
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(r[n], np.int64)
+                own = np.frombuffer(r[n], kind).astype(np.int64)
                 if r[:n] == key:
                     total = total + own
                     continue
