@@ -11,7 +11,7 @@ Phrases are made once, as arrays of integers, and broadcast in blocks of items t
 are joined by document. An item is one block's, however long.
 
 Null or empty text: no words, no hits. Items with null or wordless text have no window. Several rows of
-one item_id are one item. Every row gives a row. Columns of `keep` that bear a new column's name are
+one item_id are one item; rows without one are the item `None`. Every row gives a row. Columns of `keep` that bear a new column's name are
 replaced in decontaminate().
 """
 
