@@ -6,7 +6,10 @@ log((1 + units) / (1 + units with the word)) + 1, by counts over all units of th
 template has weighs as one that no other unit has, so it lengthens the vector and nothing else. Every
 unit is multiplied with every template. Of the templates at `least` cosine or more whose name words the
 unit holds, the longest says what the file's own licence is, as it is the most evidence (ties: the better
-cosine, then the name that sorts first). Texts are read twice,
+cosine, then the name that sorts first). Statements, titles and SPDX lines count only in units without a
+negation, so "not released under the MIT License" grants nothing; nor does a line that holds a statement and
+a negation of something else, while a negation on another line than the name isn't seen. An SPDX line that
+names several licences gives one of them. Texts are read twice,
 for the counts and for the products; only counts of the templates' words and results leave the tasks.
 
 Files named LICENSE, LICENCE, COPYING or NOTICE (any extension) speak for their directory (several: the
@@ -108,29 +111,41 @@ GNU = [
 # of each Creative Commons licence: identifier, its name
 COMMONS = [("CC-BY-4.0", "Attribution"), ("CC-BY-NC-4.0", "Attribution-NonCommercial"), ("CC-BY-SA-4.0", "Attribution-ShareAlike"), ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike")]
 NAMED = [("MIT", "MIT License", ["mit"]), ("Apache-2.0", "Apache License, Version 2.0", ["apache"]), ("MPL-2.0", "Mozilla Public License, version 2.0", ["mozilla"])]
+# titles that stand alone above a licence's text or in its place
+TITLES = [
+    ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("BSL-1.0", "Boost Software License - Version 1.0"), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"), ("Zlib", "zlib License"),
+    ("Unlicense", "The Unlicense"), ("CC0-1.0", "CC0 1.0 Universal"), ("CC0-1.0", "Creative Commons CC0 1.0 Universal")]
+# words by which a statement is denied
+DENIALS = ["not", "never", "neither", "nor", "cannot", "isn", "wasn", "aren", "weren"]
 STATEMENTS = ["Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This program is licensed under the {}.", "Distributed under the terms of the {}."]
 
 
-def templates() -> list[tuple[str, list[str], str]]:
-    """(licence, words the unit must hold, text): whole texts, their paragraphs, headers, and statements made by rule."""
+def templates() -> list[tuple[str, list[str], str, list[str]]]:
+    """(licence, words the unit must hold, text, words it mustn't hold): whole texts, their paragraphs and headers; titles, SPDX lines and statements by rule."""
     whole = [
         ("MIT", [], MIT + AS_IS), ("BSD-2-Clause", [], BSD_2 + BSD_AS_IS), ("BSD-3-Clause", ["endorse"], BSD_2 + BSD_NAMES + BSD_AS_IS), ("ISC", ["fee"], ISC), ("Apache-2.0", ["apache"], APACHE_HEADER),
         ("Apache-2.0", [], APACHE_GRANT), ("Zlib", [], ZLIB), ("Unlicense", [], UNLICENSE), ("BSL-1.0", [], BOOST), ("MPL-2.0", [], MPL_HEADER), ("CC0-1.0", ["waived"], CC0), ("Proprietary", ["all", "rights", "reserved"], "All rights reserved.")]
     parts = [
         ("MIT", [], MIT.split("\n\n")[0]), ("BSD-3-Clause", [], BSD_2.split("\n\n")[0]), ("ISC", ["fee"], ISC.split("\n\n")[0]), ("Zlib", [], ZLIB.split("\n\n")[1]), ("Unlicense", [], UNLICENSE.split("\n\n")[0]),
         ("Apache-2.0", ["apache"], APACHE_HEADER.split("\n\n")[0])]
-    out = whole + parts
+    out, said = whole + parts, []
     for name, full, version, date, need in GNU:
         notice = (
             f"This program is free software: you can redistribute it and/or modify it under the terms of the {full} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
         warranty = f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {full} for more details."
         title = f"{full} Version {version}, {date} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
-        out += [(name, need, notice), (name, need, f"{notice}\n\n{warranty}"), (name, need, title), *((name, need, s.format(f"{full}, version {version}")) for s in STATEMENTS)]
+        out += [(name, need, notice), (name, need, f"{notice}\n\n{warranty}"), (name, need, title)]
+        said += [(name, need, s.format(f"{full}, version {version}")) for s in STATEMENTS] + [(name, need, f"{full} Version {version}, {date}")]
+        said += [(name, ["spdx", *words(name)], f"SPDX-License-Identifier: {name}{end}") for end in ("-only", "-or-later")]
     for name, kind in COMMONS:
         short = name.replace("CC-", "CC ", 1).replace("-4.0", " 4.0")
         need = [w for w in words(name) if w != "cc"]
-        out += [(name, words(kind), s.format(f"Creative Commons {kind} 4.0 International License")) for s in STATEMENTS] + [(name, need, s.format(short).replace("the ", "")) for s in STATEMENTS]
-    return out + [(name, need, s.format(full)) for name, full, need in NAMED for s in STATEMENTS]
+        said += [(name, words(kind), s.format(f"Creative Commons {kind} 4.0 International License")) for s in STATEMENTS] + [(name, need, s.format(short).replace("the ", "")) for s in STATEMENTS]
+    said += [(name, need, s.format(full)) for name, full, need in NAMED for s in STATEMENTS] + [(name, words(title), title) for name, title in TITLES]
+    said += [(name, ["spdx", *words(name)], f"SPDX-License-Identifier: {name}") for name in sorted({name for name, *_ in out + said} - {"Proprietary"})]
+    return [(*t, []) for t in out] + [(*t, DENIALS) for t in said]
 
 
 #: Lower case for A-Z, a space for whatever stands in no word; dots stand within words only.
@@ -187,14 +202,17 @@ class Matcher:
         self.units, self.most = Units(vocabulary), np.log(1.0 + n) + 1.0
         self.idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
         every = sorted(templates())
-        self.names, self.length = [name for name, _, _ in every], np.array([len(words(text)) for _, _, text in every])
+        self.names, self.length = [name for name, *_ in every], np.array([len(words(text)) for _, _, text, _ in every])
         self.table = np.zeros((len(vocabulary), len(every)), np.float32)
         self.need = np.zeros((len(vocabulary), len(every)), np.float32)
-        for k, (_, need, text) in enumerate(every):
+        self.bar = np.zeros((len(vocabulary), len(every)), bool)
+        for k, (_, need, text, bar) in enumerate(every):
             for w in words(text):
                 self.table[vocabulary[w.encode()], k] += 1
             for w in need:
                 self.need[vocabulary[w.encode()], k] = 1
+            for w in bar:
+                self.bar[vocabulary[w.encode()], k] = True
         self.table *= self.idf[:, None].astype(np.float32)
         self.table /= np.linalg.norm(self.table, axis=0)
 
@@ -216,7 +234,8 @@ class Matcher:
         need = self.need.sum(axis=0)
         edges, best = [*first.tolist(), len(unit)], {}
         for u in np.flatnonzero(cosine.max(axis=1) >= least).tolist():
-            fits = np.flatnonzero((cosine[u] >= least) & (self.need[word[edges[u] : edges[u + 1]]].sum(axis=0) >= need))
+            held = word[edges[u] : edges[u + 1]]
+            fits = np.flatnonzero((cosine[u] >= least) & (self.need[held].sum(axis=0) >= need) & ~self.bar[held].any(axis=0))
             for k in fits.tolist():
                 best[texts_of[u]] = min(best.get(texts_of[u], (0,)), (-int(self.length[k]), -float(cosine[u, k]), self.names[k]))
         for d, (_, x, name) in best.items():
@@ -226,7 +245,7 @@ class Matcher:
 
 def matcher(texts: DataFrame) -> Matcher:
     """Counts of the templates' words over all units of the corpus; texts: text. As many rows reach the driver as there are such words."""
-    vocabulary = {w: k for k, w in enumerate(sorted({w.encode() for _, need, text in templates() for w in [*need, *words(text)]}))}
+    vocabulary = {w: k for k, w in enumerate(sorted({w.encode() for _, need, text, bar in templates() for w in [*need, *words(text), *bar]}))}
 
     def run(batches):
         import pyarrow as pa

@@ -597,7 +597,7 @@ def test_licences(spark, docs, empty, scratch):
         ("x/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + op2.MIT + op2.AS_IS), ("x/y/z/w.py", "import os"), ("x/y/g.py", comment(op2.templates()[-1][2]) + "\n"),
         ("x/b.c", comment("Copyright Some Body\n\n" + op2.BSD_2 + op2.BSD_NAMES + op2.BSD_AS_IS) + "\nint main() { return 0; }\n" * 40), ("x/b2.c", op2.BSD_2 + op2.BSD_AS_IS), ("x/i.c", op2.ISC),
         ("x/a.c", "/*\n * " + op2.APACHE_HEADER.replace("\n", "\n * ") + "\n */\nint x;\n" + "int y;\n" * 50),
-        ("x/n.c", comment(next(t for n, _, t in op2.templates() if n == "GPL-3.0")) + "\n\n" + "code and more code\n" * 30), ("x/l.c", "Released under the Foo License."), ("x/p.c", "all the rights of man")]
+        ("x/n.c", comment(next(t for n, _, t, _ in op2.templates() if n == "GPL-3.0")) + "\n\n" + "code and more code\n" * 30), ("x/l.c", "Released under the Foo License."), ("x/p.c", "all the rights of man")]
     df = spark.createDataFrame([(i, p, t, "clash") for i, (p, t) in enumerate(files)], "doc_id long, path string, text string, licence string")
     got = {r["doc_id"]: (r["licence"], r["origin"]) for r in op2.scan_licences(df, scratch).collect()}
     assert got[1] == ("Apache-2.0", "own") and got[4] == ("GPL-3.0", "inherited") and got[2][1] == "inherited" and got[5] == (None, "none") and got[6] == ("Proprietary", "own") and got[7] == (None, "none")
@@ -606,22 +606,35 @@ def test_licences(spark, docs, empty, scratch):
     assert op2.scan_licences(df.limit(0), scratch).count() == 0
 
 
+def test_licence_titles_tags_and_denials(spark, scratch):
+    probes = [
+        ("# SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", "GPL-3.0"), ("/* SPDX-License-Identifier: LGPL-2.1-only */", "LGPL-2.1"),
+        ("<!-- SPDX-License-Identifier: CC-BY-NC-4.0 -->", "CC-BY-NC-4.0"), ("# SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("MIT License\n\nCopyright (c) 2020 X", "MIT"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.", "Apache-2.0"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-3.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"), ("BSD 3-Clause License", "BSD-3-Clause"),
+        ("This is not released under the MIT License.", None), ("It isn't licensed under the GNU General Public License, version 3.", None), ("Released under the MIT License.\nDo not remove this line.", "MIT"),
+        ("a driver's license is not a title", None), ("the spdx list of identifiers", None)]
+    df = spark.createDataFrame([(i, f"d{i}/LICENSE", t) for i, (t, _) in enumerate(probes)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in op2.scan_licences(df, scratch).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(probes)} == dict(probes)
+
+
 def test_licences_by_brute_force(spark, scratch):
     """Every unit against every template with dictionaries, and every ancestor tried in turn."""
     import math
 
     rng = random.Random(16)
     every = op2.templates()
-    lines = [t.split("\n")[0] for _, _, t in every] + ["the code of this work", "any kind of words", "", "#", "all rights", "x y z"]
+    lines = [t.split("\n")[0] for _, _, t, _ in every] + ["Not released under the MIT License.", "never", "the code of this work", "any kind of words", "", "#", "all rights", "x y z"]
     files = [(i, "/".join(rng.choice("ab") for _ in range(rng.randrange(4))) + "/" * rng.randrange(2) + rng.choice(["LICENSE", "f.txt"]), "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 7)))) for i in range(120)]
-    files += [(200 + i, "full/f.txt", t) for i, (_, _, t) in enumerate(every)]
+    files += [(200 + i, "full/f.txt", t) for i, (_, _, t, _) in enumerate(every)]
 
     def units(text):
         raw = text.split("\n")
         out = [text, *raw, *re.split(r"\n[ \t]*(?=\n)", text), *re.split(r"\n(?=\n)", "\n".join(x if op2.words(x) else "" for x in raw))]
         return [op2.words(u) for u in out]
 
-    known = {w for _, need, t in every for w in [*need, *op2.words(t)]}
+    known = {w for _, need, t, bar in every for w in [*need, *op2.words(t), *bar]}
     listed = {i: [collections.Counter(u) for u in units(t)] for i, _, t in files}
     got = op2.scan_licences(spark.createDataFrame(files, "doc_id long, path string, text string"), scratch).collect()
     # the operator's own weights: the counts of its units
@@ -630,10 +643,10 @@ def test_licences_by_brute_force(spark, scratch):
     idf = {w.decode(): float(x) for w, x in zip(vocabulary, m.idf)}
     vector = lambda c: {w: n * idf[w] for w, n in c.items() if w in known}
     size = lambda c: math.sqrt(sum(v * v for v in vector(c).values()) + sum(n for w, n in c.items() if w not in known) * m.most**2)
-    models = [(name, need, vector(c), size(c), c) for name, need, t in every for c in [collections.Counter(op2.words(t))]]
+    models = [(name, need, bar, vector(c), size(c), c) for name, need, t, bar in every for c in [collections.Counter(op2.words(t))]]
     own = {}
     for i, cs in listed.items():
-        best = [(-sum(kn.values()), -round(sum(v * y.get(w, 0) for w, v in vector(c).items()) / (size(c) * ny), 4), name) for c in cs if size(c) for name, need, y, ny, kn in models if all(w in c for w in need)]
+        best = [(-sum(kn.values()), -round(sum(v * y.get(w, 0) for w, v in vector(c).items()) / (size(c) * ny), 4), name) for c in cs if size(c) for name, need, bar, y, ny, kn in models if all(w in c for w in need) and not any(w in c for w in bar)]
         best = [b for b in best if b[1] <= -0.7]
         own[i] = min(best)[1:] if best else (0, None)
     for r in got:
