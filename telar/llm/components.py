@@ -35,8 +35,8 @@ def joined(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, label long")
 
 
-def components(edges: DataFrame, a: str, b: str, scratch: Scratch, few: int = FEW) -> DataFrame:
-    """(node, label) for every node of an edge; label is one node of the component, the same for all of it.
+def components(edges: DataFrame, a: str, b: str, scratch: Scratch, few: int = FEW, rows: int | None = None) -> DataFrame:
+    """(node, label) for every node of an edge; label is one node of the component, the same for all of it. rows: about the number of edges, if known.
 
     In each round a node goes over to the first of its neighbours and itself, and the edges are
     redrawn between those that are left; edges within one of them, and repeated ones, go. The order is
@@ -47,17 +47,17 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch, few: int = FE
     never gathered. Each round's tables are written to the shared folder, which cuts lineage. When `few`
     edges at most are left, one task ends the work.
     """
-    e = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
+    e = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges", rows)
     rounds: list[DataFrame] = []
     while (n := e.count()) > few:
         k = len(rounds)
         order = (lambda c: F.xxhash64(c, F.lit(k))) if k % 2 else F.col  # noqa: B023
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = both.groupBy("u").agg(F.min_by("v", order("v")).alias("m"))
-        goes = scratch.write(first.select(F.col("u").alias("node"), F.when(order("m") < order("u"), F.col("m")).otherwise(F.col("u")).alias("label")), "goes")
+        goes = scratch.write(first.select(F.col("u").alias("node"), F.when(order("m") < order("u"), F.col("m")).otherwise(F.col("u")).alias("label")), "goes", n)
         one = e.join(goes.select(F.col("node").alias("u"), F.col("label").alias("x")), "u").select("x", "v").distinct()
         two = one.join(goes.select(F.col("node").alias("v"), F.col("label").alias("y")), "v").filter("x != y")
-        new = scratch.write(two.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+        new = scratch.write(two.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges", n)
         scratch.drop(e)
         e = new
         rounds.append(goes)

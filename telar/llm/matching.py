@@ -28,6 +28,7 @@ from telar.llm.common import Scratch
 from telar.llm.components import components
 
 ROUNDS, SMALL = 2, 32
+PAIRS = 8192  # rows of pairs, before equal ones are dropped, that a task compares at least
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 U = np.uint64
 
@@ -64,28 +65,28 @@ def pivoted(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
 
     Two linked nodes that share a key are of one component of the links, or of the ties, or are left in a key; members: (key, node, excess).
     """
-    found, labels, left = [], None, members.withColumn("label", F.col("node"))
+    found, labels, left, rows = [], None, members.withColumn("label", F.col("node")), members.count()
     for _ in range(ROUNDS):
         pivots = left.groupBy("key").agg(F.min(F.struct("excess", "node", "label")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.excess").alias("least"), F.col("p.label").alias("joined"))
         # nodes of the pivot's component need no link with it, nor with whoever is linked with it
         pairs = left.join(pivots, "key").filter("label <> joined AND excess + least <= 0").select("key", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = scratch.write(pairs, "pairs")
-        new = scratch.write(compared(pairs.select("a", "b").distinct(), sets, percent), "ties")
+        pairs = scratch.write(pairs, "pairs", rows)
+        new = scratch.write(compared(pairs.select("a", "b").distinct(), sets, percent), "ties", pairs.count(), PAIRS)
         # a tie matters where its pivot has links: only then does somebody leave
         hubs = new.filter("near").select(F.explode(F.array("a", "b")).alias("node")).distinct()
         loose = new.filter("NOT near")
         loose = loose.join(hubs.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(loose.join(hubs.withColumnRenamed("node", "b"), "b", "left_semi"))
-        found.append(scratch.write(new.filter("near").unionByName(loose).distinct(), "ties"))
+        found.append(scratch.write(new.filter("near").unionByName(loose).distinct(), "ties", rows))
         # pivots leave, and whoever is linked with one
         gone = pivots.select("key", F.col("pivot").alias("node")).unionByName(pairs.join(new.filter("near").select("a", "b"), ["a", "b"]).select("key", "node"))
         rest = left.join(gone.distinct(), ["key", "node"], "left_anti")
         # what the labels so far join, and the new links
         links = new.filter("near").select("a", "b")
         links = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = scratch.write(components(links, "a", "b", scratch), "labels")
-        rest = scratch.write(matchable(rest).join(labels, "node", "left").select("key", "node", "excess", F.coalesce("label", "node").alias("label")), "rest")
+        labels = scratch.write(components(links, "a", "b", scratch, rows=rows), "labels", rows)
+        rest = scratch.write(matchable(rest).join(labels, "node", "left").select("key", "node", "excess", F.coalesce("label", "node").alias("label")), "rest", rows)
         open_ = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("key", "n")
-        left = scratch.write(rest.join(open_, "key").select("key", "node", "excess", "label", "n"), "left")
+        left = scratch.write(rest.join(open_, "key").select("key", "node", "excess", "label", "n"), "left", rows)
         scratch.drop(pairs)
         scratch.drop(rest)
     return reduce(DataFrame.unionByName, found).distinct(), labels, left
@@ -186,24 +187,25 @@ def joining_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(node, label): the components of all links of members; nodes: (node, n); sets: (node, hashes); likely() may drop pairs (a, b) that can't be linked."""
     tied, labels, left = pivoted(members, sets, percent, scratch)
-    pairs = scratch.write(compared(likely(left_pairs(left)), sets, percent).filter("near"), "left")
+    rows = members.count()
+    pairs = scratch.write(compared(likely(left_pairs(left)), sets, percent).filter("near"), "left", left.count(), PAIRS // 4)
     direct = tied.filter("near").select("a", "b").unionByName(pairs.select("a", "b"))
     large = left.filter(F.col("n") > SMALL)
     large = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
 
-    labels = components(direct, "a", "b", scratch)
-    clusters = components(tied.select("a", "b").unionByName(large).unionByName(pairs.select("a", "b")), "a", "b", scratch).withColumnRenamed("label", "cluster")
+    labels = components(direct, "a", "b", scratch, rows=rows)
+    clusters = components(tied.select("a", "b").unionByName(large).unionByName(pairs.select("a", "b")), "a", "b", scratch, rows=rows).withColumnRenamed("label", "cluster")
     about = clusters.join(labels, "node", "left").join(nodes.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node"))
-    about = scratch.write(about, "about")
+    about = scratch.write(about, "about", rows)
     mixed = about.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("cluster")
-    rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed")
-    links = direct.unionByName(scratch.write(joining_links(rest, sets, percent), "links"))
-    return components(links, "a", "b", scratch)
+    rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed", rows)
+    links = direct.unionByName(scratch.write(joining_links(rest, sets, percent), "links", rest.count(), BLOCK // 8))
+    return components(links, "a", "b", scratch, rows=rows)
 
 
 def least_ids(labels: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(set_hash, component) of nodes (node, set_hash, id): the least id of a node's component, null where none of it has one."""
-    labels = scratch.write(labels.join(nodes.select("node", "id"), "node"), "labels")
+    labels = scratch.write(labels.join(nodes.select("node", "id"), "node"), "labels", nodes.count())
     least = labels.groupBy("label").agg(F.min("id").alias("least"))
     found = labels.join(least, "label").select("node", F.struct("least").alias("linked"))
     return nodes.join(found, "node", "left").select("set_hash", F.when(F.col("linked").isNull(), F.col("id")).otherwise(F.col("linked.least")).alias("component"))

@@ -129,15 +129,16 @@ def jaccard_components(
         raise ValueError("percent: 51 to 100")
     every = scratch.write(summaries(docs, id_col, text_col, size), "summaries")
     nodes = every.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.min(F.struct("key", "n_shingles", "part")).alias("x"))
-    nodes = scratch.write(nodes.select("set_hash", "id", F.monotonically_increasing_id().alias("node"), "x.key", F.col("x.n_shingles").alias("n"), "x.part"), "nodes")
+    nodes = scratch.write(nodes.select("set_hash", "id", F.monotonically_increasing_id().alias("node"), "x.key", F.col("x.n_shingles").alias("n"), "x.part"), "nodes", every.count(), 1 << 13)
 
     alone = elements(nodes, "part").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     could = nodes.join(alone, "node", "left").filter(f"n > 1 AND coalesce(alone, 0) <= n - ({percent} * n + 99) div 100").select("node", "key", "n")
-    could = scratch.write(could, "could")
-    sets = scratch.write(hashed_sets(docs, could, id_col, text_col, size), "sets")
+    could = scratch.write(could, "could", nodes.count(), 1 << 13)
+    n = could.count()
+    sets = scratch.write(hashed_sets(docs, could, id_col, text_col, size), "sets", n, 1 << 11)
 
-    keys = scratch.write(indexed(sets, could, percent, rare, long), "keys")
-    members = scratch.write(matchable(keys), "members")
+    keys = scratch.write(indexed(sets, could, percent, rare, long), "keys", n, 1 << 11)
+    members = scratch.write(matchable(keys), "members", keys.count(), 1 << 18)
 
     named = least_ids(linked(members, could, sets, percent, scratch), nodes, scratch)
     out = every.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")

@@ -256,6 +256,23 @@ def test_near_duplicate_chains(spark, scratch, monkeypatch):
     assert bag(op4.near_duplicates(df, scratch), "doc_id", "n_shingles", "component_id", "kept") == groups(table)
 
 
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    files, scratch = [], Scratch(spark)
+    monkeypatch.setattr(scratch, "write", lambda df, *a, f=scratch.write, **b: files.append(len((out := f(df, *a, **b)).inputFiles())) or out)
+    hot = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hot}
+    for k, v in hot.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame([(i, " ".join(f"w{i % 40}x{k}" for k in range(60)) + f" {i}") for i in range(80)], "doc_id long, text string")
+        got = op4.near_duplicates(df, scratch).groupBy("component_id").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(i, 2) for i in range(40)]
+    assert len(files) > 10 and max(files[1:]) <= 4, files  # the first is as the documents are split; partitions of small tables are merged
+
+
 def test_near_duplicates_without_ids(spark, scratch):
     text = " ".join(f"w{k}" for k in range(60))
     near, near2, lone = text.replace("w9 ", "x "), text + " y", " ".join(f"v{k}" for k in range(50))
