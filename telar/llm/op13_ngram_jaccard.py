@@ -135,9 +135,9 @@ def jaccard_components(
     could = nodes.join(alone, "node", "left").filter(f"n > 1 AND coalesce(alone, 0) <= n - ({percent} * n + 99) div 100").select("node", "key", "n")
     could = scratch.write(could, "could", nodes.count(), 1 << 13)
     n = could.count()
-    sets = scratch.write(hashed_sets(docs, could, id_col, text_col, size), "sets", n, 1 << 11)
+    sets = scratch.write(hashed_sets(docs, could, id_col, text_col, size), "sets", n, 1 << 8)
 
-    keys = scratch.write(indexed(sets, could, percent, rare, long), "keys", n, 1 << 11)
+    keys = scratch.write(indexed(sets, could, percent, rare, long), "keys", n, 1 << 8)
     members = scratch.write(matchable(keys), "members", keys.count(), 1 << 18)
 
     named = least_ids(linked(members, could, sets, percent, scratch), nodes, scratch)
