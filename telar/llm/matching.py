@@ -66,12 +66,13 @@ def pivoted(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     Two linked nodes that share a key are of one component of the links, or of the ties, or are left in a key; members: (key, node, excess).
     """
     found, labels, left, rows = [], None, members.withColumn("label", F.col("node")), members.count()
+    held = sets.count()  # a comparison reads the sets of few pairs too
     for _ in range(ROUNDS):
         pivots = left.groupBy("key").agg(F.min(F.struct("excess", "node", "label")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.excess").alias("least"), F.col("p.label").alias("joined"))
         # nodes of the pivot's component need no link with it, nor with whoever is linked with it
         pairs = left.join(pivots, "key").filter("label <> joined AND excess + least <= 0").select("key", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         pairs = scratch.write(pairs, "pairs", rows)
-        new = scratch.write(compared(pairs.select("a", "b").distinct(), sets, percent), "ties", pairs.count(), PAIRS)
+        new = scratch.write(compared(pairs.select("a", "b").distinct(), sets, percent), "ties", pairs.count() + held, PAIRS)
         # a tie matters where its pivot has links: only then does somebody leave
         hubs = new.filter("near").select(F.explode(F.array("a", "b")).alias("node")).distinct()
         loose = new.filter("NOT near")
@@ -188,7 +189,7 @@ def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
     """(node, label): the components of all links of members; nodes: (node, n); sets: (node, hashes); likely() may drop pairs (a, b) that can't be linked."""
     tied, labels, left = pivoted(members, sets, percent, scratch)
     rows = members.count()
-    pairs = scratch.write(compared(likely(left_pairs(left)), sets, percent).filter("near"), "left", left.count(), PAIRS // 4)
+    pairs = scratch.write(compared(likely(left_pairs(left)), sets, percent).filter("near"), "left", left.count() + sets.count(), PAIRS // 4)
     direct = tied.filter("near").select("a", "b").unionByName(pairs.select("a", "b"))
     large = left.filter(F.col("n") > SMALL)
     large = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
@@ -199,7 +200,7 @@ def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
     about = scratch.write(about, "about", rows)
     mixed = about.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("cluster")
     rest = scratch.write(about.join(mixed, "cluster", "left_semi"), "mixed", rows)
-    links = direct.unionByName(scratch.write(joining_links(rest, sets, percent), "links", rest.count(), BLOCK // 8))
+    links = direct.unionByName(scratch.write(joining_links(rest, sets, percent), "links", rest.count() + sets.count() // 32, BLOCK // 8))
     return components(links, "a", "b", scratch, rows=rows)
 
 
