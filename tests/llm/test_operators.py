@@ -606,6 +606,19 @@ def test_repeats_round_a_passage(spark, scratch):
         assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(table, 400)
 
 
+def test_repeats_count_bytes_not_words(spark, scratch):
+    """Passages of 55 words in several documents each: those of 399 bytes stay whole, those of 400 go; at a length of 399 all go."""
+    rng = random.Random(22)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passages = [words(55) + "x" * (n - 384) for n in (399, 400) for _ in range(3)]
+    table = [(k * 10 + i, chr(200 + i) + words(20) + str(i) + p + str(i) + words(20)) for k, p in enumerate(passages) for i in range(4)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    for length, first in ((400, 3), (399, 0)):
+        got = op10.remove_repeats(df, scratch, outputs=False, length=length)
+        assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(table, length)
+        assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: len(passages[i // 10]) if i // 10 >= first else 0 for i, _ in table}
+
+
 def test_licences(spark, docs, empty, scratch):
     comment = lambda t: "\n".join("# " + x for x in t.split("\n"))
     files = [
