@@ -65,7 +65,7 @@ def mmr(chunks: DataFrame, queries: DataFrame, k: int = 4, lam: float = 0.5, fet
         df = df.sort_values("rank").reset_index(drop=True)
         x = np.stack(df["embedding"].to_numpy()).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        near, score, picked = x @ x.T, df["score"].to_numpy(), []
+        near, score, picked = (x[:, None] * x).sum(2), df["score"].to_numpy(), []  # pair by pair, so that copies tie
         while len(picked) < min(k, len(df)):
             value = np.round(lam * score - (1 - lam) * (near[:, picked].max(axis=1) if picked else 0), 12)  # ties go to the better rank
             value[picked] = -np.inf

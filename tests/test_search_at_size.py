@@ -55,3 +55,24 @@ def test_copies_in_many_cells(spark, monkeypatch, kind):
     asked = chunks.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
     got = {(r["query_id"], r["id"], r["rank"]) for r in retrieval.top_k(chunks, asked, 30, 40).collect()}
     assert got == wanted(x, np.flatnonzero(ids % 20 == 0), 30, ids)
+
+
+def test_mmr_of_copies(spark, monkeypatch):
+    """Candidates that are copies of one another tie, and the better rank is chosen, in whatever cells they are."""
+    monkeypatch.setattr(nearest, "CELL", 300, raising=False)
+    monkeypatch.setattr(nearest, "TILE", 70, raising=False)
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(120, 48)).astype(np.float32), 5, axis=0)
+    ids = rng.permutation(600)
+    chunks = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<float>")
+    asked = chunks.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    u, at = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), {int(i): n for n, i in enumerate(ids)}
+    want = set()
+    found = sorted((q, r, i) for q, i, r in wanted(x, np.flatnonzero(ids % 20 == 0), 12, ids))
+    for q in sorted({f[0] for f in found}):
+        left, picked = [at[i] for a, _, i in found if a == q], []
+        for place in range(1, 5):
+            value = [round(0.5 * round(float((u[c] * u[at[q]]).sum()), 12) - 0.5 * (max(float((u[c] * u[p]).sum()) for p in picked) if picked else 0), 12) for c in left]
+            picked.append(left.pop(int(np.argmax(value))))
+            want.add((q, int(ids[picked[-1]]), place))
+    assert {(r["query_id"], r["id"], r["rank"]) for r in retrieval.mmr(chunks, asked).collect()} == want
