@@ -21,8 +21,8 @@ def best(spark, d, k=10):
     return r.top_k(vectors(spark, d), asked(spark, d), k)
 
 
-def hits(spark, d):
-    h = best(spark, d)
+def hits(spark, d, k=10):
+    h = best(spark, d, k)
     return h.select("query_id", "id", "score", "rank", F.concat(F.lit("f"), (F.col("id") % 5).cast("string")).alias("source_file"), (F.col("id") % 9 + 1).cast("int").alias("page_number"), F.concat(F.lit("texto "), F.col("id").cast("string")).alias("content"))
 
 
@@ -72,7 +72,7 @@ def order_hits(spark, d):
 
 
 def citations(spark, d):
-    return r.cited_context(hits(spark, d).filter("rank <= 3"))
+    return r.cited_context(hits(spark, d, 3))
 
 
 def context_assembly(spark, d):

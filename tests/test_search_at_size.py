@@ -76,3 +76,13 @@ def test_mmr_of_copies(spark, monkeypatch):
             picked.append(left.pop(int(np.argmax(value))))
             want.add((q, int(ids[picked[-1]]), place))
     assert {(r["query_id"], r["id"], r["rank"]) for r in retrieval.mmr(chunks, asked).collect()} == want
+
+
+@pytest.mark.parametrize("name, k", [("citations", 3)])
+def test_no_more_hits_than_are_used(spark, sf_dir, monkeypatch, name, k):
+    from telar.plans import questions
+
+    asked, search = [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda chunks, queries, k: asked.append(k) or search(chunks, queries, k))
+    rows = questions.QUERIES[name](spark, sf_dir).count()
+    assert rows == questions.asked(spark, sf_dir).count() and asked == [k]
