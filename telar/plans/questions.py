@@ -76,7 +76,7 @@ def citations(spark, d):
 
 
 def context_assembly(spark, d):
-    return r.assemble_context(hits(spark, d), 7, 60, 5, "...")
+    return r.assemble_context(hits(spark, d, 5), 7, 60, 5, "...")
 
 
 def parse_grades(spark, d):

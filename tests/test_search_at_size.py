@@ -78,7 +78,7 @@ def test_mmr_of_copies(spark, monkeypatch):
     assert {(r["query_id"], r["id"], r["rank"]) for r in retrieval.mmr(chunks, asked).collect()} == want
 
 
-@pytest.mark.parametrize("name, k", [("citations", 3)])
+@pytest.mark.parametrize("name, k", [("citations", 3), ("context_assembly", 5)])
 def test_no_more_hits_than_are_used(spark, sf_dir, monkeypatch, name, k):
     from telar.plans import questions
 
