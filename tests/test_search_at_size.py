@@ -86,3 +86,12 @@ def test_no_more_hits_than_are_used(spark, sf_dir, monkeypatch, name, k):
     monkeypatch.setattr(retrieval, "top_k", lambda chunks, queries, k: asked.append(k) or search(chunks, queries, k))
     rows = questions.QUERIES[name](spark, sf_dir).count()
     assert rows == questions.asked(spark, sf_dir).count() and asked == [k]
+
+
+def test_pages_move_a_query_once(spark, sf_dir, monkeypatch):
+    from telar.plans import questions
+
+    seen, visits = [], nearest.visits
+    monkeypatch.setattr(nearest, "visits", lambda *a: seen.append(visits(*a)) or seen[-1])
+    assert questions.pages_per_source(spark, sf_dir).count() > 0
+    assert seen[0].count() == questions.asked(spark, sf_dir).count()  # not times the clusters
